@@ -225,7 +225,7 @@ def wide_features(
     )
     base = df.groupBy(id_col).agg(*plain)
 
-    paired = with_previous(df, [state] + list(fields), id_col)
+    paired = with_previous(df, list(dict.fromkeys([state, *fields])), id_col)
     seq = []
     for f in fields:
         seq += [

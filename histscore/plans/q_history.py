@@ -137,3 +137,266 @@ def flagship(spark, sf_dir):
 
 
 register("auc_flagship", FLAGSHIP_SQL)(flagship)
+
+
+# ---------------------------------------------------------------- W1, W2
+LAST_N = 8
+
+
+@register(
+    "last_n",
+    with_roles(
+        ["history_b"],
+        f"""SELECT id, rn, state, x, pos_desc FROM (
+              SELECT id, rn, state, x, row_number() OVER (PARTITION BY id ORDER BY rn DESC) AS pos_desc
+              FROM history_b) WHERE pos_desc <= {LAST_N}""",
+    ),
+)
+def q_last_n(spark, sf_dir):
+    h = B.history_b(spark, sf_dir).select("id", "rn", "state", "x")
+    return H.last_n(h, LAST_N).withColumn("pos_desc", F.col("pos_desc").cast("long"))
+
+
+# ---------------------------------------------------------------- H1-H4
+SEQ_FIELDS = ["state", "util", "x"]
+
+
+@register(
+    "h_last",
+    with_roles(
+        ["history_b"],
+        "SELECT id, "
+        + ", ".join(f"arg_max({f}, rn) AS {f}__last" for f in FIELDS_B)
+        + " FROM history_b GROUP BY id",
+    ),
+)
+def q_h_last(spark, sf_dir):
+    return H.last_values(B.history_b(spark, sf_dir), FIELDS_B)
+
+
+@register(
+    "h_last3",
+    with_roles(
+        ["history_b"],
+        "SELECT id, "
+        + ", ".join(f"avg({f}) AS {f}__last3" for f in FIELDS_B)
+        + """ FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rn DESC) AS p FROM history_b)
+              WHERE p <= 3 GROUP BY id""",
+    ),
+)
+def q_h_last3(spark, sf_dir):
+    return H.last_k_mean(B.history_b(spark, sf_dir), FIELDS_B, 3)
+
+
+@register(
+    "h_std",
+    with_roles(
+        ["history_b"],
+        "SELECT id, "
+        + ", ".join(f"round(stddev_samp({f}), 6) AS {f}__std" for f in FIELDS_B)
+        + " FROM history_b GROUP BY id",
+    ),
+)
+def q_h_std(spark, sf_dir):
+    return H.select_rounded(H.dispersion(B.history_b(spark, sf_dir), FIELDS_B))
+
+
+@register(
+    "h_payment",
+    with_roles(
+        ["history_b"],
+        """SELECT id, CAST(sum(state) AS BIGINT) AS state__sum, max(state) AS state__max,
+                  avg(state) AS state__mean, CAST(sum(overdue) AS BIGINT) AS overdue__sum,
+                  avg(overdue) AS overdue__mean, arg_max(state, rn) AS state__last
+           FROM history_b GROUP BY id""",
+    ),
+)
+def q_h_payment(spark, sf_dir):
+    return H.payment_summary(B.history_b(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- H5-H7
+# The order-priority vocabulary of the driver tables.
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+UTIL_BINS = list(range(0, 11))
+
+
+def _freq_sql(column: str, values, prefix: str) -> str:
+    parts = []
+    for v in values:
+        lit = f"'{v}'" if isinstance(v, str) else str(v)
+        parts.append(
+            f"count_if({column} = {lit}) / count(*) AS {prefix}__freq_{H._safe(v)}"
+        )
+    return ", ".join(parts)
+
+
+@register(
+    "h_category_freq",
+    with_roles(
+        ["history_b"],
+        f"SELECT id, {_freq_sql('type', PRIORITIES, 'type')} FROM history_b GROUP BY id",
+    ),
+)
+def q_h_category_freq(spark, sf_dir):
+    return H.category_frequencies(B.history_b(spark, sf_dir), "type", PRIORITIES)
+
+
+@register(
+    "h_util_hist",
+    with_roles(
+        ["history_b"],
+        f"SELECT id, {_freq_sql('util', UTIL_BINS, 'util')} FROM history_b GROUP BY id",
+    ),
+)
+def q_h_util_hist(spark, sf_dir):
+    return H.category_frequencies(B.history_b(spark, sf_dir), "util", UTIL_BINS)
+
+
+@register(
+    "h_state_freq",
+    with_roles(
+        ["history_b"],
+        f"SELECT id, {_freq_sql('state', STATES, 'state')} FROM history_b GROUP BY id",
+    ),
+)
+def q_h_state_freq(spark, sf_dir):
+    return H.category_frequencies(B.history_b(spark, sf_dir), "state", STATES)
+
+
+# ---------------------------------------------------------------- H9-H13
+_LAGGED = "history_lag AS (SELECT *, " + ", ".join(
+    f"lag({f}) OVER (PARTITION BY id ORDER BY rn) AS {f}__prev" for f in FIELDS_B
+) + " FROM history_b)"
+
+
+def _with_lag(body: str) -> str:
+    sql = with_roles(["history_b"], body)
+    return sql.replace("\nSELECT", ",\n" + _LAGGED + "\nSELECT", 1)
+
+
+@register(
+    "h_deltas",
+    _with_lag(
+        "SELECT id, "
+        + ", ".join(f"arg_max({f}, rn) - arg_min({f}, rn) AS {f}__delta" for f in SEQ_FIELDS)
+        + ", "
+        + ", ".join(f"arg_max({f}__prev, rn) AS {f}__prev_last" for f in SEQ_FIELDS)
+        + " FROM history_lag GROUP BY id"
+    ),
+)
+def q_h_deltas(spark, sf_dir):
+    return H.deltas(B.history_b(spark, sf_dir), SEQ_FIELDS)
+
+
+@register(
+    "h_trend",
+    _with_lag(
+        "SELECT id, "
+        + ", ".join(
+            f"round(regr_slope({f}, rn), 6) AS {f}__slope, "
+            f"coalesce(sum(abs({f} - {f}__prev)), 0) AS {f}__tv, "
+            f"count_if({f} <> {f}__prev) AS {f}__changes"
+            for f in SEQ_FIELDS
+        )
+        + " FROM history_lag GROUP BY id"
+    ),
+)
+def q_h_trend(spark, sf_dir):
+    return H.select_rounded(
+        H.trend(B.history_b(spark, sf_dir), SEQ_FIELDS), keep=["id"] + [f"{f}__tv" for f in SEQ_FIELDS]
+    )
+
+
+def _transition_sql() -> str:
+    counts = ", ".join(
+        f"count_if(state__prev = {a} AND state = {b}) AS state__t{a}{b}"
+        for a in STATES
+        for b in STATES
+    )
+    terms = " + ".join(
+        f"CASE WHEN count_if(state = {s}) > 0 THEN -(count_if(state = {s}) / count(*)) "
+        f"* ln(count_if(state = {s}) / count(*)) ELSE 0 END"
+        for s in STATES
+    )
+    return f"SELECT id, {counts}, round({terms}, 6) AS state__entropy FROM history_lag GROUP BY id"
+
+
+@register("h_transitions", _with_lag(_transition_sql()))
+def q_h_transitions(spark, sf_dir):
+    return H.select_rounded(H.transitions(B.history_b(spark, sf_dir), "state", STATES))
+
+
+@register(
+    "h_since_overdue",
+    with_roles(
+        ["history_b"],
+        """SELECT id, count(*) - max(CASE WHEN overdue > 0 THEN rn END) AS since_overdue
+           FROM history_b GROUP BY id""",
+    ),
+)
+def q_h_since_overdue(spark, sf_dir):
+    return H.since_last_flag(B.history_b(spark, sf_dir), "overdue")
+
+
+@register(
+    "h_by_type",
+    with_roles(
+        ["history_b"],
+        "SELECT id, "
+        + ", ".join(
+            f"avg(CASE WHEN type = '{v}' THEN util END) AS util__mean_{H._safe(v)}, "
+            f"CAST(sum(CASE WHEN type = '{v}' THEN overdue ELSE 0 END) AS BIGINT) AS overdue__sum_{H._safe(v)}"
+            for v in PRIORITIES
+        )
+        + " FROM history_b GROUP BY id",
+    ),
+)
+def q_h_by_type(spark, sf_dir):
+    return H.by_category(B.history_b(spark, sf_dir), "type", PRIORITIES, "util", "overdue")
+
+
+# ---------------------------------------------------------------- H14
+def _wide_sql() -> str:
+    plain = ["count(*) AS loan_count", "max(rn) AS rn_max"]
+    for f in SEQ_FIELDS:
+        plain += [
+            f"avg({f}) AS {f}__mean",
+            f"max({f}) AS {f}__max",
+            f"round(stddev_samp({f}), 6) AS {f}__std",
+            f"arg_max({f}, rn) AS {f}__last",
+            f"arg_max({f}, rn) - arg_min({f}, rn) AS {f}__delta",
+            f"round(regr_slope({f}, rn), 6) AS {f}__slope",
+            f"coalesce(sum(abs({f} - {f}__prev)), 0) AS {f}__tv",
+            f"count_if({f} <> {f}__prev) AS {f}__changes",
+        ]
+    for v in PRIORITIES:
+        plain.append(f"count_if(type = '{v}') / count(*) AS type__freq_{H._safe(v)}")
+        plain.append(f"avg(CASE WHEN type = '{v}' THEN util END) AS util__mean_{H._safe(v)}")
+    for s in STATES:
+        plain.append(f"count_if(state = {s}) / count(*) AS state__freq_{s}")
+    plain.append("count(*) - max(CASE WHEN overdue > 0 THEN rn END) AS since_overdue")
+    plain += [
+        f"count_if(state__prev = {a} AND state = {b}) AS state__t{a}{b}"
+        for a in STATES
+        for b in STATES
+    ]
+    return "SELECT id, " + ", ".join(plain) + " FROM history_lag GROUP BY id"
+
+
+@register("h_wide", _with_lag(_wide_sql()))
+def q_h_wide(spark, sf_dir):
+    wide = H.wide_features(
+        B.history_b(spark, sf_dir),
+        SEQ_FIELDS,
+        "type",
+        PRIORITIES,
+        "state",
+        STATES,
+        "overdue",
+        "util",
+    )
+    rounded = [f"{f}__std" for f in SEQ_FIELDS] + [f"{f}__slope" for f in SEQ_FIELDS]
+    return wide.select(
+        *[F.round(c, 6).alias(c) if c in rounded else F.col(c) for c in wide.columns]
+    )
