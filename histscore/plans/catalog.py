@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from histscore.plans import q_blend, q_history  # noqa: F401
+from histscore.plans import q_axis, q_blend, q_history  # noqa: F401
 from histscore.plans.q_history import flagship  # noqa: F401
 from histscore.plans.registry import ORACLE, QUERIES
 
