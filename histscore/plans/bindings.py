@@ -151,3 +151,13 @@ def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("prediction").cast("double").alias("prediction"),
         F.col("id").alias("ord"),
     )
+
+
+SEQ_FIELDS_B = ["type_code", "state", "util", "overdue"]
+
+
+def history_b_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History B with the priority as a dense code (sequence fields)."""
+    h = history_b(spark, sf_dir)
+    codes = category_codes(h, "type", "type_code")
+    return join_small(h, codes, on="type")

@@ -25,6 +25,11 @@ CTES: dict[str, str] = {
                CAST(CASE WHEN l.l_returnflag = 'R' AND l.l_quantity >= 40 THEN 1 ELSE 0 END AS SMALLINT) AS overdue,
                l.l_quantity AS x
         FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey""",
+    "type_codes": """
+        SELECT type, CAST(row_number() OVER (ORDER BY type) - 1 AS SMALLINT) AS type_code
+        FROM (SELECT DISTINCT type FROM history_b)""",
+    "history_b_coded": """
+        SELECT h.*, c.type_code FROM history_b h JOIN type_codes c USING (type)""",
     "target_dense": """
         SELECT c_custkey AS id, CAST(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS SMALLINT) AS flag
         FROM customer""",
@@ -49,6 +54,8 @@ CTES: dict[str, str] = {
 DEPENDS: dict[str, list[str]] = {
     "history_a": ["event_codes"],
     "query_ids": ["target_sparse"],
+    "type_codes": ["history_b"],
+    "history_b_coded": ["type_codes"],
     "customer_scores": ["history_b"],
     "preds": ["customer_scores", "target_dense"],
 }
