@@ -38,9 +38,9 @@ def auc(
         else []
     )
     return ranked.groupBy(*by).agg(
-        (
-            F.sum(F.col("_pos") * (F.col("_below_neg") + F.col("_neg") / 2.0))
-            / (F.sum("_pos").cast("double") * F.sum("_neg").cast("double"))
+        F.try_divide(
+            F.sum(F.col("_pos") * (F.col("_below_neg") + F.col("_neg") / 2.0)),
+            F.sum("_pos").cast("double") * F.sum("_neg").cast("double"),
         ).alias(name),
         *extra,
     )

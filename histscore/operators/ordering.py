@@ -80,14 +80,16 @@ def running_totals(
         v: T.LongType() if _is_integral(fields[v]) else T.DoubleType() for v in values
     }
 
+    # The range index is stamped into the rows before the checkpoint: a task's
+    # partition id is not stable downstream (a Union renumbers partitions).
     laid_out = checkpointed(
-        df.repartitionByRange(n_ranges, *keys).sortWithinPartitions(*keys)
+        df.repartitionByRange(n_ranges, *keys)
+        .sortWithinPartitions(*keys)
+        .withColumn(BUCKET, F.spark_partition_id())
     )
 
     # Range totals and their offsets: a table of (ranges x groups) rows.
-    totals = laid_out.groupBy(
-        F.spark_partition_id().alias(BUCKET), *group_cols
-    ).agg(*[F.sum(v).cast(out_types[v]).alias(f"_t_{v}") for v in values])
+    totals = laid_out.groupBy(BUCKET, *group_cols).agg(*[F.sum(v).cast(out_types[v]).alias(f"_t_{v}") for v in values])
     earlier = Window.partitionBy(*group_cols).orderBy(BUCKET).rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -107,11 +109,10 @@ def running_totals(
 
     local_schema = T.StructType(
         laid_out.schema.fields
-        + [T.StructField(BUCKET, T.IntegerType(), False)]
         + [T.StructField(f"_l_{v}", out_types[v], False) for v in values]
     )
     local = laid_out.mapInPandas(
-        _local_running(group_cols, values, out_types), schema=local_schema
+        _local_running([BUCKET, *group_cols], values, out_types), schema=local_schema
     )
     joined = join_small(local, offsets, on=[BUCKET, *group_cols])
     result = joined.select(
@@ -127,13 +128,11 @@ def running_totals(
 
 
 def _local_running(group_cols, values, out_types):
-    """Per-range pass: exclusive running sums inside each group, carried
-    across the Arrow batches of the range (batches arrive in order)."""
+    """Per-range pass: exclusive running sums inside each (range, group),
+    carried across the Arrow batches of the range (batches arrive in the
+    stored, sorted order)."""
 
     def run(batches):
-        from pyspark import TaskContext
-
-        bucket = TaskContext.get().partitionId()
         carry_key = None
         carry = {v: 0 for v in values}
         for pdf in batches:
@@ -141,7 +140,6 @@ def _local_running(group_cols, values, out_types):
             if n == 0:
                 continue
             out = pdf.copy()
-            out[BUCKET] = np.int32(bucket)
             if group_cols:
                 key_frame = pdf[group_cols]
                 same_as_carry = (
