@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from histscore.functions.scalar import compact_decimal_text, fold, sigmoid
+from histscore.functions.scalar import compact_decimal_text, fold, sigmoid, weighted_sum
 from histscore.operators import blend as BL
 from histscore.operators import checks as C
 from histscore.operators import metrics as M
 from histscore.operators.history import history_aggregate
+from histscore.operators.ordering import rank_percentile
 from histscore.plans import bindings as B
+from histscore.plans import q_axis
 from histscore.plans.oracle_ctes import with_roles
 from histscore.plans.registry import register
 from histscore.plans.sqlkit import auc_sql, dbl, weighted_sql
@@ -448,3 +450,42 @@ def q_check_order(spark, sf_dir):
 def q_check_range(spark, sf_dir):
     test = BL.blend(wide(spark, sf_dir, "test"), BLEND_WEIGHTS, "v")
     return C.range_report(test, "v")
+
+
+# ---------------------------------------------------------------- B3
+# The reference's final-layer weights (time prior, bin model)
+# and its three seed weights, applied to stand-in components.
+TIME_WEIGHT = 0.0121
+BIN_WEIGHT = 0.0257
+SEED_WEIGHTS = {"discount": 0.2141, "overdue_rate": 0.2804, "max_qty": 0.2753}
+MAIN_WEIGHT = 1.0 - TIME_WEIGHT - BIN_WEIGHT - sum(SEED_WEIGHTS.values())
+
+
+def _layer_terms():
+    return [(MAIN_WEIGHT, "blend"), (TIME_WEIGHT, "prior_rank"), (BIN_WEIGHT, "centre_rank")] + [
+        (w, m) for m, w in SEED_WEIGHTS.items()
+    ]
+
+
+@register(
+    "blend_layers",
+    with_roles(
+        ["preds"],
+        f"""SELECT w.id, w.target, {weighted_sql(_layer_terms())} AS layered
+            FROM (SELECT *, {BLEND_SQL} AS blend FROM vwide) w
+            JOIN (SELECT id,
+                         (row_number() OVER (ORDER BY prior, id) - 1) / greatest(count(*) OVER () - 1, 1) AS prior_rank,
+                         (row_number() OVER (ORDER BY centre, id) - 1) / greatest(count(*) OVER () - 1, 1) AS centre_rank
+                  FROM layers) r USING (id)""",
+        [RANKS_CTE, VWIDE, q_axis.CUSTOMER_TRAIN, q_axis.CUSTOMER_VALID, ("layers", q_axis.LAYERS_SQL)],
+    ),
+)
+def q_blend_layers(spark, sf_dir):
+    """Main * (1 - sum of layer weights) + prior + bin model + seeds,
+    every component as a rank over the validation ids."""
+    layers = q_axis.customer_layers(spark, sf_dir)
+    ranked = rank_percentile(rank_percentile(layers, "prior", "id", name="prior_rank"), "centre", "id", name="centre_rank")
+    w = BL.blend(wide(spark, sf_dir), BLEND_WEIGHTS, "blend").join(
+        ranked.select("id", "prior_rank", "centre_rank"), "id"
+    )
+    return w.select("id", "target", weighted_sum(_layer_terms()).alias("layered"))

@@ -289,3 +289,45 @@ def q_steps_per_epoch(spark, sf_dir):
 def q_fixed_sample(spark, sf_dir):
     out = S.fixed_samples(_train_ids(spark, sf_dir), SAMPLE_STEPS, SAMPLE_SIZE, PLAN_SEED)
     return out.select(F.col("step").cast("long").alias("step"), "id")
+
+
+# ---------------------------------------------------------------- Q2, S10, S11
+@register(
+    "prepare_sequences",
+    with_roles(
+        ["history_b_coded"],
+        f"""SELECT CASE WHEN {FOLD_SQL} = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS sequences,
+                   CAST(sum(least(n, {MAX_LEN})) AS BIGINT) AS events,
+                   count_if({FOLD_SQL} <> 0) AS labelled
+            FROM (SELECT id, count(*) AS n FROM history_b_coded GROUP BY id) GROUP BY 1""",
+    ),
+)
+def q_prepare_sequences(spark, sf_dir):
+    """Q2: packed sequences for the labelled (train) and unlabelled (test)
+    split, written to a path keyed by the parameters (K14), plus the
+    metadata row (feature names, cardinalities, max_len, parts) as JSON."""
+    import json
+
+    from histscore.session import scratch_path
+    from histscore.sources.sinks import write_json_row, write_sequences
+
+    h = B.history_b_coded(spark, sf_dir)
+    root = scratch_path(spark, f"sequences/max_len={MAX_LEN}/fields={'-'.join(FIELDS)}")
+    labels = B.target_dense(spark, sf_dir)
+    train = S.pack_sequences(h.where(fold("id") != 0), FIELDS, MAX_LEN, labels.where(fold("id") != 0))
+    test = S.pack_sequences(h.where(fold("id") == 0), FIELDS, MAX_LEN)
+    write_sequences(train, f"{root}/table/split=train")
+    write_sequences(test, f"{root}/table/split=test")
+    card = cards(spark, sf_dir).orderBy("field_index").collect()
+    meta = {
+        "feature_names": [r.field for r in card],
+        "cardinalities": [int(r.cardinality) for r in card],
+        "max_len": MAX_LEN,
+        "partitions": spark.read.parquet(f"{root}/table/split=train").rdd.getNumPartitions(),
+    }
+    write_json_row(spark.read.json(spark.sparkContext.parallelize([json.dumps(meta)])), f"{root}/metadata")
+    stored = spark.read.option("mergeSchema", "true").parquet(f"{root}/table")
+    return stored.groupBy("split").agg(
+        F.count(F.lit(1)).alias("sequences"), F.sum("len").cast("long").alias("events"),
+        F.count("y").alias("labelled"),
+    )
