@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from histscore.functions.scalar import log_density, smoothed_rate
-from histscore.operators.ordering import running_totals
+from histscore.operators.ordering import block_running_totals, running_totals
 
 EDGE, LABEL = 0, 1
+# Positions per block of the id axis (the block form of the running totals).
+BLOCK_SIZE = 1 << 15
 
 
 def included_labels(labels: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
@@ -44,28 +46,41 @@ def _label_rows(labels: DataFrame) -> DataFrame:
     )
 
 
-def _prefixes(labels: DataFrame, edges: DataFrame, ranges: int | None) -> DataFrame:
+ORDER = ["pos", "kind", "qid", "width", "edge"]
+
+
+def _prefixes(
+    labels: DataFrame, edges: DataFrame, ranges: int | None, block_size: int = BLOCK_SIZE
+) -> DataFrame:
     """Running totals over labels and edges; keeps only the edge rows, each
-    with ``before_y``/``before_c`` and the label totals ``tot_y``/``tot_c``."""
+    with ``before_y``/``before_c`` and the label totals ``tot_y``/``tot_c``.
+
+    Default: fixed blocks of the id axis (``ranges=None``); with ``ranges``
+    the sampled-range form, for sparse key spaces."""
     rows = edges.unionByName(_label_rows(labels))
-    totals = running_totals(
-        rows,
-        ["pos", "kind", "qid", "width", "edge"],
-        ["y", "c"],
-        ranges=ranges,
-        prefix="before_",
-        totals_prefix="tot_",
-    )
+    if ranges is None:
+        totals = block_running_totals(
+            rows, "pos", ORDER, ["y", "c"], block_size, prefix="before_", totals_prefix="tot_"
+        )
+    else:
+        totals = running_totals(
+            rows, ORDER, ["y", "c"], ranges=ranges, prefix="before_", totals_prefix="tot_"
+        )
     return totals.where(F.col("kind") == EDGE)
 
 
-def prefix_table(labels: DataFrame, ranges: int | None = None) -> DataFrame:
+def prefix_table(
+    labels: DataFrame, ranges: int | None = None, block_size: int = BLOCK_SIZE
+) -> DataFrame:
     """At every label position, the sums of targets and counts over ids
     strictly below it, plus the end row (``max_id + 1``) with the totals."""
     rows = _label_rows(labels)
-    totals = running_totals(
-        rows, ["pos"], ["y", "c"], ranges=ranges, prefix="before_", totals_prefix="tot_"
-    )
+    if ranges is None:
+        totals = block_running_totals(rows, "pos", ["pos"], ["y", "c"], block_size, totals_prefix="tot_")
+    else:
+        totals = running_totals(
+            rows, ["pos"], ["y", "c"], ranges=ranges, prefix="before_", totals_prefix="tot_"
+        )
     body = totals.select(
         "pos", F.col("before_y").alias("sum_before"), F.col("before_c").alias("count_before")
     )
@@ -83,6 +98,7 @@ def centred_prior(
     half_width: int,
     smoothing: float,
     ranges: int | None = None,
+    block_size: int = BLOCK_SIZE,
 ) -> DataFrame:
     """Smoothed target rate of the labels in ``[q-h, q+h]`` for
     each query id; the base rate is the mean of the given labels (after any
@@ -101,7 +117,7 @@ def centred_prior(
         F.lit(0).cast("long").alias("y"),
         F.lit(0).cast("long").alias("c"),
     )
-    at_edges = _prefixes(labels, edges, ranges)
+    at_edges = _prefixes(labels, edges, ranges, block_size)
     sign = F.when(F.col("edge") == 1, 1).otherwise(-1)
     window = at_edges.groupBy("qid").agg(
         F.sum(sign * F.col("before_y")).alias("window_sum"),
@@ -148,12 +164,13 @@ def multi_scale_bins(
     smoothing: float = 5.0,
     own_targets: DataFrame | None = None,
     ranges: int | None = None,
+    block_size: int = BLOCK_SIZE,
 ) -> DataFrame:
     """Long form ``(id, width, bin, sum, count, rate_c,
     density)``; ``rate_c`` = smoothed rate minus base rate. With
     ``own_targets`` (id, flag) the query's own label leaves the centre bin."""
     q = queries.select("id").distinct()
-    at_edges = _prefixes(labels, bin_edges(q, widths, half_bins), ranges)
+    at_edges = _prefixes(labels, bin_edges(q, widths, half_bins), ranges, block_size)
     # Edge j closes bin j-1 (+) and opens bin j (-).
     roles = F.explode(
         F.array(

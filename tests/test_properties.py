@@ -103,3 +103,22 @@ def test_shuffle_partitions_do_not_change_results(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert before == after
+
+
+def test_axis_block_and_range_forms_agree(spark):
+    labels = B.target_sparse(spark, SF_CHECK)
+    queries = B.query_ids(spark, SF_CHECK)
+    forms = [
+        dict(block_size=7),
+        dict(block_size=1 << 15),
+        dict(ranges=5),
+    ]
+    priors = [sorted(X.centred_prior(labels, queries, 50, 20.0, **f).collect()) for f in forms]
+    assert priors[0] == priors[1] == priors[2]
+    bins = [
+        sorted(X.multi_scale_bins(labels, queries, (4, 16), 3, **f).drop("density").collect())
+        for f in forms
+    ]
+    assert bins[0] == bins[1] == bins[2]
+    prefixes = [sorted(X.prefix_table(labels, **f).collect()) for f in forms]
+    assert prefixes[0] == prefixes[1] == prefixes[2]
