@@ -130,7 +130,7 @@ def running_totals(
 def _local_running(group_cols, values, out_types):
     """Per-range pass: exclusive running sums inside each (range, group),
     carried across the Arrow batches of the range (batches arrive in the
-    stored, sorted order)."""
+    stored, sorted order). Segmented numpy cumsum, no per-row Python."""
 
     def run(batches):
         carry_key = None
@@ -139,60 +139,51 @@ def _local_running(group_cols, values, out_types):
             n = len(pdf)
             if n == 0:
                 continue
+            keys = [pdf[c].to_numpy() for c in group_cols]
+            starts = np.zeros(n, dtype=bool)
+            starts[0] = True
+            for k in keys:
+                starts[1:] |= ~_same_as_previous(k)
+            segment = np.cumsum(starts) - 1
+            first_key = tuple(k[0] for k in keys)
+            continues = carry_key is not None and all(_same(a, b) for a, b in zip(first_key, carry_key))
             out = pdf.copy()
-            if group_cols:
-                key_frame = pdf[group_cols]
-                same_as_carry = (
-                    np.ones(n, dtype=bool)
-                    if carry_key is not None
-                    else np.zeros(n, dtype=bool)
-                )
-                if carry_key is not None:
-                    for col, key in zip(group_cols, carry_key):
-                        same_as_carry &= _equal(key_frame[col].to_numpy(), key)
-                last_key = tuple(key_frame.iloc[-1].tolist())
-                last_rows = np.ones(n, dtype=bool)
-                for col, key in zip(group_cols, last_key):
-                    last_rows &= _equal(key_frame[col].to_numpy(), key)
-                last_continues = carry_key is not None and all(
-                    _same(a, b) for a, b in zip(last_key, carry_key)
-                )
-                for v in values:
-                    vals = _as_numbers(pdf[v], out_types[v])
-                    inclusive = pd.Series(vals).groupby(
-                        [key_frame[c].to_numpy() for c in group_cols],
-                        sort=False,
-                        dropna=False,
-                    ).cumsum().to_numpy()
-                    local = inclusive - vals
-                    local = local + np.where(same_as_carry, carry[v], 0)
-                    out[f"_l_{v}"] = local
-                    batch_last_sum = vals[last_rows].sum()
-                    carry[v] = (carry[v] if last_continues else 0) + batch_last_sum
-                carry_key = last_key
-            else:
-                for v in values:
-                    vals = _as_numbers(pdf[v], out_types[v])
-                    inclusive = np.cumsum(vals)
-                    out[f"_l_{v}"] = inclusive - vals + carry[v]
-                    carry[v] = carry[v] + inclusive[-1]
+            for v in values:
+                vals = _as_numbers(pdf[v], out_types[v])
+                inclusive = np.cumsum(vals)
+                exclusive = inclusive - vals
+                local = exclusive - exclusive[starts][segment]
+                if continues:
+                    local = local + np.where(segment == 0, carry[v], 0)
+                out[f"_l_{v}"] = local
+                last_start = np.flatnonzero(starts)[-1]
+                tail = inclusive[-1] - exclusive[last_start]
+                only_one_segment = last_start == 0
+                carry[v] = (carry[v] if (continues and only_one_segment) else 0) + tail
+            carry_key = tuple(k[-1] for k in keys)
             yield out
 
     return run
 
 
+def _same_as_previous(column: np.ndarray) -> np.ndarray:
+    """Element i (for i >= 1) equals element i-1, nulls equal to nulls."""
+    a, b = column[1:], column[:-1]
+    try:
+        a_null, b_null = pd.isna(a), pd.isna(b)
+    except TypeError:
+        a_null = b_null = np.zeros(len(a), dtype=bool)
+    with np.errstate(invalid="ignore"):
+        eq = a == b
+    return np.asarray(eq, dtype=bool) & ~a_null & ~b_null | (a_null & b_null)
+
+
 def _as_numbers(series: pd.Series, dtype: T.DataType) -> np.ndarray:
     if isinstance(dtype, T.LongType):
         return series.fillna(0).astype(np.int64).to_numpy()
     return series.fillna(0.0).astype(np.float64).to_numpy()
 
 
-def _equal(column: np.ndarray, key) -> np.ndarray:
-    if key is None or (isinstance(key, float) and np.isnan(key)):
-        return pd.isna(column)
-    return column == key
-
-
 def _same(a, b) -> bool:
     a_null = a is None or (isinstance(a, float) and np.isnan(a))
     b_null = b is None or (isinstance(b, float) and np.isnan(b))

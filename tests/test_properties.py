@@ -122,3 +122,25 @@ def test_axis_block_and_range_forms_agree(spark):
     assert bins[0] == bins[1] == bins[2]
     prefixes = [sorted(X.prefix_table(labels, **f).collect()) for f in forms]
     assert prefixes[0] == prefixes[1] == prefixes[2]
+
+
+def test_running_totals_carry_across_arrow_batches(spark):
+    preds = B.preds(spark, SF_CHECK)
+    base = sorted(
+        (r.model, r.id, r.before_target)
+        for r in running_totals(preds, ["prediction", "id"], ["target"], ["model"], ranges=3).collect()
+    )
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        small = sorted(
+            (r.model, r.id, r.before_target)
+            for r in running_totals(preds, ["prediction", "id"], ["target"], ["model"], ranges=3).collect()
+        )
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert base == small
+    pdf = preds.toPandas().sort_values(["model", "prediction", "id"])
+    pdf["expected"] = pdf.groupby("model")["target"].cumsum() - pdf["target"]
+    expected = sorted(zip(pdf["model"], pdf["id"], pdf["expected"].astype(int)))
+    assert base == expected
