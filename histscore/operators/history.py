@@ -196,9 +196,8 @@ def wide_features(
     util: str,
     id_col: str = "id",
 ) -> DataFrame:
-    """The combined table. The plain aggregates are one pass; the parts
-    that need the previous row share one self-join; both sides are grouped
-    by id, so the final join is on co-partitioned inputs."""
+    """The combined table in one aggregate pass over the history joined
+    to its previous row."""
     n = F.count(F.lit(1))
     plain = [
         n.alias("loan_count"),
@@ -223,8 +222,6 @@ def wide_features(
     plain.append(
         (n - F.max(F.when(F.col(overdue) > 0, F.col("rn")))).alias(f"since_{overdue}")
     )
-    base = df.groupBy(id_col).agg(*plain)
-
     paired = with_previous(df, list(dict.fromkeys([state, *fields])), id_col)
     seq = []
     for f in fields:
@@ -238,8 +235,9 @@ def wide_features(
         for a in states
         for b in states
     ]
-    sequential = paired.groupBy(id_col).agg(*seq)
-    return base.join(sequential, id_col)
+    # One aggregate over the self-joined rows: the left side carries every
+    # history row, so the plain aggregates come from the same pass.
+    return paired.groupBy(id_col).agg(*plain, *seq)
 
 
 def select_rounded(df: DataFrame, digits: int = 6, keep: Sequence[str] = ("id",)) -> DataFrame:
