@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from histscore.functions.scalar import log_density, smoothed_rate
@@ -171,22 +171,18 @@ def multi_scale_bins(
     ``own_targets`` (id, flag) the query's own label leaves the centre bin."""
     q = queries.select("id").distinct()
     at_edges = _prefixes(labels, bin_edges(q, widths, half_bins), ranges, block_size)
-    # Edge j closes bin j-1 (+) and opens bin j (-).
-    roles = F.explode(
-        F.array(
-            F.struct(F.lit(1).alias("s"), (F.col("edge") - 1).alias("b")),
-            F.struct(F.lit(-1).alias("s"), F.col("edge").alias("b")),
-        )
-    )
-    contributions = at_edges.select(
-        "qid", "width", "before_y", "before_c", "tot_y", "tot_c", roles.alias("_r")
-    ).where(F.col("_r.b").between(-half_bins, half_bins))
-    bins = contributions.groupBy("qid", "width", F.col("_r.b").alias("bin")).agg(
-        F.sum(F.col("_r.s") * F.col("before_y")).alias("sum"),
-        F.sum(F.col("_r.s") * F.col("before_c")).alias("count"),
-        F.first("tot_y").alias("tot_y"),
-        F.first("tot_c").alias("tot_c"),
-    )
+    # Bin j of a width is edge j+1 minus edge j: a lead over the query's
+    # 2H+2 edges of that width (a parameter-bounded window group).
+    w = Window.partitionBy("qid", "width").orderBy("edge")
+    bins = at_edges.select(
+        "qid",
+        "width",
+        F.col("edge").alias("bin"),
+        (F.lead("before_y").over(w) - F.col("before_y")).alias("sum"),
+        (F.lead("before_c").over(w) - F.col("before_c")).alias("count"),
+        "tot_y",
+        "tot_c",
+    ).where(F.col("bin") <= half_bins)
     if own_targets is not None:
         own = own_targets.select(F.col("id").alias("qid"), F.col("flag").cast("long").alias("_own"))
         bins = bins.join(own, "qid", "left")

@@ -291,9 +291,12 @@ def block_running_totals(
             F.sum(f"_t_{v}").over(whole).cast(out_types[v]).alias(f"{totals_prefix}{v}") for v in values
         ]
     offsets = totals.select(BLOCK, *offset_cols)
-    # One row per non-empty block; AQE broadcasts it when its measured size is
-    # small, and the window output is already partitioned by block otherwise.
-    joined = local.join(offsets, BLOCK)
+    # One row per non-empty block. A merge join keeps the (large) window
+    # output where it is: it is already partitioned and sorted by block, so
+    # only the offsets move; AQE may still broadcast the offsets once their
+    # measured size is known. (Without the hint the planner can pick the
+    # wrong build side from a stale size estimate.)
+    joined = local.join(offsets.hint("merge"), BLOCK)
     return joined.select(
         *df.columns,
         *[(F.col(f"_l_{v}") + F.col(f"_o_{v}")).alias(f"{prefix}{v}") for v in values],
