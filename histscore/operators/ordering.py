@@ -106,31 +106,47 @@ def running_totals(
             for v in values
         ]
     offsets = totals.select(BUCKET, *group_cols, *offset_cols)
-
-    local_schema = T.StructType(
-        laid_out.schema.fields
-        + [T.StructField(f"_l_{v}", out_types[v], False) for v in values]
-    )
+    total_names = [f"{totals_prefix}{v}" for v in values] if totals_prefix is not None else []
+
+    # The offsets table has (ranges x groups) rows. Below the cap it is
+    # collected once and shipped inside the per-range pass (no join, no
+    # extra counting job); above it, it is joined back.
+    collected = offsets.limit(MAX_BROADCAST_ROWS + 1).collect()
+    shipped = len(collected) <= MAX_BROADCAST_ROWS
+    table = None
+    if shipped:
+        n_keys = 1 + len(group_cols)
+        table = {
+            tuple(r[:n_keys]): tuple(r[n_keys:]) for r in collected
+        }
+
+    extra = [T.StructField(f"_l_{v}", out_types[v], False) for v in values]
+    if shipped:
+        extra += [T.StructField(name, out_types[v], True) for name, v in zip(total_names, values)]
     local = laid_out.mapInPandas(
-        _local_running([BUCKET, *group_cols], values, out_types), schema=local_schema
+        _local_running([BUCKET, *group_cols], values, out_types, table, total_names),
+        schema=T.StructType(laid_out.schema.fields + extra),
     )
-    joined = join_small(local, offsets, on=[BUCKET, *group_cols])
-    result = joined.select(
+    if shipped:
+        return local.select(
+            *df.columns,
+            *[F.col(f"_l_{v}").alias(f"{prefix}{v}") for v in values],
+            *[F.col(name) for name in total_names],
+        )
+    joined = local.join(offsets, on=[BUCKET, *group_cols])
+    return joined.select(
         *df.columns,
         *[(F.col(f"_l_{v}") + F.col(f"_o_{v}")).alias(f"{prefix}{v}") for v in values],
-        *(
-            [F.col(f"{totals_prefix}{v}") for v in values]
-            if totals_prefix is not None
-            else []
-        ),
+        *[F.col(name) for name in total_names],
     )
-    return result
 
 
-def _local_running(group_cols, values, out_types):
+def _local_running(group_cols, values, out_types, table=None, total_names=()):
     """Per-range pass: exclusive running sums inside each (range, group),
     carried across the Arrow batches of the range (batches arrive in the
-    stored, sorted order). Segmented numpy cumsum, no per-row Python."""
+    stored, sorted order). Segmented numpy cumsum, no per-row Python. With
+    ``table`` ((range, group) -> offsets + totals) the offsets are added here
+    and the group totals appended."""
 
     def run(batches):
         carry_key = None
@@ -148,18 +164,26 @@ def _local_running(group_cols, values, out_types):
             first_key = tuple(k[0] for k in keys)
             continues = carry_key is not None and all(_same(a, b) for a, b in zip(first_key, carry_key))
             out = pdf.copy()
-            for v in values:
+            if table is not None:
+                seg_rows = np.flatnonzero(starts)
+                per_segment = [table[tuple(_py(k[i]) for k in keys)] for i in seg_rows]
+            for j, v in enumerate(values):
                 vals = _as_numbers(pdf[v], out_types[v])
                 inclusive = np.cumsum(vals)
                 exclusive = inclusive - vals
                 local = exclusive - exclusive[starts][segment]
                 if continues:
                     local = local + np.where(segment == 0, carry[v], 0)
+                if table is not None:
+                    local = local + np.array([p[j] for p in per_segment])[segment]
                 out[f"_l_{v}"] = local
                 last_start = np.flatnonzero(starts)[-1]
                 tail = inclusive[-1] - exclusive[last_start]
                 only_one_segment = last_start == 0
                 carry[v] = (carry[v] if (continues and only_one_segment) else 0) + tail
+            if table is not None:
+                for j, name in enumerate(total_names):
+                    out[name] = np.array([p[len(values) + j] for p in per_segment])[segment]
             carry_key = tuple(k[-1] for k in keys)
             yield out
 
@@ -178,6 +202,13 @@ def _same_as_previous(column: np.ndarray) -> np.ndarray:
     return np.asarray(eq, dtype=bool) & ~a_null & ~b_null | (a_null & b_null)
 
 
+def _py(value):
+    """numpy scalar -> Python value (dict keys of collected rows are Python)."""
+    if value is None or (isinstance(value, float) and np.isnan(value)):
+        return None
+    return value.item() if hasattr(value, "item") else value
+
+
 def _as_numbers(series: pd.Series, dtype: T.DataType) -> np.ndarray:
     if isinstance(dtype, T.LongType):
         return series.fillna(0).astype(np.int64).to_numpy()

@@ -144,3 +144,14 @@ def test_running_totals_carry_across_arrow_batches(spark):
     pdf["expected"] = pdf.groupby("model")["target"].cumsum() - pdf["target"]
     expected = sorted(zip(pdf["model"], pdf["id"], pdf["expected"].astype(int)))
     assert base == expected
+
+
+def test_running_totals_join_fallback_matches(spark, monkeypatch):
+    from histscore.operators import ordering
+
+    preds = B.preds(spark, SF_CHECK)
+    args = (["prediction", "id"], ["target"], ["model"])
+    shipped = sorted(map(tuple, running_totals(preds, *args, ranges=4, totals_prefix="tot_").collect()))
+    monkeypatch.setattr(ordering, "MAX_BROADCAST_ROWS", 0)
+    joined = sorted(map(tuple, running_totals(preds, *args, ranges=4, totals_prefix="tot_").collect()))
+    assert shipped == joined
