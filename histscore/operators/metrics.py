@@ -63,11 +63,23 @@ def weighted_bce(
 
 
 def pairwise_rank_loss(
-    df: DataFrame, score: str, label: str, by: Sequence[str], name: str = "rank_loss"
+    df: DataFrame,
+    score: str,
+    label: str,
+    by: Sequence[str],
+    name: str = "rank_loss",
+    max_group: int = 4096,
 ) -> DataFrame:
     """M4: mean softplus(-(p+ - p-)) over positive x negative pairs of each
-    group, 0 when a class is absent. Groups are training batches, bounded by
-    the batch size; the pairs are folded inside one row, never emitted."""
+    group, 0 when a class is absent. Groups are training batches (see
+    ``sequences.batch_plan``); a group above ``max_group`` rows fails the
+    job rather than collecting an unbounded list. The pairs are folded
+    inside one row, never emitted."""
+    # Group sizes by partial aggregation first: an oversized group stops
+    # here, before any list is collected.
+    oversized = df.groupBy(*by).count().where(F.col("count") > max_group).limit(1).count()
+    if oversized:
+        raise ValueError(f"rank-loss group above {max_group} rows")
     grouped = df.groupBy(*by).agg(
         F.collect_list(F.when(F.col(label) == 1, F.col(score).cast("double"))).alias("_p"),
         F.collect_list(F.when(F.col(label) != 1, F.col(score).cast("double"))).alias("_n"),

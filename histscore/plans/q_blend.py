@@ -8,12 +8,14 @@ from histscore.functions.scalar import compact_decimal_text, fold, sigmoid, weig
 from histscore.operators import blend as BL
 from histscore.operators import checks as C
 from histscore.operators import metrics as M
+from histscore.operators import sequences as S
 from histscore.operators.history import history_aggregate
 from histscore.operators.ordering import rank_percentile
 from histscore.plans import bindings as B
 from histscore.plans import q_axis
 from histscore.plans.oracle_ctes import with_roles
 from histscore.plans.registry import register
+from histscore.plans.sqlhash import mix_hash_sql
 from histscore.plans.sqlkit import auc_sql, dbl, weighted_sql
 
 MODELS = B.PRED_MODELS
@@ -26,7 +28,6 @@ STACK_WEIGHTS = [0.249725, 0.102310, 0.342734, 0.266927, 0.038304]
 MIX_RATIOS = [0.50, 0.60, 0.70, 0.80, 0.90]
 POS_WEIGHT = 4.0
 RANK_LOSS_WEIGHT = 0.5
-N_BATCHES = 16
 
 RANKS_CTE = (
     "ranks",
@@ -231,15 +232,29 @@ def q_bce_weighted(spark, sf_dir):
     return out.select("model", F.round("bce", 6).alias("bce"))
 
 
+LOSS_BATCH = 16
+LOSS_SEED = 11
+# Training batches over the validation ids (one epoch, one shard): the
+# groups of the pairwise loss are bounded by the batch size.
+VPLAN = (
+    "vplan",
+    f"""SELECT id, CAST(floor((r - 1) / {LOSS_BATCH}) AS BIGINT) AS batch
+        FROM (SELECT id, row_number() OVER (ORDER BY h, id) AS r, count(*) OVER () AS n
+              FROM (SELECT DISTINCT id, {mix_hash_sql('id', '1', seed=LOSS_SEED)} AS h
+                    FROM preds WHERE split = 'valid'))
+        WHERE r <= floor(n / {LOSS_BATCH}) * {LOSS_BATCH}""",
+)
+_BATCHED = f"SELECT r.model, v.batch, r.target, {_MARGIN} AS m FROM ranks r JOIN vplan v USING (id) WHERE r.split = 'valid'"
 _PAIR_SQL = f"""SELECT p.model, p.batch, avg(greatest(n.m - p.m, 0) + ln(1 + exp(-abs(n.m - p.m)))) AS rank_loss
-    FROM (SELECT model, ((id % {N_BATCHES}) + {N_BATCHES}) % {N_BATCHES} AS batch, {_MARGIN} AS m FROM ranks
-          WHERE split = 'valid' AND target = 1) p
-    JOIN (SELECT model, ((id % {N_BATCHES}) + {N_BATCHES}) % {N_BATCHES} AS batch, {_MARGIN} AS m FROM ranks
-          WHERE split = 'valid' AND target <> 1) n
-      ON p.model = n.model AND p.batch = n.batch
+    FROM ({_BATCHED}) p JOIN ({_BATCHED}) n ON p.model = n.model AND p.batch = n.batch
+    WHERE p.target = 1 AND n.target <> 1
     GROUP BY p.model, p.batch"""
-_BATCHES_SQL = f"""SELECT DISTINCT model, ((id % {N_BATCHES}) + {N_BATCHES}) % {N_BATCHES} AS batch
-                   FROM ranks WHERE split = 'valid'"""
+
+
+def _batched_valid_ranks(spark, sf_dir):
+    r = _valid_ranks(spark, sf_dir)
+    plan = S.batch_plan(r.select("id").distinct(), 1, 1, LOSS_BATCH, LOSS_SEED)
+    return r.join(plan.select("id", "batch"), "id")
 
 
 @register(
@@ -247,13 +262,13 @@ _BATCHES_SQL = f"""SELECT DISTINCT model, ((id % {N_BATCHES}) + {N_BATCHES}) % {
     with_roles(
         ["preds"],
         f"""SELECT b.model, b.batch, round(coalesce(l.rank_loss, 0.0), 6) AS rank_loss
-            FROM ({_BATCHES_SQL}) b LEFT JOIN ({_PAIR_SQL}) l USING (model, batch)""",
-        [RANKS_CTE],
+            FROM (SELECT DISTINCT model, batch FROM ({_BATCHED})) b LEFT JOIN ({_PAIR_SQL}) l USING (model, batch)""",
+        [RANKS_CTE, VPLAN],
     ),
 )
 def q_rank_loss(spark, sf_dir):
-    r = _valid_ranks(spark, sf_dir).withColumn("batch", fold("id", N_BATCHES).cast("long"))
-    out = M.pairwise_rank_loss(r, "margin", "target", ["model", "batch"])
+    r = _batched_valid_ranks(spark, sf_dir)
+    out = M.pairwise_rank_loss(r, "margin", "target", ["model", "batch"], max_group=LOSS_BATCH)
     return out.select("model", "batch", F.round("rank_loss", 6).alias("rank_loss"))
 
 
@@ -263,16 +278,16 @@ def q_rank_loss(spark, sf_dir):
         ["preds"],
         f"""SELECT b.model, b.batch,
                    round(b.bce + {RANK_LOSS_WEIGHT} * coalesce(l.rank_loss, 0.0), 6) AS objective
-            FROM (SELECT model, ((id % {N_BATCHES}) + {N_BATCHES}) % {N_BATCHES} AS batch, {_BCE_SQL} AS bce
-                  FROM ranks WHERE split = 'valid' GROUP BY 1, 2) b
+            FROM (SELECT r.model, v.batch, {_BCE_SQL.replace('rank_pct', 'r.rank_pct').replace('target', 'r.target')} AS bce
+                  FROM ranks r JOIN vplan v USING (id) WHERE r.split = 'valid' GROUP BY 1, 2) b
             LEFT JOIN ({_PAIR_SQL}) l USING (model, batch)""",
-        [RANKS_CTE],
+        [RANKS_CTE, VPLAN],
     ),
 )
 def q_objective(spark, sf_dir):
-    r = _valid_ranks(spark, sf_dir).withColumn("batch", fold("id", N_BATCHES).cast("long"))
+    r = _batched_valid_ranks(spark, sf_dir)
     bce = M.weighted_bce(r, "margin", "target", POS_WEIGHT, by=["model", "batch"])
-    rl = M.pairwise_rank_loss(r, "margin", "target", ["model", "batch"])
+    rl = M.pairwise_rank_loss(r, "margin", "target", ["model", "batch"], max_group=LOSS_BATCH)
     joined = bce.join(rl, ["model", "batch"])
     return joined.select(
         "model",
