@@ -159,5 +159,10 @@ SEQ_FIELDS_B = ["type_code", "state", "util", "overdue"]
 def history_b_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History B with the priority as a dense code (sequence fields)."""
     h = history_b(spark, sf_dir)
-    codes = category_codes(h, "type", "type_code")
+    # The vocabulary comes from one column of the orders scan, not from the
+    # (joined, numbered) history itself.
+    priorities = read_table(spark, sf_dir, "orders", ["o_orderpriority"]).select(
+        F.col("o_orderpriority").alias("type")
+    )
+    codes = category_codes(priorities, "type", "type_code")
     return join_small(h, codes, on="type")

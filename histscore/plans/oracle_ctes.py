@@ -27,7 +27,7 @@ CTES: dict[str, str] = {
         FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey""",
     "type_codes": """
         SELECT type, CAST(row_number() OVER (ORDER BY type) - 1 AS SMALLINT) AS type_code
-        FROM (SELECT DISTINCT type FROM history_b)""",
+        FROM (SELECT DISTINCT o_orderpriority AS type FROM orders)""",
     "history_b_coded": """
         SELECT h.*, c.type_code FROM history_b h JOIN type_codes c USING (type)""",
     "target_dense": """
@@ -54,8 +54,7 @@ CTES: dict[str, str] = {
 DEPENDS: dict[str, list[str]] = {
     "history_a": ["event_codes"],
     "query_ids": ["target_sparse"],
-    "type_codes": ["history_b"],
-    "history_b_coded": ["type_codes"],
+    "history_b_coded": ["history_b", "type_codes"],
     "customer_scores": ["history_b"],
     "preds": ["customer_scores", "target_dense"],
 }
