@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from histscore.functions.scalar import fold
 
@@ -23,7 +26,14 @@ def temporal_fold(df: DataFrame, q: float = 0.9, id_col: str = "id") -> tuple[Da
     """Rows with ``id >= quantile(id, q)``; the border is a literal, so
     the filter reaches the Parquet scan."""
     border = quantile_border(df, q, id_col)
-    return df.where(F.col(id_col) >= F.lit(border)), border
+    dtype = df.schema[id_col].dataType
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        # id >= 13499.1 is id >= 13500 for integers; a literal of the
+        # column's type keeps the predicate pushable (no cast on the column).
+        bound = F.lit(math.ceil(border)).cast(dtype)
+    else:
+        bound = F.lit(border)
+    return df.where(F.col(id_col) >= bound), border
 
 
 def partition_by_mod(df: DataFrame, parts: int, path: str, id_col: str = "id") -> None:
