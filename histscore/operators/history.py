@@ -2,10 +2,9 @@
 
 Inputs are history tables ``(id, rn, fields...)`` with ``rn`` a dense
 1..N position per id. Everything is one ``groupBy('id')`` (partial hash
-aggregation, so a hot id is pre-combined on the map side) or an equi-join on
-``(id, rn)``, which spreads one hot id over all partitions. Features that
-need a previous row join the history to itself shifted by one position
-instead of running a window over the whole id.
+aggregation, so a hot id is pre-combined on the map side). Features that
+need a previous row use a chunked ``lag`` (``with_previous``): a window
+never holds more than one chunk of an id's history.
 """
 
 from __future__ import annotations
@@ -95,18 +94,38 @@ def _safe(value) -> str:
     return "".join(ch if ch.isalnum() else "_" for ch in text)
 
 
+# Positions per chunk of an id's history in ``with_previous``.
+CHUNK = 1024
+
+
 def with_previous(
-    df: DataFrame, fields: Sequence[str], id_col: str = "id", rn: str = "rn"
+    df: DataFrame, fields: Sequence[str], id_col: str = "id", rn: str = "rn", chunk: int = CHUNK
 ) -> DataFrame:
     """H9 building block: each row with the previous row's fields
-    (``<f>__prev``, null on the first row), by an equi-join on
-    ``(id, rn - 1)`` rather than a window over the whole id."""
-    previous = df.select(
-        F.col(id_col),
-        (F.col(rn) + 1).alias(rn),
-        *[F.col(f).alias(f"{f}__prev") for f in fields],
+    (``<f>__prev``, null on the first row); ``rn`` is a dense 1..N position.
+
+    An id's history is cut into chunks of ``chunk`` positions and the last
+    row of every chunk is also sent, as a ghost, to the next chunk. A
+    ``lag`` over ``(id, chunk)`` then sees across chunk edges. One shuffle;
+    a window group never holds more than ``chunk + 1`` rows, however long
+    one id's history is; the ghosts add 1/chunk rows."""
+    cols = [F.col(c) for c in df.columns]
+    home = F.floor((F.col(rn) - 1) / chunk).cast("long")
+    copies = F.array(
+        F.struct(home.alias("c"), F.lit(False).alias("ghost")),
+        F.when(
+            F.pmod(F.col(rn), F.lit(chunk)) == 0,
+            F.struct((home + 1).alias("c"), F.lit(True).alias("ghost")),
+        ),
+    )
+    spread = df.select(*cols, F.explode(copies).alias("_copy")).where(F.col("_copy").isNotNull())
+    w = Window.partitionBy(id_col, F.col("_copy.c")).orderBy(rn)
+    lagged = spread.select(
+        *cols,
+        F.col("_copy.ghost").alias("_ghost"),
+        *[F.lag(f).over(w).alias(f"{f}__prev") for f in fields],
     )
-    return df.join(previous, [id_col, rn], "left")
+    return lagged.where(~F.col("_ghost")).drop("_ghost")
 
 
 def deltas(df: DataFrame, fields: Sequence[str], id_col: str = "id") -> DataFrame:

@@ -155,3 +155,13 @@ def test_running_totals_join_fallback_matches(spark, monkeypatch):
     monkeypatch.setattr(ordering, "MAX_BROADCAST_ROWS", 0)
     joined = sorted(map(tuple, running_totals(preds, *args, ranges=4, totals_prefix="tot_").collect()))
     assert shipped == joined
+
+
+def test_previous_row_chunk_size_does_not_matter(spark):
+    from histscore.operators.history import with_previous
+
+    h = B.history_b(spark, SF_CHECK).select("id", "rn", "state", "x")
+    small = sorted(map(tuple, with_previous(h, ["state", "x"], chunk=3).collect()))
+    large = sorted(map(tuple, with_previous(h, ["state", "x"], chunk=1 << 20).collect()))
+    assert small == large
+    assert len(small) == h.count()
