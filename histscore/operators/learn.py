@@ -92,20 +92,22 @@ def batch_score(
     out_col: str = "score",
 ) -> DataFrame:
     """T5: apply ``forward(X, params)`` to Arrow batches of a fixed-length
-    array column. ``params`` (small, e.g. model weights) travel inside the
-    task closure, i.e. once per task, like a broadcast."""
+    array column. ``params`` (model weights) are a broadcast variable: sent
+    once per executor, not with every task."""
     keep = list(keep)
+    shared = df.sparkSession.sparkContext.broadcast(params)
     schema = T.StructType(
         [f for f in df.schema.fields if f.name in keep] + [T.StructField(out_col, T.DoubleType())]
     )
 
     def run(batches):
+        weights = shared.value
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             x = np.stack(pdf[array_col].to_numpy()).astype(np.float64)
             out = pdf[keep].copy()
-            out[out_col] = np.asarray(forward(x, params), dtype=np.float64)
+            out[out_col] = np.asarray(forward(x, weights), dtype=np.float64)
             yield out
 
     return df.select(*keep, array_col).mapInPandas(run, schema=schema)

@@ -28,7 +28,7 @@ from histscore.session import checkpointed
 
 BUCKET = "_bucket"
 # Broadcast bound for offset tables: ranges x groups rows.
-MAX_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_ROWS = 200_000
 
 
 def join_small(
@@ -109,16 +109,16 @@ def running_totals(
     total_names = [f"{totals_prefix}{v}" for v in values] if totals_prefix is not None else []
 
     # The offsets table has (ranges x groups) rows. Below the cap it is
-    # collected once and shipped inside the per-range pass (no join, no
-    # extra counting job); above it, it is joined back.
+    # collected once and broadcast to the per-range pass (no join, no extra
+    # counting job); above it, it is joined back.
     collected = offsets.limit(MAX_BROADCAST_ROWS + 1).collect()
     shipped = len(collected) <= MAX_BROADCAST_ROWS
     table = None
     if shipped:
         n_keys = 1 + len(group_cols)
-        table = {
-            tuple(r[:n_keys]): tuple(r[n_keys:]) for r in collected
-        }
+        table = df.sparkSession.sparkContext.broadcast(
+            {tuple(r[:n_keys]): tuple(r[n_keys:]) for r in collected}
+        )
 
     extra = [T.StructField(f"_l_{v}", out_types[v], False) for v in values]
     if shipped:
@@ -145,10 +145,11 @@ def _local_running(group_cols, values, out_types, table=None, total_names=()):
     """Per-range pass: exclusive running sums inside each (range, group),
     carried across the Arrow batches of the range (batches arrive in the
     stored, sorted order). Segmented numpy cumsum, no per-row Python. With
-    ``table`` ((range, group) -> offsets + totals) the offsets are added here
-    and the group totals appended."""
+    ``table`` (a broadcast of (range, group) -> offsets + totals) the offsets
+    are added here and the group totals appended."""
 
     def run(batches):
+        lookup = table.value if table is not None else None
         carry_key = None
         carry = {v: 0 for v in values}
         for pdf in batches:
@@ -164,9 +165,9 @@ def _local_running(group_cols, values, out_types, table=None, total_names=()):
             first_key = tuple(k[0] for k in keys)
             continues = carry_key is not None and all(_same(a, b) for a, b in zip(first_key, carry_key))
             out = pdf.copy()
-            if table is not None:
+            if lookup is not None:
                 seg_rows = np.flatnonzero(starts)
-                per_segment = [table[tuple(_py(k[i]) for k in keys)] for i in seg_rows]
+                per_segment = [lookup[tuple(_py(k[i]) for k in keys)] for i in seg_rows]
             for j, v in enumerate(values):
                 vals = _as_numbers(pdf[v], out_types[v])
                 inclusive = np.cumsum(vals)
@@ -174,14 +175,14 @@ def _local_running(group_cols, values, out_types, table=None, total_names=()):
                 local = exclusive - exclusive[starts][segment]
                 if continues:
                     local = local + np.where(segment == 0, carry[v], 0)
-                if table is not None:
+                if lookup is not None:
                     local = local + np.array([p[j] for p in per_segment])[segment]
                 out[f"_l_{v}"] = local
                 last_start = np.flatnonzero(starts)[-1]
                 tail = inclusive[-1] - exclusive[last_start]
                 only_one_segment = last_start == 0
                 carry[v] = (carry[v] if (continues and only_one_segment) else 0) + tail
-            if table is not None:
+            if lookup is not None:
                 for j, name in enumerate(total_names):
                     out[name] = np.array([p[len(values) + j] for p in per_segment])[segment]
             carry_key = tuple(k[-1] for k in keys)
