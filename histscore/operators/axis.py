@@ -24,7 +24,7 @@ from histscore.operators.ordering import block_running_totals, running_totals
 
 EDGE, LABEL = 0, 1
 # Positions per block of the id axis (the block form of the running totals).
-BLOCK_SIZE = 1 << 15
+BLOCK_SIZE = 1 << 12
 
 
 def included_labels(labels: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
