@@ -16,10 +16,6 @@ FIELDS_B = B.HISTORY_B_NUMERIC
 STATES = [0, 1, 2]
 
 
-def _round6(expr: str) -> str:
-    return f"round({expr}, 6)"
-
-
 # ---------------------------------------------------------------- A1-A5
 _agg_sql_cols = ", ".join(
     [f"avg({f}) AS {f}__mean" for f in FIELDS_B] + [f"max({f}) AS {f}__max" for f in FIELDS_B]

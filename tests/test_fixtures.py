@@ -4,7 +4,6 @@ import math
 import os
 import tempfile
 
-import pytest
 from pyspark.sql import functions as F
 
 from histscore.functions.scalar import compact_decimal_text, embedding_width, fold
