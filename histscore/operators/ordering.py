@@ -63,12 +63,16 @@ def running_totals(
     ranges: int | None = None,
     prefix: str = "before_",
     totals_prefix: str | None = None,
+    many_groups: bool = False,
 ) -> DataFrame:
     """Add ``{prefix}{v}``: the sum of ``v`` over rows strictly before this
     row in ``order_cols`` order within ``group_cols``.
 
     ``order_cols`` must be a total order inside each group. With
-    ``totals_prefix`` the group totals are added as well.
+    ``totals_prefix`` the group totals are added as well. ``many_groups``
+    (e.g. numbering inside every entity) keeps offsets only for the groups
+    that straddle a range boundary, at most one per boundary, so the shipped
+    table stays tiny however many groups there are (no group totals then).
     """
     order_cols = list(order_cols)
     values = list(values)
@@ -88,6 +92,9 @@ def running_totals(
         .withColumn(BUCKET, F.spark_partition_id())
     )
 
+    if many_groups and group_cols and totals_prefix is None:
+        return _straddling_offsets(df, laid_out, group_cols, values, out_types, prefix)
+
     # Range totals and their offsets: a table of (ranges x groups) rows.
     totals = laid_out.groupBy(BUCKET, *group_cols).agg(*[F.sum(v).cast(out_types[v]).alias(f"_t_{v}") for v in values])
     earlier = Window.partitionBy(*group_cols).orderBy(BUCKET).rowsBetween(
@@ -141,7 +148,49 @@ def running_totals(
     )
 
 
-def _local_running(group_cols, values, out_types, table=None, total_names=()):
+def _straddling_offsets(df, laid_out, group_cols, values, out_types, prefix):
+    """Offsets when groups are many. Ranges are contiguous in (group, order),
+    so a group reaches into range b only if it is the first group of b and
+    the last group of b-1; every other (range, group) has offset 0."""
+    key = F.struct(*group_cols)
+    ends = laid_out.groupBy(BUCKET).agg(F.min(key).alias("first"), F.max(key).alias("last")).collect()
+    ordered = sorted((r[BUCKET], tuple(r["first"]), tuple(r["last"])) for r in ends)
+    # Empty ranges have no row here, so compare with the previous non-empty one.
+    straddling = {
+        first for (_, first, _), (_, _, last_before) in zip(ordered[1:], ordered[:-1])
+        if first == last_before
+    }
+    table: dict = {}
+    if straddling:
+        types = [laid_out.schema[c].dataType for c in group_cols]
+        keys = [
+            F.struct(*[F.lit(x).cast(t).alias(c) for x, t, c in zip(k, types, group_cols)])
+            for k in straddling
+        ]
+        parts = (
+            laid_out.where(key.isin(*keys))
+            .groupBy(BUCKET, *group_cols)
+            .agg(*[F.sum(v).cast(out_types[v]).alias(v) for v in values])
+            .collect()
+        )
+        running: dict = {}
+        for r in sorted(parts, key=lambda r: r[BUCKET]):
+            g = tuple(r[c] for c in group_cols)
+            before = running.get(g, tuple(0 for _ in values))
+            table[(r[BUCKET], *g)] = before
+            running[g] = tuple(b + r[v] for b, v in zip(before, values))
+    shared = df.sparkSession.sparkContext.broadcast(table)
+    schema = T.StructType(
+        laid_out.schema.fields + [T.StructField(f"_l_{v}", out_types[v], False) for v in values]
+    )
+    local = laid_out.mapInPandas(
+        _local_running([BUCKET, *group_cols], values, out_types, shared, (), default=True),
+        schema=schema,
+    )
+    return local.select(*df.columns, *[F.col(f"_l_{v}").alias(f"{prefix}{v}") for v in values])
+
+
+def _local_running(group_cols, values, out_types, table=None, total_names=(), default=False):
     """Per-range pass: exclusive running sums inside each (range, group),
     carried across the Arrow batches of the range (batches arrive in the
     stored, sorted order). Segmented numpy cumsum, no per-row Python. With
@@ -167,7 +216,13 @@ def _local_running(group_cols, values, out_types, table=None, total_names=()):
             out = pdf.copy()
             if lookup is not None:
                 seg_rows = np.flatnonzero(starts)
-                per_segment = [lookup[tuple(_py(k[i]) for k in keys)] for i in seg_rows]
+                zero = tuple(0 for _ in values)
+                per_segment = [
+                    lookup.get(tuple(_py(k[i]) for k in keys), zero)
+                    if default
+                    else lookup[tuple(_py(k[i]) for k in keys)]
+                    for i in seg_rows
+                ]
             for j, v in enumerate(values):
                 vals = _as_numbers(pdf[v], out_types[v])
                 inclusive = np.cumsum(vals)
@@ -231,6 +286,7 @@ def global_row_number(
     ranges: int | None = None,
     name: str = "row_number",
     count_name: str | None = None,
+    many_groups: bool = False,
 ) -> DataFrame:
     """1-based row number in ``order_cols`` order inside ``group_cols``
     (two-level, exact); optionally the group size as ``count_name``."""
@@ -243,6 +299,7 @@ def global_row_number(
         ranges=ranges,
         prefix="_rn_",
         totals_prefix="_n_" if count_name else None,
+        many_groups=many_groups,
     )
     cols = [c for c in df.columns] + [(F.col("_rn__one") + 1).alias(name)]
     if count_name:
@@ -334,3 +391,37 @@ def block_running_totals(
         *[(F.col(f"_l_{v}") + F.col(f"_o_{v}")).alias(f"{prefix}{v}") for v in values],
         *([F.col(f"{totals_prefix}{v}") for v in values] if totals_prefix is not None else []),
     )
+
+
+# Rows of one entity above which its numbering is split across tasks.
+HOT_ROWS = 4_000_000
+MAX_HOT_KEYS = 10_000
+
+
+def number_within(
+    df: DataFrame,
+    key: str,
+    order_cols: Sequence[str],
+    name: str = "rn",
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """Dense 1..N position of each row inside its ``key`` group.
+
+    Ordinary groups use a ``row_number`` window partitioned by the key. Hot
+    groups (more than ``hot_rows`` rows, found by a partial-aggregation
+    count) are numbered by the two-level range form instead, which splits a
+    group across tasks. With more hot keys than ``MAX_HOT_KEYS`` every
+    group takes the range form."""
+    threshold = HOT_ROWS if hot_rows is None else hot_rows
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = [r[0] for r in counts.where(F.col("_n") > threshold).select(key).limit(MAX_HOT_KEYS + 1).collect()]
+    window = Window.partitionBy(key).orderBy(*order_cols)
+    if not hot:
+        return df.withColumn(name, F.row_number().over(window).cast("int"))
+    if len(hot) > MAX_HOT_KEYS:
+        numbered = global_row_number(df, order_cols, [key], name=name, many_groups=True)
+        return numbered.withColumn(name, F.col(name).cast("int"))
+    is_hot = F.col(key).isin(hot)
+    cold = df.where(~is_hot).withColumn(name, F.row_number().over(window).cast("int"))
+    split = global_row_number(df.where(is_hot), order_cols, [key], name=name, many_groups=True)
+    return cold.unionByName(split.withColumn(name, F.col(name).cast("int")))

@@ -8,8 +8,8 @@ query_ids      documents without a label, ord = rank of id
 preds          four deterministic scores per customer (long form)
 
 At scale the history tables arrive with ``rn`` already set (as in the
-reference); the ``row_number`` windows here only construct it from the
-driver tables, partitioned by entity.
+reference). Here ``rn`` is built with ``number_within``: a window per
+entity, except for hot entities, which are numbered across tasks.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from histscore.functions.scalar import fold
-from histscore.operators.ordering import global_row_number, join_small
+from histscore.operators.ordering import global_row_number, join_small, number_within
 from histscore.sources.tables import read_table
 
 HISTORY_A_FIELDS = ["f_type", "f_k", "f_hour", "f_val"]
@@ -44,11 +44,10 @@ def history_a(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"]
     )
     codes = category_codes(events, "event_type", "f_type")
-    by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    coded = join_small(events, codes, on="event_type")
+    coded = number_within(join_small(events, codes, on="event_type"), "user_id", ["ts", "event_id"])
     return coded.select(
         F.col("user_id").alias("id"),
-        F.row_number().over(by_user).cast("int").alias("rn"),
+        "rn",
         F.col("f_type"),
         F.get_json_object("props", "$.k").cast("int").cast("short").alias("f_k"),
         F.hour("ts").cast("short").alias("f_hour"),
@@ -77,7 +76,7 @@ def history_b(spark: SparkSession, sf_dir: str) -> DataFrame:
         ],
     )
     joined = orders.join(lines, orders.o_orderkey == lines.l_orderkey)
-    line_order = Window.partitionBy("o_custkey").orderBy(
+    line_order = [
         "o_orderdate",
         "l_orderkey",
         "l_linenumber",
@@ -86,11 +85,12 @@ def history_b(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_shipdate",
         "l_quantity",
         "l_extendedprice",
-    )
+    ]
+    numbered = number_within(joined, "o_custkey", line_order)
     state = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1)
-    return joined.select(
+    return numbered.select(
         F.col("o_custkey").alias("id"),
-        F.row_number().over(line_order).cast("int").alias("rn"),
+        "rn",
         F.col("o_orderpriority").alias("type"),
         state.otherwise(2).cast("short").alias("state"),
         F.round(F.col("l_discount") * 100).cast("short").alias("util"),

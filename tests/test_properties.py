@@ -165,3 +165,30 @@ def test_previous_row_chunk_size_does_not_matter(spark):
     large = sorted(map(tuple, with_previous(h, ["state", "x"], chunk=1 << 20).collect()))
     assert small == large
     assert len(small) == h.count()
+
+
+def test_numbering_inside_many_groups_matches_window(spark):
+    from pyspark.sql import Window
+
+    h = B.history_b(spark, SF_CHECK).select("id", "rn", "state", "x")
+    expected = sorted(map(tuple, h.select("id", "rn", F.col("rn").alias("n")).collect()))
+    shuffled = h.select("id", (F.col("rn") * 7919 % 100003).alias("key"), "rn")
+    for ranges in (3, 64):
+        got = global_row_number(shuffled, ["key", "rn"], ["id"], ranges=ranges, many_groups=True)
+        w = Window.partitionBy("id").orderBy("key", "rn")
+        want = shuffled.withColumn("row_number", F.row_number().over(w))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert len(expected) == h.count()
+
+
+def test_hot_entities_are_numbered_like_the_window(spark):
+    from pyspark.sql import Window
+
+    from histscore.operators.ordering import number_within
+
+    h = B.history_b(spark, SF_CHECK).select("id", "rn", "x")
+    shuffled = h.select("id", (F.col("rn") * 7919 % 100003).alias("key"), "x")
+    want = shuffled.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("key")))
+    for hot_rows in (None, 40, 0):
+        got = number_within(shuffled, "id", ["key"], hot_rows=hot_rows)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
