@@ -5,6 +5,7 @@ from __future__ import annotations
 from histscore.plans import q_axis, q_blend, q_history, q_learn, q_runs, q_seq  # noqa: F401
 from histscore.plans.q_history import flagship  # noqa: F401
 from histscore.plans.registry import ORACLE, QUERIES
+from histscore.plans.sqlkit import bigint_count_if
 
 
 def spark_queries():
@@ -12,4 +13,4 @@ def spark_queries():
 
 
 def oracle_queries():
-    return {k: v for k, v in ORACLE.items() if k in QUERIES}
+    return {k: bigint_count_if(v) for k, v in ORACLE.items() if k in QUERIES}

@@ -120,7 +120,7 @@ def _bins_sql(queries: str, labels: str, own: bool) -> str:
              CAST(coalesce(sum(l.flag), 0) {own_sum} AS BIGINT) AS sum,
              CAST(count(l.id) {own_cnt} AS BIGINT) AS count,
              (SELECT avg(flag) FROM {labels}) AS base
-      FROM (SELECT q.id, w.width, j.bin, q.id + j.bin * w.width - w.width // 2 AS lo
+      FROM (SELECT q.id, w.width, CAST(j.bin AS INTEGER) AS bin, q.id + j.bin * w.width - w.width // 2 AS lo
             FROM {queries} q, (SELECT unnest([{widths}]) AS width) w,
                  (SELECT unnest(range(-{HALF_BINS}, {HALF_BINS} + 1)) AS bin) j) b
       {"JOIN " + queries + " q ON q.id = b.id" if own else ""}

@@ -261,6 +261,13 @@ def q_h_state_freq(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- H9-H13
+def _tv_sql(f: str) -> str:
+    """Total variation; integer fields sum to BIGINT as in Spark."""
+    tv = f"coalesce(sum(abs({f} - {f}__prev)), 0)"
+    return tv if f == "x" else f"CAST({tv} AS BIGINT)"
+
+
+
 _LAGGED = "history_lag AS (SELECT *, " + ", ".join(
     f"lag({f}) OVER (PARTITION BY id ORDER BY rn) AS {f}__prev" for f in FIELDS_B
 ) + " FROM history_b)"
@@ -291,7 +298,7 @@ def q_h_deltas(spark, sf_dir):
         "SELECT id, "
         + ", ".join(
             f"round(regr_slope({f}, rn), 6) AS {f}__slope, "
-            f"coalesce(sum(abs({f} - {f}__prev)), 0) AS {f}__tv, "
+            f"{_tv_sql(f)} AS {f}__tv, "
             f"count_if({f} <> {f}__prev) AS {f}__changes"
             for f in SEQ_FIELDS
         )
@@ -363,7 +370,7 @@ def _wide_sql() -> str:
             f"arg_max({f}, rn) AS {f}__last",
             f"arg_max({f}, rn) - arg_min({f}, rn) AS {f}__delta",
             f"round(regr_slope({f}, rn), 6) AS {f}__slope",
-            f"coalesce(sum(abs({f} - {f}__prev)), 0) AS {f}__tv",
+            f"{_tv_sql(f)} AS {f}__tv",
             f"count_if({f} <> {f}__prev) AS {f}__changes",
         ]
     for v in PRIORITIES:

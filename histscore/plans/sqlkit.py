@@ -26,3 +26,26 @@ def dbl(x: float) -> str:
 
 def weighted_sql(terms) -> str:
     return " + ".join(f"{dbl(w)} * {c}" for w, c in terms)
+
+
+def bigint_count_if(sql: str) -> str:
+    """Wrap every ``count_if(...)`` in ``CAST(... AS BIGINT)``: DuckDB
+    returns HUGEINT there, Spark a BIGINT."""
+    out, i, token = [], 0, "count_if("
+    while True:
+        j = sql.find(token, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(token) - 1
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        out.append(sql[i:j])
+        out.append(f"CAST({sql[j:k + 1]} AS BIGINT)")
+        i = k + 1
