@@ -13,9 +13,10 @@ from histscore.plans.registry import register
 # Driver-scale parameters: the reference uses a 200,000-wide
 # window and widths 64..16,384 with 129 bins for millions of ids.
 HALF_WIDTH = 50
-PRIOR_SMOOTHING = 20.0
 BIN_WIDTHS = (4, 8, 16)
 HALF_BINS = 4
+# The reference's smoothing strengths (prior, bins).
+PRIOR_SMOOTHING = 20.0
 BIN_SMOOTHING = 5.0
 
 FOLD_SQL = "((id % 10) + 10) % 10"

@@ -306,18 +306,27 @@ def q_prepare_sequences(spark, sf_dir):
     """Q2: packed sequences for the labelled (train) and unlabelled (test)
     split, written to a path keyed by the parameters (K14), plus the
     metadata row (feature names, cardinalities, max_len, parts) as JSON."""
+    import hashlib
     import json
 
     from histscore.session import scratch_path
-    from histscore.sources.sinks import write_json_row, write_sequences
+    from histscore.sources.sinks import stage_done, write_json_row, write_sequences
 
     h = B.history_b_coded(spark, sf_dir)
-    root = scratch_path(spark, f"sequences/max_len={MAX_LEN}/fields={'-'.join(FIELDS)}")
+    # The path names the input and every parameter, so a committed stage is
+    # reused only for the same input and settings.
+    source = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
+    root = scratch_path(
+        spark, f"sequences/source={source}/max_len={MAX_LEN}/fields={'-'.join(FIELDS)}"
+    )
     labels = B.target_dense(spark, sf_dir)
-    train = S.pack_sequences(h.where(fold("id") != 0), FIELDS, MAX_LEN, labels.where(fold("id") != 0))
-    test = S.pack_sequences(h.where(fold("id") == 0), FIELDS, MAX_LEN)
-    write_sequences(train, f"{root}/table/split=train")
-    write_sequences(test, f"{root}/table/split=test")
+    for split, rows, lab in (
+        ("train", h.where(fold("id") != 0), labels.where(fold("id") != 0)),
+        ("test", h.where(fold("id") == 0), None),
+    ):
+        path = f"{root}/table/split={split}"
+        if not stage_done(spark, path):
+            write_sequences(S.pack_sequences(rows, FIELDS, MAX_LEN, lab), path)
     card = cards(spark, sf_dir).orderBy("field_index").collect()
     meta = {
         "feature_names": [r.field for r in card],
