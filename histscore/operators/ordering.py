@@ -45,10 +45,6 @@ def join_small(
     return big.join(small, on=on, how=how)
 
 
-def _default_ranges(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _is_integral(dtype: T.DataType) -> bool:
     return isinstance(
         dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
@@ -78,18 +74,21 @@ def running_totals(
     values = list(values)
     group_cols = list(group_cols)
     keys = group_cols + order_cols
-    n_ranges = ranges or _default_ranges(df)
     fields = {f.name: f.dataType for f in df.schema.fields}
     out_types = {
         v: T.LongType() if _is_integral(fields[v]) else T.DoubleType() for v in values
     }
+    # Without an explicit count the exchange uses the session's shuffle
+    # partitions and AQE may merge adjacent small ranges (still contiguous
+    # and ordered; the range index is stamped after the merge).
+    ranged = (
+        df.repartitionByRange(ranges, *keys) if ranges else df.repartitionByRange(*keys)
+    )
 
     # The range index is stamped into the rows before the checkpoint: a task's
     # partition id is not stable downstream (a Union renumbers partitions).
     laid_out = checkpointed(
-        df.repartitionByRange(n_ranges, *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn(BUCKET, F.spark_partition_id())
+        ranged.sortWithinPartitions(*keys).withColumn(BUCKET, F.spark_partition_id())
     )
 
     if many_groups and group_cols and totals_prefix is None:
