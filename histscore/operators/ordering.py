@@ -403,6 +403,7 @@ def number_within(
     order_cols: Sequence[str],
     name: str = "rn",
     hot_rows: int | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Dense 1..N position of each row inside its ``key`` group.
 
@@ -410,9 +411,12 @@ def number_within(
     groups (more than ``hot_rows`` rows, found by a partial-aggregation
     count) are numbered by the two-level range form instead, which splits a
     group across tasks. With more hot keys than ``MAX_HOT_KEYS`` every
-    group takes the range form."""
+    group takes the range form. ``counts`` (key, _n) may be supplied when
+    the caller can count more cheaply than by scanning ``df`` (e.g. from a
+    pre-aggregated side of a join)."""
     threshold = HOT_ROWS if hot_rows is None else hot_rows
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    if counts is None:
+        counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     hot = [r[0] for r in counts.where(F.col("_n") > threshold).select(key).limit(MAX_HOT_KEYS + 1).collect()]
     window = Window.partitionBy(key).orderBy(*order_cols)
     if not hot:

@@ -86,7 +86,16 @@ def history_b(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_quantity",
         "l_extendedprice",
     ]
-    numbered = number_within(joined, "o_custkey", line_order)
+    # Lines per customer without a second pass over the joined lines: count
+    # lines per order first (map-side partial aggregation), then per customer.
+    per_order = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("_lines"))
+    counts = (
+        orders.select("o_orderkey", "o_custkey")
+        .join(per_order, F.col("o_orderkey") == F.col("l_orderkey"))
+        .groupBy("o_custkey")
+        .agg(F.sum("_lines").alias("_n"))
+    )
+    numbered = number_within(joined, "o_custkey", line_order, counts=counts)
     state = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1)
     return numbered.select(
         F.col("o_custkey").alias("id"),
