@@ -46,10 +46,18 @@ def log_density(count: str | Column, width: int | str | Column) -> Column:
     return F.log1p(col(count)) / F.log1p(w)
 
 
-def embedding_width(cardinality: str | Column, maximum: int = 16) -> Column:
-    """P10: min(max, max(2, round(1.6 * card ** 0.56))), round half-even."""
-    raw = F.bround(F.lit(1.6) * F.pow(col(cardinality), F.lit(0.56)), 0)
-    return F.least(F.lit(maximum), F.greatest(F.lit(2), raw.cast("int")))
+# The embedding-width rule (scale, exponent, floor, cap).
+EMB_SCALE = 1.6
+EMB_EXPONENT = 0.56
+EMB_MIN = 2
+EMB_MAX = 16
+
+
+def embedding_width(cardinality: str | Column, maximum: int = EMB_MAX) -> Column:
+    """P10: min(max, max(floor, round(scale * card ** exponent))), rounding
+    half to even as Python's ``round`` does."""
+    raw = F.bround(F.lit(EMB_SCALE) * F.pow(col(cardinality), F.lit(EMB_EXPONENT)), 0)
+    return F.least(F.lit(maximum), F.greatest(F.lit(EMB_MIN), raw.cast("int")))
 
 
 def clamp(x: str | Column, lower, upper) -> Column:

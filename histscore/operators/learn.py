@@ -21,6 +21,14 @@ from pyspark.sql import types as T
 
 # Stand-in for a missing value (the reference's learner handles nulls).
 MISSING = -1.0
+# The table learner's settings (step, depth, leaf size,
+# row and feature sampling, seed).
+GBT_STEP = 0.04
+GBT_DEPTH = 5
+GBT_MIN_LEAF = 100
+GBT_SUBSAMPLE = 0.8
+GBT_FEATURE_SUBSET = "0.8"
+GBT_SEED = 42
 
 
 def gbt_pipeline(
@@ -28,8 +36,8 @@ def gbt_pipeline(
     label: str = "flag",
     valid_col: str = "is_valid",
     max_iter: int = 20,
-    seed: int = 42,
-    min_instances: int = 100,
+    seed: int = GBT_SEED,
+    min_instances: int = GBT_MIN_LEAF,
 ) -> Pipeline:
     """The table learner. ``validationTol`` is explicit: with the
     default 0.01 and a 0.04 step, training stops after one tree."""
@@ -38,11 +46,11 @@ def gbt_pipeline(
         labelCol=label,
         featuresCol="features",
         validationIndicatorCol=valid_col,
-        stepSize=0.04,
-        maxDepth=5,
+        stepSize=GBT_STEP,
+        maxDepth=GBT_DEPTH,
         minInstancesPerNode=min_instances,
-        subsamplingRate=0.8,
-        featureSubsetStrategy="0.8",
+        subsamplingRate=GBT_SUBSAMPLE,
+        featureSubsetStrategy=GBT_FEATURE_SUBSET,
         maxIter=max_iter,
         validationTol=0.0,
         seed=seed,

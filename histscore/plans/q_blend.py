@@ -26,7 +26,10 @@ BLEND_WEIGHTS = {"discount": 0.2, "overdue_rate": 0.3, "max_qty": 0.1, "n_lines"
 STACK_WEIGHTS = [0.249725, 0.102310, 0.342734, 0.266927, 0.038304]
 # Conservative mixing ratios.
 MIX_RATIOS = [0.50, 0.60, 0.70, 0.80, 0.90]
+# Positive-class weight of the log loss; weight grid of the
+# two-model search (start, stop, points).
 POS_WEIGHT = 4.0
+GRID = (0.5, 1.0, 11)
 RANK_LOSS_WEIGHT = 0.5
 
 RANKS_CTE = (
@@ -154,7 +157,7 @@ _GRID_SRC = f"""(SELECT g.weight, v.target, g.weight * v.n_lines + (1.0 - g.weig
     ),
 )
 def q_blend_grid(spark, sf_dir):
-    grid = BL.two_model_grid(wide(spark, sf_dir), "n_lines", "overdue_rate")
+    grid = BL.two_model_grid(wide(spark, sf_dir), "n_lines", "overdue_rate", "target", *GRID)
     return BL.mark_best(grid)
 
 
