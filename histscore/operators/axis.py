@@ -125,7 +125,7 @@ def centred_prior(
         F.first("tot_y").alias("tot_y"),
         F.first("tot_c").alias("tot_c"),
     )
-    base = F.col("tot_y") / F.col("tot_c")
+    base = F.try_divide(F.col("tot_y"), F.col("tot_c"))
     return window.select(
         F.col("qid").alias("id"),
         "window_sum",
@@ -189,7 +189,7 @@ def multi_scale_bins(
         centre = (F.col("bin") == 0) & F.col("_own").isNotNull()
         bins = bins.withColumn("sum", F.when(centre, F.col("sum") - F.col("_own")).otherwise(F.col("sum")))
         bins = bins.withColumn("count", F.when(centre, F.col("count") - 1).otherwise(F.col("count")))
-    base = F.col("tot_y") / F.col("tot_c")
+    base = F.try_divide(F.col("tot_y"), F.col("tot_c"))
     rate = smoothed_rate("sum", "count", base, smoothing)
     return bins.select(
         F.col("qid").alias("id"),

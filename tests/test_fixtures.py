@@ -105,3 +105,10 @@ def test_previous_row_across_chunks(spark):
     assert len(out) == 12
     assert out[(1, 1)] is None and out[(2, 1)] is None
     assert all(out[(1, i)] == (i - 1) * 10 for i in range(2, 12))
+
+
+def test_prior_without_labels_is_null(spark):
+    labels = spark.createDataFrame([], "id long, flag int")
+    queries = spark.createDataFrame([(2,), (3,)], "id long")
+    out = X.centred_prior(labels, queries, half_width=2, smoothing=20.0).collect()
+    assert len(out) == 2 and all(r.prior is None for r in out)
