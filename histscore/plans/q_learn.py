@@ -172,3 +172,41 @@ def q_complete_check_submission(spark, sf_dir):
     return joined.agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col("score").isNull()).alias("null_predictions")
     ).withColumn("missing_ids", F.lit(missing_keys(queries, predicted, ["id"]).count()).cast("long"))
+
+
+AB_PARTS = 4
+AB_ITER = 10
+
+
+@register("ab_models")
+def q_ab_models(spark, sf_dir):
+    """H15 with trained models: feature set A (the A5 aggregates) against
+    set B (the H14 wide table), the same learner and folds, exact AUC of
+    each on every part of the validation fold (the whole table, not one
+    part)."""
+    from histscore.operators.history import history_aggregate
+
+    h = B.history_b(spark, sf_dir)
+    target = B.target_dense(spark, sf_dir)
+    sets = {
+        "a": history_aggregate(h, B.HISTORY_B_NUMERIC),
+        "b": q_history.q_h_wide(spark, sf_dir),
+    }
+    scored = None
+    for tag, feats_df in sets.items():
+        feats = [c for c in feats_df.columns if c != "id"]
+        table = L.prepare_features(
+            feats_df.join(target, "id").withColumn("is_valid", fold("id") == 0), feats
+        )
+        model = L.gbt_pipeline(feats, max_iter=AB_ITER).fit(table)
+        part = L.positive_probability(model.transform(table.where("is_valid"))).select(
+            "id", "flag", "score", F.lit(tag).alias("variant")
+        )
+        scored = part if scored is None else scored.unionByName(part)
+    # Validation ids are multiples of 10; their parts come from id / 10.
+    scored = scored.withColumn("part", F.pmod(F.floor(F.col("id") / 10), F.lit(AB_PARTS)).cast("int"))
+    aucs = M.auc(scored, "score", "flag", by=["part", "variant"])
+    return aucs.groupBy("part").agg(
+        F.max(F.when(F.col("variant") == "a", F.col("auc"))).alias("auc_a"),
+        F.max(F.when(F.col("variant") == "b", F.col("auc"))).alias("auc_b"),
+    )
