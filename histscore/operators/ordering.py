@@ -9,9 +9,14 @@ Here the order is cut into ranges instead:
    order (a re-evaluation cannot re-sample different bounds);
 3. one vectorised pass per range computes the running sums of that range;
 4. a tiny table of range totals (ranges x groups rows) gives each range its
-   offset, broadcast back after a size check.
+   offset: below a row cap it is collected and handed to the pass as a
+   broadcast variable, above it it is joined back.
 
 Every step is exact; the sample only decides how balanced the ranges are.
+For many groups (numbering inside every entity) only groups that straddle a
+range boundary get offsets. ``block_running_totals`` is the variant for an
+integer axis (fixed blocks, no sampling), and ``number_within`` numbers rows
+inside entities, splitting only hot ones.
 """
 
 from __future__ import annotations
@@ -95,7 +100,9 @@ def running_totals(
         return _straddling_offsets(df, laid_out, group_cols, values, out_types, prefix)
 
     # Range totals and their offsets: a table of (ranges x groups) rows.
-    totals = laid_out.groupBy(BUCKET, *group_cols).agg(*[F.sum(v).cast(out_types[v]).alias(f"_t_{v}") for v in values])
+    totals = laid_out.groupBy(BUCKET, *group_cols).agg(
+        *[F.sum(v).cast(out_types[v]).alias(f"_t_{v}") for v in values]
+    )
     earlier = Window.partitionBy(*group_cols).orderBy(BUCKET).rowsBetween(
         Window.unboundedPreceding, -1
     )
