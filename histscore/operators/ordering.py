@@ -44,8 +44,9 @@ def join_small(
     max_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Join with a side that is small by construction, broadcasting it only
-    after counting it; above ``max_rows`` it is an ordinary shuffled join."""
-    if small.count() <= max_rows:
+    after counting it (the count stops at ``max_rows + 1``); above the bound
+    it is an ordinary shuffled join."""
+    if small.limit(max_rows + 1).count() <= max_rows:
         return big.join(F.broadcast(small), on=on, how=how)
     return big.join(small, on=on, how=how)
 
