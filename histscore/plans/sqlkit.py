@@ -29,8 +29,9 @@ def weighted_sql(terms) -> str:
 
 
 def bigint_count_if(sql: str) -> str:
-    """Wrap every ``count_if(...)`` in ``CAST(... AS BIGINT)``: DuckDB
-    returns HUGEINT there, Spark a BIGINT."""
+    """Wrap every ``count_if(...)`` in ``CAST(coalesce(..., 0) AS BIGINT)``:
+    DuckDB returns HUGEINT there, and NULL when every input is NULL, where
+    Spark returns a BIGINT 0."""
     out, i, token = [], 0, "count_if("
     while True:
         j = sql.find(token, i)
@@ -47,5 +48,5 @@ def bigint_count_if(sql: str) -> str:
                     break
             k += 1
         out.append(sql[i:j])
-        out.append(f"CAST({sql[j:k + 1]} AS BIGINT)")
+        out.append(f"CAST(coalesce({sql[j:k + 1]}, 0) AS BIGINT)")
         i = k + 1
