@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from histscore.llm import mixing, quality, sharding, simhash
+from histscore.llm import bitplanes, mixing, packing, quality, sharding, simhash, warc
 from histscore.llm.common import table
 from histscore.llm.registry import ORACLE, QUERIES, register
 
@@ -79,6 +79,33 @@ def op6(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@register("op7_bitplane_tokens")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bitplanes.read_token_files(bitplanes.write_token_files(docs))
+
+
+@register("op8_differencing_packing")
+def op8(spark, sf_dir):
+    return packing.packed_digest(packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+WARC_SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+g as (select html, max(page_id) as top, count(*) as n from p where strlen(html) >= 1000 group by html)
+select p.page_id, strlen(p.html) as payload_bytes, sha1(p.html) as payload_digest,
+  case when g.n > 1 and p.page_id <> g.top then 'revisit' else 'response' end as record_type,
+  case when g.n > 1 and p.page_id <> g.top then g.top end as refers_to
+from p left join g on p.html = g.html
+"""
+
+
+@register("op10_warc_bundles", WARC_SQL)
+def op10(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.read_bundles(warc.write_bundles(warc.decide_records(pages)))
+
+
 def llm_queries() -> dict:
     return dict(QUERIES)
 
