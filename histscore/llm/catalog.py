@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from histscore.llm import bitplanes, mixing, packing, quality, sharding, simhash, warc
+from histscore.llm import bitplanes, chat, mixing, orderhash, packing, quality, sharding, simhash, warc
 from histscore.llm.common import table
 from histscore.llm.registry import ORACLE, QUERIES, register
 
@@ -51,6 +51,33 @@ def op2(spark, sf_dir):
     return mixing.mix_counts(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+CHAT_SQL = r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e as (select *,
+    4 + length(regexp_replace(role, '([\\#<:])', '\\\1', 'g')) + 2
+    + length(replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>')) + 8 as chars
+  from c)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(chars)::bigint as formatted_chars
+from e group by conv_id
+"""
+#: The planted conversation -7.
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+@register("op3_chat_format", CHAT_SQL)
+def op3(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
+    return chat.conversation_digest(chat.format_conversations(rows.unionByName(planted)))
+
+
 @register("op4_simhash_dedup")
 def op4(spark, sf_dir):
     groups = simhash.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -90,6 +117,11 @@ def op8(spark, sf_dir):
     return packing.packed_digest(packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+@register("op9_order_minhash")
+def op9(spark, sf_dir):
+    return orderhash.fingerprint_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 WARC_SQL = """
 with p as (select page_id, coalesce(html, '') as html from pages),
 g as (select html, max(page_id) as top, count(*) as n from p where strlen(html) >= 1000 group by html)
