@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from histscore.llm import bitplanes, chat, mixing, orderhash, packing, quality, sharding, simhash, warc
+from histscore.llm import bitplanes, chat, mixing, orderhash, packing, quality, sharding, simhash, substring, warc
 from histscore.llm.common import table
 from histscore.llm.registry import ORACLE, QUERIES, register
 
@@ -84,6 +84,11 @@ def op4(spark, sf_dir):
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@register("op5_substring_dedup")
+def op5(spark, sf_dir):
+    return substring.removal_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 SHARD_SQL = r"""
 with d as (
   select doc_id, coalesce(strlen(text), 0) as bytes,
