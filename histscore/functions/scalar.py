@@ -89,22 +89,15 @@ def compact_decimal_text(value: str | Column) -> Column:
     return F.when(text == "-0", F.lit("0")).otherwise(text)
 
 
-# Constants of the multiplicative mixing hash.
-HASH_MODULUS = 4294967296  # 2**32
-HASH_STEP = 1000003
-HASH_MULTIPLIER = 1103515245
-
-
 def mix_hash(*columns: str | Column, seed: int = 0) -> Column:
-    """Deterministic 32-bit hash of integer columns: independent of
-    partitioning (unlike ``rand()``), and plain integer arithmetic, so any
-    SQL engine reproduces it. Every intermediate stays below 2**63."""
-    acc = F.lit(int(seed) % HASH_MODULUS).cast("long")
-    for c in columns:
-        acc = F.pmod(acc * F.lit(HASH_STEP) + col(c).cast("long"), F.lit(HASH_MODULUS))
-    return F.pmod(acc * F.lit(HASH_MULTIPLIER), F.lit(HASH_MODULUS))
+    """Deterministic 32-bit hash of integer columns: the leading md5 digits
+    of the seed and the values. Independent of partitioning (unlike
+    ``rand()``), the same in any SQL engine, and without structure between
+    neighbouring values; nulls are left out."""
+    text = F.concat_ws(":", F.lit(str(int(seed))), *[col(c).cast("long").cast("string") for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
 def hash_unit(*columns: str | Column, seed: int = 0) -> Column:
     """The high 16 bits of ``mix_hash`` as an integer in [0, 65536)."""
-    return F.floor(mix_hash(*columns, seed=seed) / 65536).cast("long")
+    return F.shiftright(mix_hash(*columns, seed=seed), 16)

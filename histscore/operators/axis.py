@@ -34,8 +34,14 @@ def included_labels(labels: DataFrame, excluded: DataFrame | None = None) -> Dat
     return labels.join(excluded.select("id").distinct(), "id", "left_anti")
 
 
+def unique_labels(labels: DataFrame) -> DataFrame:
+    """One row per label id; a repeated id counts once, with its largest
+    flag. A null id is on no axis."""
+    return labels.where(F.col("id").isNotNull()).groupBy("id").agg(F.max("flag").alias("flag"))
+
+
 def _label_rows(labels: DataFrame) -> DataFrame:
-    return labels.select(
+    return unique_labels(labels).select(
         F.col("id").cast("long").alias("pos"),
         F.lit(LABEL).alias("kind"),
         F.lit(None).cast("long").alias("qid"),
@@ -84,7 +90,7 @@ def prefix_table(
     body = totals.select(
         "pos", F.col("before_y").alias("sum_before"), F.col("before_c").alias("count_before")
     )
-    end = labels.agg(
+    end = unique_labels(labels).agg(
         (F.max("id") + 1).cast("long").alias("pos"),
         F.sum("flag").cast("long").alias("sum_before"),
         F.count(F.lit(1)).alias("count_before"),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -111,7 +110,9 @@ def ratio_mixes(
 def simplex(n: int, step_count: int) -> list[tuple[int, ...]]:
     """Integer compositions of ``step_count`` into ``n`` parts (weights are
     parts / step_count)."""
-    return [c for c in product(range(step_count + 1), repeat=n) if sum(c) == step_count]
+    if n == 1:
+        return [(step_count,)]
+    return [(k, *rest) for k in range(step_count + 1) for rest in simplex(n - 1, step_count - k)]
 
 
 def simplex_search(

@@ -28,26 +28,28 @@ def missing_keys(required: DataFrame, present: DataFrame, keys: Sequence[str]) -
 
 
 def alignment_report(
-    left: DataFrame, right: DataFrame, key: str, compare: Sequence[str] = ()
+    left: DataFrame, right: DataFrame, key: str, compare: Sequence[str] = (), by: Sequence[str] = ()
 ) -> DataFrame:
-    """One row counting ids only on the left, only on the right, and
-    ids whose ``compare`` columns differ (null-safe)."""
-    lcols = [F.col(key)] + [F.col(c).alias(f"_l_{c}") for c in compare] + [F.lit(1).alias("_l")]
-    rcols = [F.col(key)] + [F.col(c).alias(f"_r_{c}") for c in compare] + [F.lit(1).alias("_r")]
-    both = left.select(*lcols).join(right.select(*rcols), key, "full_outer")
+    """One row (per ``by``, e.g. the model) counting ids only on the
+    left, only on the right, and ids whose ``compare`` columns differ
+    (null-safe)."""
+    keys = [*by, key]
+    lcols = [F.col(c) for c in keys] + [F.col(c).alias(f"_l_{c}") for c in compare] + [F.lit(1).alias("_l")]
+    rcols = [F.col(c) for c in keys] + [F.col(c).alias(f"_r_{c}") for c in compare] + [F.lit(1).alias("_r")]
+    both = left.select(*lcols).join(right.select(*rcols), keys, "full_outer")
     differ = F.lit(False)
     for c in compare:
         differ = differ | ~F.col(f"_l_{c}").eqNullSafe(F.col(f"_r_{c}"))
-    return both.agg(
+    return both.groupBy(*by).agg(
         F.count_if(F.col("_r").isNull()).alias("only_left"),
         F.count_if(F.col("_l").isNull()).alias("only_right"),
         F.count_if(F.col("_l").isNotNull() & F.col("_r").isNotNull() & differ).alias("differ"),
     )
 
 
-def row_count_report(df: DataFrame, expected: int) -> DataFrame:
-    """C4: the row count against its expectation."""
-    return df.agg(
+def row_count_report(df: DataFrame, expected: int, by: Sequence[str] = ()) -> DataFrame:
+    """C4: the row count (per ``by``) against its expectation."""
+    return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("rows"),
         F.lit(expected).cast("long").alias("expected"),
     ).withColumn("ok", F.col("rows") == F.col("expected"))

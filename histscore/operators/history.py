@@ -1,10 +1,9 @@
 """A1-A6 history aggregates and H1-H14 engineered history features.
 
-Inputs are history tables ``(id, rn, fields...)`` with ``rn`` a dense
-1..N position per id. Everything is one ``groupBy('id')`` (partial hash
-aggregation, so a hot id is pre-combined on the map side). Features that
-need a previous row use a chunked ``lag`` (``with_previous``): a window
-never holds more than one chunk of an id's history.
+Inputs are history tables ``(id, rn, fields...)`` with ``rn`` an ascending
+position per id (gaps allowed). Everything is one ``groupBy('id')`` (partial
+hash aggregation, so a hot id is pre-combined on the map side). Features that
+need a previous row use a ``lag`` per id (``with_previous``).
 """
 
 from __future__ import annotations
@@ -94,38 +93,13 @@ def _safe(value) -> str:
     return "".join(ch if ch.isalnum() else "_" for ch in text)
 
 
-# Positions per chunk of an id's history in ``with_previous``.
-CHUNK = 1024
-
-
-def with_previous(
-    df: DataFrame, fields: Sequence[str], id_col: str = "id", rn: str = "rn", chunk: int = CHUNK
-) -> DataFrame:
+def with_previous(df: DataFrame, fields: Sequence[str], id_col: str = "id", rn: str = "rn") -> DataFrame:
     """H9 building block: each row with the previous row's fields
-    (``<f>__prev``, null on the first row); ``rn`` is a dense 1..N position.
-
-    An id's history is cut into chunks of ``chunk`` positions and the last
-    row of every chunk is also sent, as a ghost, to the next chunk. A
-    ``lag`` over ``(id, chunk)`` then sees across chunk edges. One shuffle;
-    a window group never holds more than ``chunk + 1`` rows, however long
-    one id's history is; the ghosts add 1/chunk rows."""
-    cols = [F.col(c) for c in df.columns]
-    home = F.floor((F.col(rn) - 1) / chunk).cast("long")
-    copies = F.array(
-        F.struct(home.alias("c"), F.lit(False).alias("ghost")),
-        F.when(
-            F.pmod(F.col(rn), F.lit(chunk)) == 0,
-            F.struct((home + 1).alias("c"), F.lit(True).alias("ghost")),
-        ),
-    )
-    spread = df.select(*cols, F.explode(copies).alias("_copy")).where(F.col("_copy").isNotNull())
-    w = Window.partitionBy(id_col, F.col("_copy.c")).orderBy(rn)
-    lagged = spread.select(
-        *cols,
-        F.col("_copy.ghost").alias("_ghost"),
-        *[F.lag(f).over(w).alias(f"{f}__prev") for f in fields],
-    )
-    return lagged.where(~F.col("_ghost")).drop("_ghost")
+    (``<f>__prev``, null on the first row), by ``rn`` order; ``rn`` may have
+    gaps. The window is partitioned like the numbering before it, so it adds
+    a sort but no shuffle, and its buffer spills."""
+    w = Window.partitionBy(id_col).orderBy(rn)
+    return df.select("*", *[F.lag(f).over(w).alias(f"{f}__prev") for f in fields])
 
 
 def deltas(df: DataFrame, fields: Sequence[str], id_col: str = "id") -> DataFrame:
@@ -174,13 +148,16 @@ def transitions(
     return paired.groupBy(id_col).agg(*exprs)
 
 
+def _last_flagged(flag: str, id_col: str) -> Column:
+    return F.max(F.when(F.col(flag) > 0, F.col("rn"))).over(Window.partitionBy(id_col))
+
+
 def since_last_flag(df: DataFrame, flag: str = "overdue", id_col: str = "id") -> DataFrame:
-    """Rows after the latest flagged row (null if none was flagged)."""
-    return df.groupBy(id_col).agg(
-        (F.count(F.lit(1)) - F.max(F.when(F.col(flag) > 0, F.col("rn")))).alias(
-            f"since_{flag}"
-        )
-    )
+    """Rows after the latest flagged row (null if none was flagged);
+    counts rows, so ``rn`` may have gaps."""
+    marked = df.withColumn("_flagged", _last_flagged(flag, id_col))
+    after = F.count_if(F.col("rn") > F.col("_flagged"))
+    return marked.groupBy(id_col).agg(F.when(F.max("_flagged").isNotNull(), after).alias(f"since_{flag}"))
 
 
 def by_category(
@@ -238,9 +215,9 @@ def wide_features(
         )
     for s in states:
         plain.append((F.count_if(F.col(state) == s) / n).alias(f"{state}__freq_{s}"))
-    plain.append(
-        (n - F.max(F.when(F.col(overdue) > 0, F.col("rn")))).alias(f"since_{overdue}")
-    )
+    after = F.count_if(F.col("rn") > F.col("_flagged"))
+    plain.append(F.when(F.max("_flagged").isNotNull(), after).alias(f"since_{overdue}"))
+    df = df.withColumn("_flagged", _last_flagged(overdue, id_col))
     paired = with_previous(df, list(dict.fromkeys([state, *fields])), id_col)
     seq = []
     for f in fields:

@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Stand-in for a missing value (the reference's learner handles nulls).
-MISSING = -1.0
+# Stand-in for a missing value (the reference's learner handles nulls): far
+# below any feature, so trees can split it off and no legal value meets it.
+MISSING = -1.0e30
 # The table learner's settings (step, depth, leaf size,
 # row and feature sampling, seed).
 GBT_STEP = 0.04
@@ -58,10 +59,11 @@ def gbt_pipeline(
     return Pipeline(stages=[assembler, gbt])
 
 
-def prepare_features(df: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
-    """Cast features to double and replace nulls by the missing marker."""
+def prepare_features(df: DataFrame, feature_cols: Sequence[str], missing: float = MISSING) -> DataFrame:
+    """Cast features to double and replace nulls by the missing marker (for
+    trees; a linear model takes 0.0 instead)."""
     cols = [
-        F.coalesce(F.col(c).cast("double"), F.lit(MISSING)).alias(c) if c in feature_cols else F.col(c)
+        F.coalesce(F.col(c).cast("double"), F.lit(missing)).alias(c) if c in feature_cols else F.col(c)
         for c in df.columns
     ]
     return df.select(*cols)

@@ -24,9 +24,13 @@ def auc(
 
     Rows collapse to one per distinct score first (partial aggregation, so a
     hot score costs nothing); the negatives below each score come from the
-    two-level running total, never from a global window.
+    two-level running total, never from a global window. A null or NaN score
+    or a null label fails the job.
     """
     by = list(by)
+    bad = F.col(score).isNull() | F.isnan(F.col(score).cast("double")) | F.col(label).isNull()
+    refused = F.raise_error(F.lit("AUC needs a finite score and a label in every row"))
+    df = df.withColumn(label, F.when(bad, refused.cast(df.schema[label].dataType)).otherwise(F.col(label)))
     per_score = df.groupBy(*by, score).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("long").alias("_pos"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).cast("long").alias("_neg"),
@@ -62,45 +66,46 @@ def weighted_bce(
     return df.groupBy(*by).agg(F.avg(loss).alias(name))
 
 
+PAIR_BLOCK = 1024
+
+
 def pairwise_rank_loss(
     df: DataFrame,
     score: str,
     label: str,
     by: Sequence[str],
     name: str = "rank_loss",
-    max_group: int = 4096,
+    block: int = PAIR_BLOCK,
 ) -> DataFrame:
     """M4: mean softplus(-(p+ - p-)) over positive x negative pairs of each
-    group, 0 when a class is absent. Groups are training batches (see
-    ``sequences.batch_plan``); a group above ``max_group`` rows fails the
-    job rather than collecting an unbounded list. The pairs are folded
-    inside one row, never emitted."""
-    # Group sizes by partial aggregation first: an oversized group stops
-    # here, before any list is collected.
-    oversized = df.groupBy(*by).count().where(F.col("count") > max_group).limit(1).count()
-    if oversized:
-        raise ValueError(f"rank-loss group above {max_group} rows")
-    grouped = df.groupBy(*by).agg(
-        F.collect_list(F.when(F.col(label) == 1, F.col(score).cast("double"))).alias("_p"),
-        F.collect_list(F.when(F.col(label) != 1, F.col(score).cast("double"))).alias("_n"),
-    )
-    pair_sum = F.aggregate(
+    group, 0 when a class is absent. Scores of a class are dealt into blocks
+    of about ``block``; blocks of positives meet blocks of negatives of their
+    group and the pairs are folded inside one row, so a group of any size is
+    shared among tasks and no list grows with it."""
+    by = list(by)
+    sides = df.select(*by, F.col(score).cast("double").alias("_s"), (F.col(label) == 1).alias("_is_pos"))
+    sizes = sides.groupBy(*by, "_is_pos").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    dealt = sides.join(sizes, [*by, "_is_pos"]).withColumn("_b", F.pmod(F.xxhash64("_s"), F.col("_blocks")))
+    # equal scores share a block; a value and its count stand for all of them
+    counted = dealt.groupBy(*by, "_is_pos", "_b", "_s").agg(F.count(F.lit(1)).alias("_c"))
+    lists = counted.groupBy(*by, "_is_pos", "_b").agg(F.collect_list(F.struct("_s", "_c")).alias("_l"))
+    pos = lists.where("_is_pos").select(*by, F.col("_l").alias("_p"))
+    neg = lists.where("not _is_pos").select(*by, F.col("_l").alias("_n"))
+    loss = F.aggregate(
         "_p",
         F.lit(0.0),
         lambda acc, p: acc
         + F.aggregate(
             "_n",
             F.lit(0.0),
-            lambda inner, n: inner
-            + F.greatest(n - p, F.lit(0.0))
-            + F.log1p(F.exp(-F.abs(n - p))),
+            lambda inner, n: inner + softplus(n["_s"] - p["_s"]) * (n["_c"] * p["_c"]),
         ),
     )
-    pairs = F.size("_p") * F.size("_n")
-    return grouped.select(
-        *by,
-        F.when(pairs == 0, F.lit(0.0)).otherwise(pair_sum / pairs).alias(name),
-    )
+    count = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + x["_c"])
+    folded = pos.join(neg, by).select(*by, loss.alias("_loss"), (count("_p") * count("_n")).alias("_pairs"))
+    per_group = folded.groupBy(*by).agg((F.sum("_loss") / F.sum("_pairs")).alias(name))
+    groups = sides.select(*by).distinct()
+    return groups.join(per_group, by, "left").select(*by, F.coalesce(name, F.lit(0.0)).alias(name))
 
 
 def correlation(wide: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -1,39 +1,35 @@
 """Running totals in a global order, without funnelling rows into one task.
 
 A window ``orderBy`` with no ``partitionBy`` sends every row to one task.
-Here the order is cut into ranges instead:
-
-1. ``repartitionByRange`` on ``(group, order)``: Spark samples the composite
-   key, so one hot score value is still split by the tie-break column;
-2. sort inside each range and checkpoint, which pins the ranges and their
-   order (a re-evaluation cannot re-sample different bounds);
-3. one vectorised pass per range computes the running sums of that range;
-4. a tiny table of range totals (ranges x groups rows) gives each range its
-   offset: below a row cap it is collected and handed to the pass as a
-   broadcast variable, above it it is joined back.
-
-Every step is exact; the sample only decides how balanced the ranges are.
-For many groups (numbering inside every entity) only groups that straddle a
-range boundary get offsets. ``block_running_totals`` is the variant for an
-integer axis (fixed blocks, no sampling), and ``number_within`` numbers rows
-inside entities, splitting only hot ones.
+Here the order is cut into ranges instead, in three JVM-only steps:
+
+1. a few hundred boundaries, the quantiles of the keys of smallest hash (a
+   deterministic sample of bounded size), become literals; a row's range is
+   found by a balanced tree of literal comparisons, so every evaluation of
+   the plan deals the rows alike;
+2. a window per (range, group) gives the running sums inside the range;
+3. one row per (range, group) gives the offsets, joined back on the same key.
+
+The join key is a struct, so null groups meet like any other. Every step is
+exact; the sample only decides how balanced the ranges are.
+``block_running_totals`` is the variant for an integer axis (fixed blocks, no
+sampling), and ``number_within`` numbers rows inside entities.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from histscore.session import checkpointed
-
-BUCKET = "_bucket"
-# Broadcast bound for offset tables: ranges x groups rows.
+# Broadcast bound of ``join_small``, in rows.
 MAX_BROADCAST_ROWS = 200_000
+# Ranges at most, and sampled keys per range.
+MAX_RANGES = 512
+SAMPLE_PER_RANGE = 32
+KEY = "_range_key"
 
 
 def join_small(
@@ -51,10 +47,41 @@ def join_small(
     return big.join(small, on=on, how=how)
 
 
-def _is_integral(dtype: T.DataType) -> bool:
-    return isinstance(
-        dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
-    )
+def _sum_type(dtype: T.DataType) -> T.DataType:
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+        return T.LongType()
+    if isinstance(dtype, T.DecimalType):
+        return T.DecimalType(38, dtype.scale)
+    return T.DoubleType()
+
+
+def range_bounds(df: DataFrame, key_cols: Sequence[str], ranges: int) -> list[tuple]:
+    """At most ``ranges - 1`` ascending keys that cut ``df`` evenly: quantiles
+    of the ``ranges * SAMPLE_PER_RANGE`` keys of smallest hash."""
+    if ranges <= 1:
+        return []
+    size = ranges * SAMPLE_PER_RANGE
+    picked = df.select(*key_cols).orderBy(F.xxhash64(*key_cols), *key_cols).limit(size)
+    rows = picked.orderBy(*key_cols).collect()
+    cuts = [rows[len(rows) * k // ranges] for k in range(1, ranges)] if rows else []
+    return list(dict.fromkeys(tuple(r) for r in cuts))
+
+
+def range_of(df: DataFrame, key_cols: Sequence[str], bounds: Sequence[tuple]) -> Column:
+    """Number of bounds that are not above the row's key (nulls first)."""
+    types = [df.schema[c].dataType for c in key_cols]
+    key = F.struct(*[F.col(c) for c in key_cols])
+
+    def literal(bound: tuple) -> Column:
+        return F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(bound, types, key_cols)])
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key < literal(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    return tree(0, len(bounds))
 
 
 def running_totals(
@@ -65,225 +92,47 @@ def running_totals(
     ranges: int | None = None,
     prefix: str = "before_",
     totals_prefix: str | None = None,
-    many_groups: bool = False,
 ) -> DataFrame:
     """Add ``{prefix}{v}``: the sum of ``v`` over rows strictly before this
-    row in ``order_cols`` order within ``group_cols``.
-
-    ``order_cols`` must be a total order inside each group. With
-    ``totals_prefix`` the group totals are added as well. ``many_groups``
-    (e.g. numbering inside every entity) keeps offsets only for the groups
-    that straddle a range boundary, at most one per boundary, so the shipped
-    table stays tiny however many groups there are (no group totals then).
-    """
-    order_cols = list(order_cols)
-    values = list(values)
-    group_cols = list(group_cols)
+    row in ``order_cols`` order within ``group_cols``. ``order_cols`` must be
+    a total order inside each group; null keys and null groups are ordinary
+    (first) values. With ``totals_prefix`` the group totals are added."""
+    order_cols, values, group_cols = list(order_cols), list(values), list(group_cols)
+    types = {v: _sum_type(df.schema[v].dataType) for v in values}
     keys = group_cols + order_cols
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    out_types = {
-        v: T.LongType() if _is_integral(fields[v]) else T.DoubleType() for v in values
-    }
-    # Without an explicit count the exchange uses the session's shuffle
-    # partitions and AQE may merge adjacent small ranges (still contiguous
-    # and ordered; the range index is stamped after the merge).
-    ranged = (
-        df.repartitionByRange(ranges, *keys) if ranges else df.repartitionByRange(*keys)
+    if ranges is None:
+        ranges = min(MAX_RANGES, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = range_bounds(df, keys, ranges)
+    keyed = df.withColumn(
+        KEY, F.struct(range_of(df, keys, bounds).alias("_range"), *[F.col(c).alias(f"_g_{c}") for c in group_cols])
     )
 
-    # The range index is stamped into the rows before the checkpoint: a task's
-    # partition id is not stable downstream (a Union renumbers partitions).
-    laid_out = checkpointed(
-        ranged.sortWithinPartitions(*keys).withColumn(BUCKET, F.spark_partition_id())
-    )
-
-    if many_groups and group_cols and totals_prefix is None:
-        return _straddling_offsets(df, laid_out, group_cols, values, out_types, prefix)
-
-    # Range totals and their offsets: a table of (ranges x groups) rows.
-    totals = laid_out.groupBy(BUCKET, *group_cols).agg(
-        *[F.sum(v).cast(out_types[v]).alias(f"_t_{v}") for v in values]
-    )
-    earlier = Window.partitionBy(*group_cols).orderBy(BUCKET).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    whole = Window.partitionBy(*group_cols)
-    offset_cols = [
-        F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0))
-        .cast(out_types[v])
-        .alias(f"_o_{v}")
-        for v in values
-    ]
-    if totals_prefix is not None:
-        offset_cols += [
-            F.sum(f"_t_{v}").over(whole).cast(out_types[v]).alias(f"{totals_prefix}{v}")
-            for v in values
-        ]
-    offsets = totals.select(BUCKET, *group_cols, *offset_cols)
-    total_names = [f"{totals_prefix}{v}" for v in values] if totals_prefix is not None else []
-
-    # The offsets table has (ranges x groups) rows. Below the cap it is
-    # collected once and broadcast to the per-range pass (no join, no extra
-    # counting job); above it, it is joined back.
-    collected = offsets.limit(MAX_BROADCAST_ROWS + 1).collect()
-    shipped = len(collected) <= MAX_BROADCAST_ROWS
-    table = None
-    if shipped:
-        n_keys = 1 + len(group_cols)
-        table = df.sparkSession.sparkContext.broadcast(
-            {tuple(r[:n_keys]): tuple(r[n_keys:]) for r in collected}
-        )
-
-    extra = [T.StructField(f"_l_{v}", out_types[v], False) for v in values]
-    if shipped:
-        extra += [T.StructField(name, out_types[v], True) for name, v in zip(total_names, values)]
-    local = laid_out.mapInPandas(
-        _local_running([BUCKET, *group_cols], values, out_types, table, total_names),
-        schema=T.StructType(laid_out.schema.fields + extra),
+    def total(v: str, over=None) -> Column:
+        s = F.sum(v) if over is None else F.sum(v).over(over)
+        return F.coalesce(s, F.lit(0)).cast(types[v])
+
+    inside = Window.partitionBy(KEY).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    local = keyed.select("*", *[total(v, inside).alias(f"_l_{v}") for v in values])
+    totals = keyed.groupBy(KEY).agg(*[total(v).alias(f"_t_{v}") for v in values])
+    # At most ranges + groups rows: a group has a row in each range it reaches.
+    groups = [F.col(f"{KEY}._g_{c}") for c in group_cols]
+    earlier = Window.partitionBy(*groups).orderBy(F.col(f"{KEY}._range")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        KEY,
+        *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).cast(types[v]).alias(f"_o_{v}") for v in values],
+        *[
+            F.sum(f"_t_{v}").over(Window.partitionBy(*groups)).cast(types[v]).alias(f"{totals_prefix}{v}")
+            for v in (values if totals_prefix is not None else [])
+        ],
     )
-    if shipped:
-        return local.select(
-            *df.columns,
-            *[F.col(f"_l_{v}").alias(f"{prefix}{v}") for v in values],
-            *[F.col(name) for name in total_names],
-        )
-    joined = local.join(offsets, on=[BUCKET, *group_cols])
+    # A merge join keeps the window output where it is: it is partitioned and
+    # sorted by the key already; only the offsets move.
+    joined = local.join(offsets.hint("merge"), KEY)
     return joined.select(
         *df.columns,
-        *[(F.col(f"_l_{v}") + F.col(f"_o_{v}")).alias(f"{prefix}{v}") for v in values],
-        *[F.col(name) for name in total_names],
-    )
-
-
-def _straddling_offsets(df, laid_out, group_cols, values, out_types, prefix):
-    """Offsets when groups are many. Ranges are contiguous in (group, order),
-    so a group reaches into range b only if it is the first group of b and
-    the last group of b-1; every other (range, group) has offset 0."""
-    key = F.struct(*group_cols)
-    ends = laid_out.groupBy(BUCKET).agg(F.min(key).alias("first"), F.max(key).alias("last")).collect()
-    ordered = sorted((r[BUCKET], tuple(r["first"]), tuple(r["last"])) for r in ends)
-    # Empty ranges have no row here, so compare with the previous non-empty one.
-    straddling = {
-        first for (_, first, _), (_, _, last_before) in zip(ordered[1:], ordered[:-1])
-        if first == last_before
-    }
-    table: dict = {}
-    if straddling:
-        types = [laid_out.schema[c].dataType for c in group_cols]
-        keys = [
-            F.struct(*[F.lit(x).cast(t).alias(c) for x, t, c in zip(k, types, group_cols)])
-            for k in straddling
-        ]
-        parts = (
-            laid_out.where(key.isin(*keys))
-            .groupBy(BUCKET, *group_cols)
-            .agg(*[F.sum(v).cast(out_types[v]).alias(v) for v in values])
-            .collect()
-        )
-        running: dict = {}
-        for r in sorted(parts, key=lambda r: r[BUCKET]):
-            g = tuple(r[c] for c in group_cols)
-            before = running.get(g, tuple(0 for _ in values))
-            table[(r[BUCKET], *g)] = before
-            running[g] = tuple(b + r[v] for b, v in zip(before, values))
-    shared = df.sparkSession.sparkContext.broadcast(table)
-    schema = T.StructType(
-        laid_out.schema.fields + [T.StructField(f"_l_{v}", out_types[v], False) for v in values]
-    )
-    local = laid_out.mapInPandas(
-        _local_running([BUCKET, *group_cols], values, out_types, shared, (), default=True),
-        schema=schema,
+        *[(F.col(f"_l_{v}") + F.col(f"_o_{v}")).cast(types[v]).alias(f"{prefix}{v}") for v in values],
+        *([F.col(f"{totals_prefix}{v}") for v in values] if totals_prefix is not None else []),
     )
-    return local.select(*df.columns, *[F.col(f"_l_{v}").alias(f"{prefix}{v}") for v in values])
-
-
-def _local_running(group_cols, values, out_types, table=None, total_names=(), default=False):
-    """Per-range pass: exclusive running sums inside each (range, group),
-    carried across the Arrow batches of the range (batches arrive in the
-    stored, sorted order). Segmented numpy cumsum, no per-row Python. With
-    ``table`` (a broadcast of (range, group) -> offsets + totals) the offsets
-    are added here and the group totals appended."""
-
-    def run(batches):
-        lookup = table.value if table is not None else None
-        carry_key = None
-        carry = {v: 0 for v in values}
-        for pdf in batches:
-            n = len(pdf)
-            if n == 0:
-                continue
-            keys = [pdf[c].to_numpy() for c in group_cols]
-            starts = np.zeros(n, dtype=bool)
-            starts[0] = True
-            for k in keys:
-                starts[1:] |= ~_same_as_previous(k)
-            segment = np.cumsum(starts) - 1
-            first_key = tuple(k[0] for k in keys)
-            continues = carry_key is not None and all(_same(a, b) for a, b in zip(first_key, carry_key))
-            out = pdf.copy()
-            if lookup is not None:
-                seg_rows = np.flatnonzero(starts)
-                zero = tuple(0 for _ in values)
-                per_segment = [
-                    lookup.get(tuple(_py(k[i]) for k in keys), zero)
-                    if default
-                    else lookup[tuple(_py(k[i]) for k in keys)]
-                    for i in seg_rows
-                ]
-            for j, v in enumerate(values):
-                vals = _as_numbers(pdf[v], out_types[v])
-                inclusive = np.cumsum(vals)
-                exclusive = inclusive - vals
-                local = exclusive - exclusive[starts][segment]
-                if continues:
-                    local = local + np.where(segment == 0, carry[v], 0)
-                if lookup is not None:
-                    local = local + np.array([p[j] for p in per_segment])[segment]
-                out[f"_l_{v}"] = local
-                last_start = np.flatnonzero(starts)[-1]
-                tail = inclusive[-1] - exclusive[last_start]
-                only_one_segment = last_start == 0
-                carry[v] = (carry[v] if (continues and only_one_segment) else 0) + tail
-            if lookup is not None:
-                for j, name in enumerate(total_names):
-                    out[name] = np.array([p[len(values) + j] for p in per_segment])[segment]
-            carry_key = tuple(k[-1] for k in keys)
-            yield out
-
-    return run
-
-
-def _same_as_previous(column: np.ndarray) -> np.ndarray:
-    """Element i (for i >= 1) equals element i-1, nulls equal to nulls."""
-    a, b = column[1:], column[:-1]
-    try:
-        a_null, b_null = pd.isna(a), pd.isna(b)
-    except TypeError:
-        a_null = b_null = np.zeros(len(a), dtype=bool)
-    with np.errstate(invalid="ignore"):
-        eq = a == b
-    return np.asarray(eq, dtype=bool) & ~a_null & ~b_null | (a_null & b_null)
-
-
-def _py(value):
-    """numpy scalar -> Python value (dict keys of collected rows are Python)."""
-    if value is None or (isinstance(value, float) and np.isnan(value)):
-        return None
-    return value.item() if hasattr(value, "item") else value
-
-
-def _as_numbers(series: pd.Series, dtype: T.DataType) -> np.ndarray:
-    if isinstance(dtype, T.LongType):
-        return series.fillna(0).astype(np.int64).to_numpy()
-    return series.fillna(0.0).astype(np.float64).to_numpy()
-
-
-def _same(a, b) -> bool:
-    a_null = a is None or (isinstance(a, float) and np.isnan(a))
-    b_null = b is None or (isinstance(b, float) and np.isnan(b))
-    if a_null or b_null:
-        return a_null and b_null
-    return a == b
 
 
 def global_row_number(
@@ -293,22 +142,19 @@ def global_row_number(
     ranges: int | None = None,
     name: str = "row_number",
     count_name: str | None = None,
-    many_groups: bool = False,
 ) -> DataFrame:
     """1-based row number in ``order_cols`` order inside ``group_cols``
     (two-level, exact); optionally the group size as ``count_name``."""
-    tmp = df.withColumn("_one", F.lit(1).cast("long"))
     numbered = running_totals(
-        tmp,
+        df.withColumn("_one", F.lit(1).cast("long")),
         order_cols,
         ["_one"],
         group_cols,
         ranges=ranges,
         prefix="_rn_",
         totals_prefix="_n_" if count_name else None,
-        many_groups=many_groups,
     )
-    cols = [c for c in df.columns] + [(F.col("_rn__one") + 1).alias(name)]
+    cols = [*df.columns, (F.col("_rn__one") + 1).alias(name)]
     if count_name:
         cols.append(F.col("_n__one").alias(count_name))
     return numbered.select(*cols)
@@ -340,6 +186,8 @@ def rank_percentile(
 
 
 BLOCK = "_block"
+# Blocks under one entry of the second level of offsets.
+SUPER = 4096
 
 
 def block_running_totals(
@@ -354,85 +202,56 @@ def block_running_totals(
     """``running_totals`` for an integer axis, cut into fixed blocks of
     ``block_size`` positions instead of sampled ranges.
 
-    The blocks are a pure function of the position, so there is no sampling
-    pass, no checkpoint and no Python: one shuffle by block feeds a window
-    (running sum inside the block), and a table with one row per non-empty
-    block gives the offsets. A block holds at most ``block_size`` distinct
-    positions, so its size is bounded by the parameters (positions x rows
-    per position), not by how the data cluster. ``order_cols`` must start
-    with ``pos_col`` and be a total order.
+    The blocks are a pure function of the position: one shuffle by block
+    feeds a window (running sum inside the block). The offsets have two
+    levels, blocks within a super-block of ``SUPER`` blocks and super-blocks,
+    so the one window over the whole axis has a row per ``SUPER *
+    block_size`` positions. ``order_cols`` must start with ``pos_col`` and be
+    a total order.
     """
-    order_cols = list(order_cols)
-    values = list(values)
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    out_types = {v: T.LongType() if _is_integral(fields[v]) else T.DoubleType() for v in values}
+    order_cols, values = list(order_cols), list(values)
+    types = {v: _sum_type(df.schema[v].dataType) for v in values}
     keyed = df.withColumn(BLOCK, F.floor(F.col(pos_col) / F.lit(block_size)).cast("long"))
     inside = Window.partitionBy(BLOCK).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
-    local = keyed.select(
-        "*",
+
+    def before(column: str, v: str, window) -> Column:
+        return F.coalesce(F.sum(column).over(window), F.lit(0)).cast(types[v])
+
+    local = keyed.select("*", *[before(v, v, inside).alias(f"_l_{v}") for v in values])
+    blocks = keyed.groupBy(BLOCK).agg(*[F.sum(v).cast(types[v]).alias(f"_t_{v}") for v in values])
+    blocks = blocks.withColumn("_super", F.floor(F.col(BLOCK) / SUPER))
+    supers = blocks.groupBy("_super").agg(*[F.sum(f"_t_{v}").cast(types[v]).alias(f"_s_{v}") for v in values])
+    earlier = Window.orderBy("_super").rowsBetween(Window.unboundedPreceding, -1)
+    supers = supers.select(
+        "_super",
+        *[before(f"_s_{v}", v, earlier).alias(f"_p_{v}") for v in values],
         *[
-            F.coalesce(F.sum(v).over(inside), F.lit(0)).cast(out_types[v]).alias(f"_l_{v}")
-            for v in values
+            F.sum(f"_s_{v}").over(Window.partitionBy()).cast(types[v]).alias(f"{totals_prefix}{v}")
+            for v in (values if totals_prefix is not None else [])
         ],
     )
-    totals = keyed.groupBy(BLOCK).agg(*[F.sum(v).cast(out_types[v]).alias(f"_t_{v}") for v in values])
-    earlier = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    offset_cols = [
-        F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).cast(out_types[v]).alias(f"_o_{v}")
-        for v in values
-    ]
-    if totals_prefix is not None:
-        whole = Window.partitionBy()
-        offset_cols += [
-            F.sum(f"_t_{v}").over(whole).cast(out_types[v]).alias(f"{totals_prefix}{v}") for v in values
-        ]
-    offsets = totals.select(BLOCK, *offset_cols)
-    # One row per non-empty block. A merge join keeps the (large) window
-    # output where it is: it is already partitioned and sorted by block, so
-    # only the offsets move; AQE may still broadcast the offsets once their
-    # measured size is known. (Without the hint the planner can pick the
-    # wrong build side from a stale size estimate.)
+    within = Window.partitionBy("_super").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select(BLOCK, "_super", *[before(f"_t_{v}", v, within).alias(f"_b_{v}") for v in values])
+    offsets = offsets.join(supers, "_super").drop("_super")
+    # A merge join keeps the (large) window output where it is: it is already
+    # partitioned and sorted by block, so only the offsets move.
     joined = local.join(offsets.hint("merge"), BLOCK)
     return joined.select(
         *df.columns,
-        *[(F.col(f"_l_{v}") + F.col(f"_o_{v}")).alias(f"{prefix}{v}") for v in values],
+        *[(F.col(f"_l_{v}") + F.col(f"_b_{v}") + F.col(f"_p_{v}")).cast(types[v]).alias(f"{prefix}{v}") for v in values],
         *([F.col(f"{totals_prefix}{v}") for v in values] if totals_prefix is not None else []),
     )
 
 
-# Rows of one entity above which its numbering is split across tasks.
-HOT_ROWS = 4_000_000
-MAX_HOT_KEYS = 10_000
-
-
 def number_within(
-    df: DataFrame,
-    key: str,
-    order_cols: Sequence[str],
-    name: str = "rn",
-    hot_rows: int | None = None,
-    counts: DataFrame | None = None,
+    df: DataFrame, key: str, order_cols: Sequence[str], name: str = "rn", split: bool = False, ranges: int | None = None
 ) -> DataFrame:
     """Dense 1..N position of each row inside its ``key`` group.
 
-    Ordinary groups use a ``row_number`` window partitioned by the key. Hot
-    groups (more than ``hot_rows`` rows, found by a partial-aggregation
-    count) are numbered by the two-level range form instead, which splits a
-    group across tasks. With more hot keys than ``MAX_HOT_KEYS`` every
-    group takes the range form. ``counts`` (key, _n) may be supplied when
-    the caller can count more cheaply than by scanning ``df`` (e.g. from a
-    pre-aggregated side of a join)."""
-    threshold = HOT_ROWS if hot_rows is None else hot_rows
-    if counts is None:
-        counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot = [r[0] for r in counts.where(F.col("_n") > threshold).select(key).limit(MAX_HOT_KEYS + 1).collect()]
-    window = Window.partitionBy(key).orderBy(*order_cols)
-    if not hot:
-        return df.withColumn(name, F.row_number().over(window).cast("int"))
-    if len(hot) > MAX_HOT_KEYS:
-        numbered = global_row_number(df, order_cols, [key], name=name, many_groups=True)
+    A ``row_number`` window per key, which streams a sorted group and spills;
+    it reads its input once. ``split`` numbers in ranges instead, which
+    shares one huge group among tasks at the price of reading it again."""
+    if split:
+        numbered = global_row_number(df, order_cols, [key], ranges=ranges, name=name)
         return numbered.withColumn(name, F.col(name).cast("int"))
-    is_hot = F.col(key).isin(hot)
-    cold = df.where(~is_hot).withColumn(name, F.row_number().over(window).cast("int"))
-    split = global_row_number(df.where(is_hot), order_cols, [key], name=name, many_groups=True)
-    return cold.unionByName(split.withColumn(name, F.col(name).cast("int")))
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order_cols)).cast("int"))

@@ -179,10 +179,11 @@ def batch_plan(
     batch_size: int,
     seed: int,
     ranges: int | None = None,
+    drop_partial: bool = True,
 ) -> DataFrame:
     """Q10: per epoch each shard (id mod shards) is shuffled by hash and cut
-    into full batches (the partial last batch of a shard is dropped); the
-    batches of an epoch are ordered by a hash of (epoch, shard, batch).
+    into full batches (the partial last batch of a shard is dropped, a
+    training rule; ``drop_partial=False`` keeps it); the batches of an epoch are ordered by a hash of (epoch, shard, batch).
     Row numbers inside (epoch, shard) come from the two-level form."""
     per_epoch = ids.select(
         "id", F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch")
@@ -191,7 +192,9 @@ def batch_plan(
     numbered = global_row_number(
         keyed, ["_h", "id"], ["epoch", "shard"], ranges=ranges, name="_r", count_name="_n"
     )
-    full = numbered.where(F.col("_r") <= F.floor(F.col("_n") / batch_size) * batch_size)
+    full = numbered
+    if drop_partial:
+        full = numbered.where(F.col("_r") <= F.floor(F.col("_n") / batch_size) * batch_size)
     return full.select(
         "epoch",
         "shard",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from histscore.functions.scalar import fold
+from histscore.operators.ordering import running_totals
 
 
 def with_fold(df: DataFrame, folds: int = 10, id_col: str = "id") -> DataFrame:
@@ -18,8 +19,20 @@ def with_fold(df: DataFrame, folds: int = 10, id_col: str = "id") -> DataFrame:
 
 
 def quantile_border(df: DataFrame, q: float = 0.9, id_col: str = "id") -> float:
-    """A10: exact linearly interpolated quantile of the ids (one number)."""
-    return df.agg(F.percentile(id_col, q).alias("b")).first()["b"]
+    """A10: exact linearly interpolated quantile of the ids (one number):
+    the two neighbours of rank ``q * (n - 1)``, found by the running counts
+    of the distinct values."""
+    values = df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("_c"))
+    counted = running_totals(values, [id_col], ["_c"], totals_prefix="_all")
+    rank = F.lit(q) * (F.col("_all_c") - 1)
+    low, high = F.floor(rank), F.ceil(rank)
+    holds = lambda r: (F.col("before__c") <= r) & (r < F.col("before__c") + F.col("_c"))
+    row = counted.agg(
+        F.max(F.when(holds(low), F.col(id_col))).cast("double").alias("low"),
+        F.max(F.when(holds(high), F.col(id_col))).cast("double").alias("high"),
+        F.max(rank - low).alias("share"),
+    ).first()
+    return None if row["low"] is None else row["low"] + (row["high"] - row["low"]) * row["share"]
 
 
 def temporal_fold(df: DataFrame, q: float = 0.9, id_col: str = "id") -> tuple[DataFrame, float]:

@@ -57,13 +57,18 @@ BLEND_SQL = weighted_sql([(w, m) for m, w in BLEND_WEIGHTS.items()])
 STACK_SQL = weighted_sql(list(zip(STACK_WEIGHTS, ["blend", *MODELS])))
 
 
-def ranks(spark, sf_dir):
-    return BL.model_ranks(B.preds(spark, sf_dir), tiebreak="ord", group_cols=["model", "split"])
+def ranks(spark, sf_dir, split=None, models=None):
+    """Ranks per (model, split); only the wanted rows are ever ranked."""
+    preds = B.preds(spark, sf_dir)
+    if split is not None:
+        preds = preds.where(F.col("split") == split)
+    if models is not None:
+        preds = preds.where(F.col("model").isin(list(models)))
+    return BL.model_ranks(preds, tiebreak="ord", group_cols=["model", "split"])
 
 
-def wide(spark, sf_dir, split="valid"):
-    r = ranks(spark, sf_dir).where(F.col("split") == split)
-    return BL.align(r, MODELS, "rank_pct")
+def wide(spark, sf_dir, split="valid", models=MODELS):
+    return BL.align(ranks(spark, sf_dir, split, models), models, "rank_pct")
 
 
 def stacked(spark, sf_dir, split="valid"):
@@ -116,8 +121,8 @@ def q_aligned_preds(spark, sf_dir):
         "prediction", "predictions"
     )
     canonical = BL.canonical_prediction_columns(long)
-    r = BL.model_ranks(canonical, tiebreak="ord", group_cols=["model", "split"])
-    return BL.align(r.where(F.col("split") == "valid"), MODELS, "rank_pct")
+    valid = canonical.where(F.col("split") == "valid")
+    return BL.align(BL.model_ranks(valid, tiebreak="ord", group_cols=["model", "split"]), MODELS, "rank_pct")
 
 
 # ---------------------------------------------------------------- B1, B6
@@ -157,7 +162,8 @@ _GRID_SRC = f"""(SELECT g.weight, v.target, g.weight * v.n_lines + (1.0 - g.weig
     ),
 )
 def q_blend_grid(spark, sf_dir):
-    grid = BL.two_model_grid(wide(spark, sf_dir), "n_lines", "overdue_rate", "target", *GRID)
+    two = wide(spark, sf_dir, models=["n_lines", "overdue_rate"])
+    grid = BL.two_model_grid(two, "n_lines", "overdue_rate", "target", *GRID)
     return BL.mark_best(grid)
 
 
@@ -206,7 +212,7 @@ _SIMPLEX_SRC = """(SELECT a.k0 AS w_discount, b.k1 AS w_overdue_rate, 10 - a.k0
     ),
 )
 def q_weights_simplex(spark, sf_dir):
-    return BL.simplex_search(wide(spark, sf_dir), SIMPLEX_COLS, 10)
+    return BL.simplex_search(wide(spark, sf_dir, models=SIMPLEX_COLS), SIMPLEX_COLS, 10)
 
 
 # ---------------------------------------------------------------- M3-M6, P14
@@ -217,9 +223,7 @@ _BCE_SQL = f"avg({POS_WEIGHT} * target * {_SOFTPLUS_POS} + (1 - target) * {_SOFT
 
 
 def _valid_ranks(spark, sf_dir):
-    return ranks(spark, sf_dir).where(F.col("split") == "valid").withColumn(
-        "margin", 4.0 * F.col("rank_pct") - 2.0
-    )
+    return ranks(spark, sf_dir, "valid").withColumn("margin", 4.0 * F.col("rank_pct") - 2.0)
 
 
 @register(
@@ -237,15 +241,14 @@ def q_bce_weighted(spark, sf_dir):
 
 LOSS_BATCH = 16
 LOSS_SEED = 11
-# Training batches over the validation ids (one epoch, one shard): the
-# groups of the pairwise loss are bounded by the batch size.
+# Batches over the validation ids (one epoch, one shard), the last one kept
+# even if it is short: no validation row is left out of the loss.
 VPLAN = (
     "vplan",
     f"""SELECT id, CAST(floor((r - 1) / {LOSS_BATCH}) AS BIGINT) AS batch
-        FROM (SELECT id, row_number() OVER (ORDER BY h, id) AS r, count(*) OVER () AS n
+        FROM (SELECT id, row_number() OVER (ORDER BY h, id) AS r
               FROM (SELECT DISTINCT id, {mix_hash_sql('id', '1', seed=LOSS_SEED)} AS h
-                    FROM preds WHERE split = 'valid'))
-        WHERE r <= floor(n / {LOSS_BATCH}) * {LOSS_BATCH}""",
+                    FROM preds WHERE split = 'valid'))""",
 )
 _BATCHED = f"SELECT r.model, v.batch, r.target, {_MARGIN} AS m FROM ranks r JOIN vplan v USING (id) WHERE r.split = 'valid'"
 _PAIR_SQL = f"""SELECT p.model, p.batch, avg(greatest(n.m - p.m, 0) + ln(1 + exp(-abs(n.m - p.m)))) AS rank_loss
@@ -256,7 +259,8 @@ _PAIR_SQL = f"""SELECT p.model, p.batch, avg(greatest(n.m - p.m, 0) + ln(1 + exp
 
 def _batched_valid_ranks(spark, sf_dir):
     r = _valid_ranks(spark, sf_dir)
-    plan = S.batch_plan(r.select("id").distinct(), 1, 1, LOSS_BATCH, LOSS_SEED)
+    ids = B.preds(spark, sf_dir).where(F.col("split") == "valid").select("id").distinct()
+    plan = S.batch_plan(ids, 1, 1, LOSS_BATCH, LOSS_SEED, drop_partial=False)
     return r.join(plan.select("id", "batch"), "id")
 
 
@@ -271,7 +275,7 @@ def _batched_valid_ranks(spark, sf_dir):
 )
 def q_rank_loss(spark, sf_dir):
     r = _batched_valid_ranks(spark, sf_dir)
-    out = M.pairwise_rank_loss(r, "margin", "target", ["model", "batch"], max_group=LOSS_BATCH)
+    out = M.pairwise_rank_loss(r, "margin", "target", ["model", "batch"])
     return out.select("model", "batch", F.round("rank_loss", 6).alias("rank_loss"))
 
 
@@ -290,7 +294,7 @@ def q_rank_loss(spark, sf_dir):
 def q_objective(spark, sf_dir):
     r = _batched_valid_ranks(spark, sf_dir)
     bce = M.weighted_bce(r, "margin", "target", POS_WEIGHT, by=["model", "batch"])
-    rl = M.pairwise_rank_loss(r, "margin", "target", ["model", "batch"], max_group=LOSS_BATCH)
+    rl = M.pairwise_rank_loss(r, "margin", "target", ["model", "batch"])
     joined = bce.join(rl, ["model", "batch"])
     return joined.select(
         "model",
@@ -407,35 +411,39 @@ def q_check_complete(spark, sf_dir):
     "check_aligned",
     with_roles(
         ["preds"],
-        """SELECT count_if(r.id IS NULL) AS only_left, count_if(l.id IS NULL) AS only_right,
+        f"""SELECT coalesce(l.model, r.model) AS model, count_if(r.id IS NULL) AS only_left,
+                  count_if(l.id IS NULL) AS only_right,
                   count_if(l.id IS NOT NULL AND r.id IS NOT NULL AND l.target IS DISTINCT FROM r.target) AS differ
-           FROM (SELECT id, target FROM preds WHERE split = 'valid' AND model = 'discount') l
-           FULL OUTER JOIN (SELECT id, flag AS target FROM target_dense
-                            WHERE ((id % 10) + 10) % 10 = 0) r ON l.id = r.id""",
+           FROM (SELECT model, id, target FROM preds WHERE split = 'valid') l
+           FULL OUTER JOIN (SELECT m.model, id, flag AS target
+                            FROM target_dense, (SELECT unnest([{', '.join(repr(m) for m in MODELS)}]) AS model) m
+                            WHERE ((id % 10) + 10) % 10 = 0) r ON l.id = r.id AND l.model = r.model
+           GROUP BY 1""",
     ),
 )
 def q_check_aligned(spark, sf_dir):
-    p = B.preds(spark, sf_dir)
-    left = p.where((F.col("split") == "valid") & (F.col("model") == "discount")).select("id", "target")
+    """C3/C7 for every prediction set against the labelled validation ids."""
+    left = B.preds(spark, sf_dir).where(F.col("split") == "valid").select("model", "id", "target")
     right = B.target_dense(spark, sf_dir).where(fold("id") == 0).select(
-        "id", F.col("flag").alias("target")
+        F.explode(F.array(*[F.lit(m) for m in MODELS])).alias("model"), "id", F.col("flag").alias("target")
     )
-    return C.alignment_report(left, right, "id", ["target"])
+    return C.alignment_report(left, right, "id", ["target"], by=["model"])
 
 
 @register(
     "check_rows",
     with_roles(
         ["preds"],
-        """SELECT count(*) AS rows, (SELECT count(*) FROM target_dense WHERE ((id % 10) + 10) % 10 <> 0) AS expected,
+        """SELECT model, count(*) AS rows,
+                  (SELECT count(*) FROM target_dense WHERE ((id % 10) + 10) % 10 <> 0) AS expected,
                   count(*) = (SELECT count(*) FROM target_dense WHERE ((id % 10) + 10) % 10 <> 0) AS ok
-           FROM preds WHERE split = 'test' AND model = 'discount'""",
+           FROM preds WHERE split = 'test' GROUP BY model""",
     ),
 )
 def q_check_rows(spark, sf_dir):
     expected = B.target_dense(spark, sf_dir).where(fold("id") != 0).count()
-    test = B.preds(spark, sf_dir).where((F.col("split") == "test") & (F.col("model") == "discount"))
-    return C.row_count_report(test, expected)
+    test = B.preds(spark, sf_dir).where(F.col("split") == "test")
+    return C.row_count_report(test, expected, by=["model"])
 
 
 @register(

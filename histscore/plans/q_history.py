@@ -86,19 +86,21 @@ def q_hash_fold(spark, sf_dir):
     "label_join",
     with_roles(
         ["history_b", "target_dense"],
-        f"""SELECT a.*, t.flag FROM (SELECT id, count(*) AS loan_count, max(rn) AS rn_max, {_agg_sql_cols}
-               FROM history_b GROUP BY id) a JOIN target_dense t USING (id)""",
+        f"""SELECT t.id, a.* EXCLUDE (id, loan_count), coalesce(a.loan_count, 0) AS loan_count, t.flag
+           FROM (SELECT id, count(*) AS loan_count, max(rn) AS rn_max, {_agg_sql_cols}
+               FROM history_b GROUP BY id) a RIGHT JOIN target_dense t ON a.id = t.id""",
     ),
 )
 def q_label_join(spark, sf_dir):
-    """Inner join of labels and features, both keys checked unique
-    (1:1). Labelled ids without features are reported by ``check_complete``
-    (C2) rather than failing this join: at sf0.1 one customer has no orders."""
+    """Labels and features, both keys checked unique (1:1). Every label
+    is kept: one without a history (at sf0.1 a customer without orders) is
+    reported as a row with ``loan_count`` 0 and null features."""
     feats = H.history_aggregate(B.history_b(spark, sf_dir), FIELDS_B)
     target = B.target_dense(spark, sf_dir)
     assert_unique(feats, ["id"])
     assert_unique(target, ["id"])
-    return feats.join(target, "id")
+    joined = target.join(feats, "id", "left").select(*feats.columns, "flag")
+    return joined.withColumn("loan_count", F.coalesce("loan_count", F.lit(0).cast("long")))
 
 
 # ---------------------------------------------------------------- flagship

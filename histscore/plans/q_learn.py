@@ -115,7 +115,7 @@ def q_pooled_lr(spark, sf_dir):
     p = q_seq.packed(spark, sf_dir)
     pooled = p.select("id", "y", *S.masked_pool("seq", "len", len(q_seq.FIELDS), q_seq.FIELDS))
     feats = [c for c in pooled.columns if c not in ("id", "y")]
-    table = L.prepare_features(pooled, feats).withColumn("flag", F.col("y").cast("double"))
+    table = L.prepare_features(pooled, feats, missing=0.0).withColumn("flag", F.col("y").cast("double"))
     model = L.logistic_pipeline(feats).fit(table.where(fold("id") != 0))
     scored = L.positive_probability(model.transform(table.where(fold("id") == 0)))
     return M.auc(scored, "score", "flag", counts=True).withColumn("n_features", F.lit(len(feats)))

@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-from histscore.functions.scalar import HASH_MODULUS, HASH_MULTIPLIER, HASH_STEP
-
-
-def _pmod(x: str) -> str:
-    return f"((({x}) % {HASH_MODULUS}) + {HASH_MODULUS}) % {HASH_MODULUS}"
-
 
 def mix_hash_sql(*columns: str, seed: int = 0) -> str:
-    acc = str(int(seed) % HASH_MODULUS)
-    for c in columns:
-        acc = _pmod(f"CAST({acc} AS BIGINT) * {HASH_STEP} + CAST({c} AS BIGINT)")
-    return _pmod(f"CAST({acc} AS BIGINT) * {HASH_MULTIPLIER}")
+    values = ", ".join(f"CAST(CAST({c} AS BIGINT) AS VARCHAR)" for c in columns)
+    return f"CAST('0x' || substr(md5(concat_ws(':', '{int(seed)}', {values})), 1, 8) AS BIGINT)"
 
 
 def hash_unit_sql(*columns: str, seed: int = 0) -> str:
-    return f"CAST(floor(({mix_hash_sql(*columns, seed=seed)}) / 65536) AS BIGINT)"
+    return f"({mix_hash_sql(*columns, seed=seed)} >> 16)"

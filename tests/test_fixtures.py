@@ -98,10 +98,10 @@ def test_changes_and_total_variation(spark):
     assert math.isclose(r.x__slope, -0.4)  # cov -2 / var 5
 
 
-def test_previous_row_across_chunks(spark):
+def test_previous_row_of_each_id(spark):
     rows = [(1, i, i * 10) for i in range(1, 12)] + [(2, 1, 5)]
     df = spark.createDataFrame(rows, "id long, rn int, x int")
-    out = {(r.id, r.rn): r.x__prev for r in H.with_previous(df, ["x"], chunk=3).collect()}
+    out = {(r.id, r.rn): r.x__prev for r in H.with_previous(df, ["x"]).collect()}
     assert len(out) == 12
     assert out[(1, 1)] is None and out[(2, 1)] is None
     assert all(out[(1, i)] == (i - 1) * 10 for i in range(2, 12))

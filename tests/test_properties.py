@@ -124,71 +124,153 @@ def test_axis_block_and_range_forms_agree(spark):
     assert prefixes[0] == prefixes[1] == prefixes[2]
 
 
-def test_running_totals_carry_across_arrow_batches(spark):
+def test_running_totals_match_a_sorted_cumsum_per_model(spark):
     preds = B.preds(spark, SF_CHECK)
-    base = sorted(
+    got = sorted(
         (r.model, r.id, r.before_target)
         for r in running_totals(preds, ["prediction", "id"], ["target"], ["model"], ranges=3).collect()
     )
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        small = sorted(
-            (r.model, r.id, r.before_target)
-            for r in running_totals(preds, ["prediction", "id"], ["target"], ["model"], ranges=3).collect()
-        )
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
-    assert base == small
     pdf = preds.toPandas().sort_values(["model", "prediction", "id"])
     pdf["expected"] = pdf.groupby("model")["target"].cumsum() - pdf["target"]
-    expected = sorted(zip(pdf["model"], pdf["id"], pdf["expected"].astype(int)))
-    assert base == expected
+    assert got == sorted(zip(pdf["model"], pdf["id"], pdf["expected"].astype(int)))
 
 
-def test_running_totals_join_fallback_matches(spark, monkeypatch):
-    from histscore.operators import ordering
+def _odd_rows(spark):
+    """Null groups, null keys, ids above 2**53 and one hot score."""
+    big = 2**53
+    rows = [(g, None if i % 7 == 0 else (i % 5) / 2 if i % 3 else 1.0, big + i, i % 2) for i in range(60) for g in ("a", None, "b")]
+    return spark.createDataFrame(rows, "g string, score double, id long, v int")
 
-    preds = B.preds(spark, SF_CHECK)
-    args = (["prediction", "id"], ["target"], ["model"])
-    shipped = sorted(map(tuple, running_totals(preds, *args, ranges=4, totals_prefix="tot_").collect()))
-    monkeypatch.setattr(ordering, "MAX_BROADCAST_ROWS", 0)
-    joined = sorted(map(tuple, running_totals(preds, *args, ranges=4, totals_prefix="tot_").collect()))
-    assert shipped == joined
 
+def test_ranges_null_groups_and_large_ids_give_the_windows_answer(spark):
+    from pyspark.sql import Window
 
-def test_previous_row_chunk_size_does_not_matter(spark):
-    from histscore.operators.history import with_previous
+    df = _odd_rows(spark)
+    w = Window.partitionBy("g").orderBy("score", "id")
+    want = df.withColumn("before_v", F.coalesce(F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    want = want.withColumn("tot_v", F.sum("v").over(Window.partitionBy("g")))
+    for ranges in (1, 3, 17):
+        got = running_totals(df, ["score", "id"], ["v"], ["g"], ranges=ranges, totals_prefix="tot_")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        assert {r.id for r in got.collect()} == {2**53 + i for i in range(60)}
 
-    h = B.history_b(spark, SF_CHECK).select("id", "rn", "state", "x")
-    small = sorted(map(tuple, with_previous(h, ["state", "x"], chunk=3).collect()))
-    large = sorted(map(tuple, with_previous(h, ["state", "x"], chunk=1 << 20).collect()))
-    assert small == large
-    assert len(small) == h.count()
+
+def test_decimal_sums_stay_exact(spark):
+    from decimal import Decimal
+
+    df = spark.createDataFrame([(i, Decimal("0.10")) for i in range(30)], "id int, v decimal(12,2)")
+    got = {r.id: r.before_v for r in running_totals(df, ["id"], ["v"], ranges=4).collect()}
+    assert got[29] == Decimal("2.90")
+
+
+def test_range_form_is_jvm_only(spark):
+    plan = running_totals(B.preds(spark, SF_CHECK), ["prediction", "id"], ["target"], ["model"])._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "ExistingRDD", "CartesianProduct"))
 
 
 def test_numbering_inside_many_groups_matches_window(spark):
     from pyspark.sql import Window
 
+    from histscore.operators.ordering import number_within
+
     h = B.history_b(spark, SF_CHECK).select("id", "rn", "state", "x")
-    expected = sorted(map(tuple, h.select("id", "rn", F.col("rn").alias("n")).collect()))
     shuffled = h.select("id", (F.col("rn") * 7919 % 100003).alias("key"), "rn")
+    w = Window.partitionBy("id").orderBy("key", "rn")
+    want = sorted(map(tuple, shuffled.withColumn("row_number", F.row_number().over(w)).collect()))
     for ranges in (3, 64):
-        got = global_row_number(shuffled, ["key", "rn"], ["id"], ranges=ranges, many_groups=True)
-        w = Window.partitionBy("id").orderBy("key", "rn")
-        want = shuffled.withColumn("row_number", F.row_number().over(w))
-        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    assert len(expected) == h.count()
-
+        got = global_row_number(shuffled, ["key", "rn"], ["id"], ranges=ranges)
+        assert sorted(map(tuple, got.collect())) == want
+        split = number_within(shuffled, "id", ["key", "rn"], name="row_number", split=True, ranges=ranges)
+        assert sorted(map(tuple, split.collect())) == want
 
-def test_hot_entities_are_numbered_like_the_window(spark):
-    from pyspark.sql import Window
 
+def test_numbering_keeps_null_keys(spark):
     from histscore.operators.ordering import number_within
 
-    h = B.history_b(spark, SF_CHECK).select("id", "rn", "x")
-    shuffled = h.select("id", (F.col("rn") * 7919 % 100003).alias("key"), "x")
-    want = shuffled.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("key")))
-    for hot_rows in (None, 40, 0):
-        got = number_within(shuffled, "id", ["key"], hot_rows=hot_rows)
-        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    df = spark.createDataFrame([(None if i % 3 == 0 else i % 2, i) for i in range(60)], "k int, o int")
+    plain = sorted(map(str, number_within(df, "k", ["o"]).collect()))
+    assert len(plain) == 60
+    assert sorted(map(str, number_within(df, "k", ["o"], split=True, ranges=9).collect())) == plain
+
+
+def test_previous_row_with_gaps_and_null_ids(spark):
+    from histscore.operators.history import since_last_flag, with_previous
+
+    places = [p for p in range(1, 2100) if p not in (1024, 1025, 2048)]
+    rows = [(k, p, p) for p in places for k in (1, None)]
+    df = spark.createDataFrame(rows, "id long, rn int, x int")
+    got = {(r.id, r.rn): r.x__prev for r in with_previous(df, ["x"]).collect()}
+    for before, p in zip([None, *places], places):
+        assert got[1, p] == before == got[None, p]
+    flags = spark.createDataFrame([(1, 1, 0), (1, 40, 1), (1, 90, 0), (1, 95, 0)], "id long, rn int, overdue int")
+    assert since_last_flag(flags).first().since_overdue == 2
+
+
+def test_hash_epochs_samples_and_masks_behave_like_chance(spark):
+    ids = spark.range(0, 4000)
+    plan = S.batch_plan(ids, 2, 1, 10, 5).toPandas()
+    order = [plan[plan.epoch == e].sort_values(["batch_key", "id"]).id.tolist() for e in (1, 2)]
+    place = {x: k for k, x in enumerate(order[1])}
+    shifts = {(place[x] - k) % len(order[0]) for k, x in enumerate(order[0])}
+    assert len(shifts) > 1000  # not a rotation
+    samples = S.fixed_samples(spark.range(0, 1000), 8, 100, 3).toPandas()
+    by = [set(samples[samples.step == s].id) for s in range(1, 9)]
+    overlaps = [len(a & b) for i, a in enumerate(by) for b in by[:i]]
+    assert 7 < sum(overlaps) / len(overlaps) < 13 and max(overlaps) < 25
+    cells = ids.select("id", F.lit(1).alias("pos"), F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("field"))
+    hit = S.field_mask(cells.withColumn("value", F.lit(1).cast("short")), 0.15, 9).groupBy("id").agg(F.sum(F.col("is_masked").cast("int")).alias("n"))
+    n = hit.toPandas().n
+    assert 0.08 < (n >= 2).mean() < 0.14 and 0.45 < (n == 0).mean() < 0.60  # binomial: 0.11 and 0.52
+
+
+def test_rank_loss_has_no_group_limit(spark):
+    from histscore.operators.metrics import pairwise_rank_loss
+
+    rng = np.random.default_rng(2)
+    rows = [(int(g), float(round(s, 2)), int(s + rng.normal() > 0)) for g in range(2) for s in rng.normal(size=300)] + [(9, 1.0, 1)]
+    df = spark.createDataFrame(rows, "g int, s double, y int")
+    want = {9: 0.0}
+    for g in range(2):
+        pos = np.array([s for k, s, y in rows if k == g and y == 1])
+        neg = np.array([s for k, s, y in rows if k == g and y != 1])
+        want[g] = float(np.logaddexp(0, neg[None, :] - pos[:, None]).mean())
+    for block in (7, 64, 4096):
+        got = {r.g: r.rank_loss for r in pairwise_rank_loss(df, "s", "y", ["g"], block=block).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_auc_refuses_null_and_nan(spark):
+    import pytest
+
+    for bad in ((None, 1), (float("nan"), 0), (0.5, None)):
+        df = spark.createDataFrame([(0.1, 0), (0.9, 1), bad], "prediction double, target int")
+        with pytest.raises(Exception, match="AUC needs"):
+            auc(df).collect()
+
+
+def test_repeated_label_counts_once(spark):
+    labels = spark.createDataFrame([(1, 1), (1, 1), (5, 0)], "id long, flag int")
+    out = X.centred_prior(labels, spark.createDataFrame([(1,)], "id long"), 2, 20.0).first()
+    assert (out.window_count, out.window_sum) == (1, 1)
+
+
+def test_planted_faults_are_reported(spark):
+    from histscore.operators import checks as C
+
+    left = spark.createDataFrame([("m", 1, 0), ("m", 2, 1), ("n", 1, 0)], "model string, id int, target int")
+    right = spark.createDataFrame([("m", 1, 0), ("m", 2, 0), ("n", 1, 0), ("n", 3, 1)], "model string, id int, target int")
+    got = {r.model: (r.only_left, r.only_right, r.differ) for r in C.alignment_report(left, right, "id", ["target"], by=["model"]).collect()}
+    assert got == {"m": (0, 0, 1), "n": (0, 1, 0)}
+    swapped = spark.createDataFrame([(0, 8), (1, 7)], "ord int, id int")
+    sample = spark.createDataFrame([(0, 7), (1, 8)], "ord int, id int")
+    assert C.order_report(swapped, sample, "id", "ord").first().mismatched == 2
+
+
+def test_exact_quantile_matches_numpy(spark):
+    from histscore.operators.split import quantile_border
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 101):
+        ids = rng.integers(0, 50, n)
+        df = spark.createDataFrame([(int(i),) for i in ids], "id long")
+        assert abs(quantile_border(df, 0.9) - np.quantile(ids, 0.9)) < 1e-9
