@@ -1,4 +1,7 @@
-"""Train and score queries: T1-T6, H8 (rows-only checks except T5)."""
+"""Train and score queries: T1-T6, H8, H15.
+
+A fitted model is no SQL, so these queries return what SQL can fix: the rows
+and ids scored, their order, and whether scores and metrics are valid."""
 
 from __future__ import annotations
 
@@ -8,19 +11,21 @@ import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from histscore.functions.scalar import fold
+from histscore.functions.scalar import fold, mix_hash
 from histscore.operators import axis as X
 from histscore.operators import learn as L
 from histscore.operators import metrics as M
 from histscore.operators import sequences as S
 from histscore.operators import split as SP
 from histscore.operators.checks import missing_keys
+from histscore.operators.ordering import global_row_number
 from histscore.plans import bindings as B
 from histscore.plans import q_axis, q_history, q_seq
 from histscore.plans.oracle_ctes import with_roles
 from histscore.plans.registry import register
+from histscore.plans.sqlhash import mix_hash_sql
 from histscore.session import scratch_path
-from histscore.sources.sinks import compact_submission
+from histscore.sources.sinks import read_in_file_order, write_compact_csv
 
 GBT_ITER = 20
 TOP_K = 10
@@ -39,7 +44,27 @@ def fitted(spark, sf_dir):
     return model, table, feats
 
 
-@register("gbt_fit_score")
+def _auc_valid():
+    return F.coalesce(F.col("auc").between(0.0, 1.0), F.lit(False)).alias("auc_valid")
+
+
+_SCORED = """SELECT t.id, t.flag, ((t.id % 10) + 10) % 10 = 0 AS is_valid FROM target_dense t
+             WHERE t.id IN (SELECT id FROM history_b)"""
+
+
+@register(
+    "gbt_fit_score",
+    with_roles(
+        ["history_b", "target_dense"],
+        """SELECT tag, count(*) AS rows, CAST(sum(flag) AS BIGINT) AS n_pos,
+                  sum(flag) > 0 AND sum(flag) < count(*) AS auc_valid, true AS has_trees
+           FROM (SELECT 'random' AS tag, flag FROM scored WHERE is_valid
+                 UNION ALL SELECT 'temporal', flag FROM scored
+                 WHERE id >= (SELECT quantile_cont(id, 0.9) FROM scored))
+           GROUP BY tag""",
+        [("scored", _SCORED)],
+    ),
+)
 def q_gbt_fit_score(spark, sf_dir):
     """GBT on the engineered table, early stopping on fold 0; exact
     AUC on fold 0 and on the temporal rows (which include training rows,
@@ -53,8 +78,8 @@ def q_gbt_fit_score(spark, sf_dir):
     aucs = M.auc(tagged, "score", "flag", by=["tag"], counts=True)
     n_trees = len(model.stages[-1].trees)
     return aucs.select(
-        "tag", "auc", (F.col("n_pos") + F.col("n_neg")).alias("rows"),
-        F.lit(n_trees).alias("n_trees"), F.lit(len(feats)).alias("feature_count"),
+        "tag", (F.col("n_pos") + F.col("n_neg")).alias("rows"), "n_pos", _auc_valid(),
+        F.lit(n_trees > 0).alias("has_trees"),
     )
 
 
@@ -84,32 +109,69 @@ def q_model_roundtrip(spark, sf_dir):
     )
 
 
-@register("submission")
+SAMPLE_SEED = 23
+SUBMIT_FOLD = 9
+_UNIT_TEXT = r"^(0|1|\.[0-9]{1,18})$"
+
+
+@register(
+    "submission",
+    with_roles(
+        ["history_b", "target_dense"],
+        f"""SELECT row_number() OVER (ORDER BY {mix_hash_sql('id', seed=SAMPLE_SEED)}, id) AS ord, id, true AS flag_valid
+            FROM target_dense WHERE ((id % 10) + 10) % 10 = {SUBMIT_FOLD} AND id IN (SELECT id FROM history_b)""",
+    ),
+)
 def q_submission(spark, sf_dir):
-    """Score the query ids, left-join onto the sample
-    order, require a prediction for every id, emit the compact text."""
-    model, table, _ = fitted(spark, sf_dir)
-    queries = table.where(~F.col("is_valid"))
+    """Fit without one fold, score that fold, left-join
+    the predictions onto a sample whose order is not the id's, require a
+    prediction for every id, write the compact CSV and read it back: the rows
+    in file order with the position they stand at."""
+    table, feats = labelled_features(spark, sf_dir)
+    outside = fold("id") == SUBMIT_FOLD
+    model = L.gbt_pipeline(feats, max_iter=GBT_ITER).fit(table.where(~outside))
+    queries = table.where(outside)
     predicted = L.positive_probability(model.transform(queries)).select("id", F.col("score").alias("flag"))
-    sample = queries.select("id", F.col("id").alias("ord"))
+    wanted = B.target_dense(spark, sf_dir).where(outside).join(B.history_b(spark, sf_dir).select("id").distinct(), "id")
+    sample = global_row_number(
+        wanted.select("id").withColumn("_h", mix_hash("id", seed=SAMPLE_SEED)), ["_h", "id"], name="ord"
+    ).select("id", "ord")
     joined = sample.join(predicted, "id", "left")
     missing = joined.where(F.col("flag").isNull()).count()
     if missing:
         raise ValueError(f"{missing} sample ids without a prediction")
-    text = compact_submission(joined, "id", "flag", "ord")
-    return text.join(sample, "id")
+    path = scratch_path(spark, f"submission/{uuid.uuid4().hex}")
+    write_compact_csv(joined, "id", "flag", "ord", path)
+    back = read_in_file_order(spark, path, "id long, flag string")
+    return back.select("ord", "id", F.col("flag").rlike(_UNIT_TEXT).alias("flag_valid"))
 
 
-@register("feature_select")
+@register(
+    "feature_select",
+    f"SELECT CAST(i + 1 AS INTEGER) AS rank, true AS known, true AS ordered FROM range({TOP_K}) t(i)",
+)
 def q_feature_select(spark, sf_dir):
-    """H8: the top features by GBT importance."""
-    model, _, _ = fitted(spark, sf_dir)
+    """H8: the ranks of the top features by GBT importance, whether each is a
+    feature named once, and whether importances never rise."""
+    model, _, feats = fitted(spark, sf_dir)
     ranked = L.importances(model)[:TOP_K]
-    rows = [(i + 1, name, float(v)) for i, (name, v) in enumerate(ranked)]
-    return spark.createDataFrame(rows, "rank int, feature string, importance double")
+    names = [n for n, _ in ranked]
+    rows = [
+        (i + 1, n in feats and names.count(n) == 1, 0.0 <= float(v) <= 1.0 and (i == 0 or v <= ranked[i - 1][1]))
+        for i, (n, v) in enumerate(ranked)
+    ]
+    return spark.createDataFrame(rows, "rank int, known boolean, ordered boolean")
 
 
-@register("pooled_lr")
+@register(
+    "pooled_lr",
+    with_roles(
+        ["history_b", "target_dense"],
+        """SELECT count(*) AS rows, CAST(sum(flag) AS BIGINT) AS n_pos,
+                  sum(flag) > 0 AND sum(flag) < count(*) AS auc_valid
+           FROM target_dense WHERE ((id % 10) + 10) % 10 = 0 AND id IN (SELECT id FROM history_b)""",
+    ),
+)
 def q_pooled_lr(spark, sf_dir):
     """Logistic regression on pooled sequence features, fold-0 AUC."""
     p = q_seq.packed(spark, sf_dir)
@@ -118,7 +180,8 @@ def q_pooled_lr(spark, sf_dir):
     table = L.prepare_features(pooled, feats, missing=0.0).withColumn("flag", F.col("y").cast("double"))
     model = L.logistic_pipeline(feats).fit(table.where(fold("id") != 0))
     scored = L.positive_probability(model.transform(table.where(fold("id") == 0)))
-    return M.auc(scored, "score", "flag", counts=True).withColumn("n_features", F.lit(len(feats)))
+    out = M.auc(scored, "score", "flag", counts=True)
+    return out.select((F.col("n_pos") + F.col("n_neg")).alias("rows"), "n_pos", _auc_valid())
 
 
 # ---------------------------------------------------------------- T5
@@ -178,7 +241,16 @@ AB_PARTS = 4
 AB_ITER = 10
 
 
-@register("ab_models")
+@register(
+    "ab_models",
+    with_roles(
+        ["history_b", "target_dense"],
+        f"""SELECT CAST(floor(id / 10) % {AB_PARTS} AS INTEGER) AS part, v.variant, count(*) AS rows,
+                   CAST(sum(flag) AS BIGINT) AS n_pos, sum(flag) > 0 AND sum(flag) < count(*) AS auc_valid
+            FROM target_dense, (SELECT unnest(['a', 'b']) AS variant) v
+            WHERE ((id % 10) + 10) % 10 = 0 AND id IN (SELECT id FROM history_b) GROUP BY 1, 2""",
+    ),
+)
 def q_ab_models(spark, sf_dir):
     """H15 with trained models: feature set A (the A5 aggregates) against
     set B (the H14 wide table), the same learner and folds, exact AUC of
@@ -205,8 +277,5 @@ def q_ab_models(spark, sf_dir):
         scored = part if scored is None else scored.unionByName(part)
     # Validation ids are multiples of 10; their parts come from id / 10.
     scored = scored.withColumn("part", F.pmod(F.floor(F.col("id") / 10), F.lit(AB_PARTS)).cast("int"))
-    aucs = M.auc(scored, "score", "flag", by=["part", "variant"])
-    return aucs.groupBy("part").agg(
-        F.max(F.when(F.col("variant") == "a", F.col("auc"))).alias("auc_a"),
-        F.max(F.when(F.col("variant") == "b", F.col("auc"))).alias("auc_b"),
-    )
+    aucs = M.auc(scored, "score", "flag", by=["part", "variant"], counts=True)
+    return aucs.select("part", "variant", (F.col("n_pos") + F.col("n_neg")).alias("rows"), "n_pos", _auc_valid())

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from histscore.functions.scalar import compact_decimal_text
 from histscore.operators.blend import canonical_prediction_columns
+from histscore.operators.ordering import global_row_number
 
 
 def write_predictions(preds: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -58,3 +59,18 @@ def write_compact_csv(
     """Header ``id,flag``; the global sort writes part files whose
     concatenation is the sample order."""
     compact_submission(df, id_col, value_col, ord_col).write.mode(mode).option("header", True).csv(path)
+
+
+def read_in_file_order(spark: SparkSession, path: str, schema: str, name: str = "ord") -> DataFrame:
+    """A CSV folder as written by ``write_compact_csv`` with each row's
+    1-based position in the files taken in name order. A file is read by one
+    task per split in order, so (file, task, row) is the position."""
+    rows = spark.read.option("header", True).schema(schema).csv(path)
+    # split of a file, then row of the split
+    rows = rows.select(
+        "*",
+        F.col("_metadata.file_name").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    return global_row_number(rows, ["_file", "_start", "_row"], name=name).drop("_file", "_start", "_row")
