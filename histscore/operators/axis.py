@@ -140,6 +140,12 @@ def centred_prior(
     )
 
 
+def scaled_widths(widths: Sequence[int], scale: float, least: int = 4) -> list[int]:
+    """Bin widths times a scale, rounded half to even, ``least`` at
+    least; widths that meet count once."""
+    return list(dict.fromkeys(max(least, round(w * scale)) for w in widths))
+
+
 def bin_edges(queries: DataFrame, widths: Sequence[int], half_bins: int) -> DataFrame:
     """Shared edges: for width w, edge j in [-H, H+1] sits at
     q + j*w - w//2; bin j spans edge j to edge j+1 (K6)."""

@@ -50,14 +50,6 @@ def blend(
     return wide.withColumn(name, weighted_sum([(w, c) for c, w in weights.items()]))
 
 
-def layered(
-    wide: DataFrame, base: str, layers: Mapping[str, float], name: str = "layered"
-) -> DataFrame:
-    """Base * (1 - sum of layer weights) + sum of weighted layers."""
-    main = 1.0 - sum(layers.values())
-    return wide.withColumn(name, weighted_sum([(main, base)] + [(w, c) for c, w in layers.items()]))
-
-
 def grid_weights(start: float, stop: float, points: int):
     """Weights start + i * step as doubles (numpy linspace arithmetic)."""
     step = (stop - start) / (points - 1)
@@ -107,6 +99,15 @@ def ratio_mixes(
     return auc(mixed, "_s", label, by=["ratio"])
 
 
+def mixed_outputs(
+    wide: DataFrame, final: str, current: str, ratios: Sequence[float], key: str = "id"
+) -> DataFrame:
+    """r*final + (1-r)*current for each ratio and id."""
+    ratio = F.explode(F.array(*[F.lit(float(r)) for r in ratios])).alias("ratio")
+    mixed = F.col("ratio") * F.col(final) + (1.0 - F.col("ratio")) * F.col(current)
+    return wide.select(key, final, current, ratio).select("ratio", key, mixed.alias("mixed"))
+
+
 def simplex(n: int, step_count: int) -> list[tuple[int, ...]]:
     """Integer compositions of ``step_count`` into ``n`` parts (weights are
     parts / step_count)."""

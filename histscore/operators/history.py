@@ -78,16 +78,23 @@ def category_frequencies(
     df: DataFrame, column: str, values: Sequence, prefix: str | None = None, id_col: str = "id"
 ) -> DataFrame:
     """H5-H7: share of rows per category value (the vocabulary is a
-    parameter, e.g. collected once from a small dimension)."""
+    parameter, e.g. collected once from a small dimension) and of all other
+    values, null included, so the shares add up to 1."""
     prefix = prefix or column
     n = F.count(F.lit(1))
     exprs = [
         (F.count_if(F.col(column) == F.lit(v)) / n).alias(f"{prefix}__freq_{_safe(v)}")
         for v in values
     ]
+    exprs.append((F.count_if(other_value(column, values)) / n).alias(f"{prefix}__freq_other"))
     return df.groupBy(id_col).agg(*exprs)
 
 
+def other_value(column: str, values: Sequence) -> Column:
+    """True for null and for values outside the vocabulary."""
+    return F.coalesce(~F.col(column).isin(list(values)), F.lit(True))
+
+
 def _safe(value) -> str:
     text = str(value)
     return "".join(ch if ch.isalnum() else "_" for ch in text)
@@ -168,15 +175,14 @@ def by_category(
     sum_of: str,
     id_col: str = "id",
 ) -> DataFrame:
-    """Per-category mean of one field and sum of another."""
+    """Per-category mean of one field and sum of another, and the same
+    for all other values."""
     exprs = []
-    for v in values:
-        hit = F.col(category) == F.lit(v)
+    hits = [(_safe(v), F.col(category) == F.lit(v)) for v in values]
+    for tag, hit in [*hits, ("other", other_value(category, values))]:
         exprs += [
-            F.avg(F.when(hit, F.col(mean_of))).alias(f"{mean_of}__mean_{_safe(v)}"),
-            F.sum(F.when(hit, F.col(sum_of)).otherwise(0))
-            .cast("long")
-            .alias(f"{sum_of}__sum_{_safe(v)}"),
+            F.avg(F.when(hit, F.col(mean_of))).alias(f"{mean_of}__mean_{tag}"),
+            F.sum(F.when(hit, F.col(sum_of)).otherwise(0)).cast("long").alias(f"{sum_of}__sum_{tag}"),
         ]
     return df.groupBy(id_col).agg(*exprs)
 
@@ -208,13 +214,13 @@ def wide_features(
             (F.max_by(f, "rn") - F.min_by(f, "rn")).alias(f"{f}__delta"),
             F.regr_slope(f, "rn").alias(f"{f}__slope"),
         ]
-    for v in categories:
-        plain.append((F.count_if(F.col(category) == F.lit(v)) / n).alias(f"{category}__freq_{_safe(v)}"))
-        plain.append(
-            F.avg(F.when(F.col(category) == F.lit(v), F.col(util))).alias(f"{util}__mean_{_safe(v)}")
-        )
+    hits = [(_safe(v), F.col(category) == F.lit(v)) for v in categories]
+    for tag, hit in [*hits, ("other", other_value(category, categories))]:
+        plain.append((F.count_if(hit) / n).alias(f"{category}__freq_{tag}"))
+        plain.append(F.avg(F.when(hit, F.col(util))).alias(f"{util}__mean_{tag}"))
     for s in states:
         plain.append((F.count_if(F.col(state) == s) / n).alias(f"{state}__freq_{s}"))
+    plain.append((F.count_if(other_value(state, states)) / n).alias(f"{state}__freq_other"))
     after = F.count_if(F.col("rn") > F.col("_flagged"))
     plain.append(F.when(F.max("_flagged").isNotNull(), after).alias(f"since_{overdue}"))
     df = df.withColumn("_flagged", _last_flagged(overdue, id_col))

@@ -161,15 +161,40 @@ def mask_answers(masked: DataFrame) -> DataFrame:
     )
 
 
-def multi_hot(cells: DataFrame, offsets: DataFrame, n_fields: int) -> DataFrame:
+def multi_hot(packed: DataFrame, offsets: DataFrame, seq: str = "seq", length: str = "len") -> DataFrame:
     """Q9 (with P9): per event the vocabulary indices of its non-zero codes
-    and the 1/sqrt(F) scale of each."""
-    shifted = cells.where(F.col("value") != 0).join(
-        F.broadcast(offsets.select(F.col("field_index").alias("field"), "offset")), "field"
+    and the 1/sqrt(F) scale of each. The offsets (one row per field) become
+    literals; every event is one row and nothing is shuffled."""
+    shift = [int(r["offset"]) for r in offsets.orderBy("field_index").select("offset").collect()]
+    literal = F.array(*[F.lit(k).cast("long") for k in shift])
+    events = packed.select("id", F.posexplode(F.slice(seq, 1, F.col(length))).alias("_p", "_row"))
+    indices = F.filter(
+        F.transform("_row", lambda v, i: F.when(v != 0, v.cast("long") + F.get(literal, i))), lambda x: x.isNotNull()
+    )
+    return events.select(
+        "id",
+        (F.col("_p") + 1).alias("pos"),
+        F.sort_array(indices).alias("indices"),
+        F.lit(1.0 / len(shift) ** 0.5).alias("scale"),
+    ).where(F.size("indices") > 0)
+
+
+def pooled_rows(df: DataFrame, fields: Sequence[str], max_len: int, id_col: str = "id") -> DataFrame:
+    """Q4 without packing: mean, max and last of the shifted codes over the
+    kept rows, as one aggregate."""
+    kept = last_n(df, max_len, id_col=id_col)
+    code = {f: (F.col(f) + 1).cast("short") for f in fields}
+    return kept.groupBy(id_col).agg(
+        *[
+            c
+            for f in fields
+            for c in (
+                F.avg(code[f]).alias(f"{f}__pool_mean"),
+                F.max(code[f].cast("double")).alias(f"{f}__pool_max"),
+                F.max_by(code[f], "rn").alias(f"{f}__pool_last"),
+            )
+        ]
     )
-    return shifted.groupBy("id", "pos").agg(
-        F.sort_array(F.collect_list((F.col("value") + F.col("offset")).cast("long"))).alias("indices")
-    ).withColumn("scale", F.lit(1.0 / n_fields ** 0.5))
 
 
 def batch_plan(

@@ -9,21 +9,24 @@ preds          four deterministic scores per customer (long form)
 
 At scale the history tables arrive with ``rn`` already set (as in the
 reference). Here ``rn`` is built with ``number_within``: a window per
-entity, except for hot entities, which are numbered across tasks.
+entity, so a history is read once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from histscore.functions.scalar import fold
 from histscore.operators.ordering import global_row_number, join_small, number_within
 from histscore.sources.tables import read_table
 
+# Values a code column may have.
+MAX_CODES = 10_000
 HISTORY_A_FIELDS = ["f_type", "f_k", "f_hour", "f_val"]
 HISTORY_B_NUMERIC = ["state", "util", "overdue", "x"]
-# Payment-state codes of the return flag.
+# Payment-state codes of the return flag (any other: the next).
 STATE_CODES = {"A": 0, "N": 1, "R": 2}
 # The score columns that stand in for model predictions.
 PRED_MODELS = ["discount", "overdue_rate", "max_qty", "n_lines"]
@@ -31,12 +34,14 @@ PRED_MODELS = ["discount", "overdue_rate", "max_qty", "n_lines"]
 
 def category_codes(df: DataFrame, column: str, code_name: str) -> DataFrame:
     """Dense 0-based codes of a categorical column in sorted order. The
-    vocabulary is the distinct values (small by nature of a category)."""
+    vocabulary is the distinct values; beyond ``MAX_CODES`` it is no category
+    and the job fails before anything is numbered."""
     vocab = df.select(column).distinct()
-    return vocab.select(
-        column,
-        (F.row_number().over(Window.orderBy(column)) - 1).cast("short").alias(code_name),
-    )
+    found = sorted((r[0] for r in vocab.limit(MAX_CODES + 1).collect()), key=lambda v: (v is not None, v))
+    if len(found) > MAX_CODES:
+        raise ValueError(f"{column} has more than {MAX_CODES} values")
+    schema = T.StructType([df.schema[column], T.StructField(code_name, T.ShortType())])
+    return df.sparkSession.createDataFrame([(v, k) for k, v in enumerate(found)], schema)
 
 
 def history_a(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,12 +92,15 @@ def history_b(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_extendedprice",
     ]
     numbered = number_within(joined, "o_custkey", line_order)
-    state = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1)
+    state = None
+    for flag, code in STATE_CODES.items():
+        hit = F.col("l_returnflag") == flag
+        state = F.when(hit, code) if state is None else state.when(hit, code)
     return numbered.select(
         F.col("o_custkey").alias("id"),
         "rn",
         F.col("o_orderpriority").alias("type"),
-        state.otherwise(2).cast("short").alias("state"),
+        state.otherwise(len(STATE_CODES)).cast("short").alias("state"),
         F.round(F.col("l_discount") * 100).cast("short").alias("util"),
         F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 40), 1)
         .otherwise(0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from histscore.plans import q_axis, q_blend, q_history, q_learn, q_runs, q_seq  # noqa: F401
+from histscore.plans import q_axis, q_blend, q_history, q_io, q_learn, q_runs, q_seq  # noqa: F401
 from histscore.plans.q_history import flagship  # noqa: F401
 from histscore.plans.registry import ORACLE, QUERIES
 from histscore.plans.sqlkit import bigint_count_if

@@ -20,7 +20,7 @@ CTES: dict[str, str] = {
                     l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_shipdate, l.l_quantity,
                     l.l_extendedprice) AS INTEGER) AS rn,
                o.o_orderpriority AS type,
-               CAST(CASE l.l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS SMALLINT) AS state,
+               CAST(CASE l.l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 ELSE 3 END AS SMALLINT) AS state,
                CAST(round(l.l_discount * 100) AS SMALLINT) AS util,
                CAST(CASE WHEN l.l_returnflag = 'R' AND l.l_quantity >= 40 THEN 1 ELSE 0 END AS SMALLINT) AS overdue,
                l.l_quantity AS x

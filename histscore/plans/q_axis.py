@@ -108,8 +108,8 @@ def q_id_prior(spark, sf_dir):
     return valid.withColumn("split", F.lit("valid")).unionByName(test.withColumn("split", F.lit("test")))
 
 
-def _bins_sql(queries: str, labels: str, own: bool) -> str:
-    widths = ", ".join(str(w) for w in BIN_WIDTHS)
+def _bins_sql(queries: str, labels: str, own: bool, widths=BIN_WIDTHS) -> str:
+    widths = ", ".join(str(w) for w in widths)
     own_sum = "- CASE WHEN b.bin = 0 THEN q.flag ELSE 0 END" if own else ""
     own_cnt = "- CASE WHEN b.bin = 0 THEN 1 ELSE 0 END" if own else ""
     return f"""
@@ -140,6 +140,25 @@ def q_multi_scale_bins(spark, sf_dir):
     return bins.withColumn("density", F.round("density", 9))
 
 
+WIDTH_SCALE = 0.6
+
+
+@register(
+    "bins_scaled",
+    with_roles(
+        ["target_sparse", "query_ids"],
+        _bins_sql("query_ids", "target_sparse", False, X.scaled_widths(BIN_WIDTHS, WIDTH_SCALE)),
+    ),
+)
+def q_bins_scaled(spark, sf_dir):
+    """The bins at widths scaled to the axis."""
+    widths = X.scaled_widths(BIN_WIDTHS, WIDTH_SCALE)
+    bins = X.multi_scale_bins(
+        B.target_sparse(spark, sf_dir), B.query_ids(spark, sf_dir), widths, HALF_BINS, BIN_SMOOTHING
+    )
+    return bins.withColumn("density", F.round("density", 9))
+
+
 @register(
     "bins_leave_self_out",
     with_roles(["target_sparse"], _bins_sql("train_labels", "train_labels", True), [TRAIN_LABELS]),

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from histscore.functions.scalar import compact_decimal_text, fold, sigmoid, weighted_sum
+from histscore.functions.scalar import compact_decimal_text, fold, mix_hash, sigmoid, weighted_sum
 from histscore.operators import blend as BL
 from histscore.operators import checks as C
 from histscore.operators import metrics as M
 from histscore.operators import sequences as S
 from histscore.operators.history import history_aggregate
-from histscore.operators.ordering import rank_percentile
+from histscore.operators.ordering import global_row_number, rank_percentile
 from histscore.plans import bindings as B
 from histscore.plans import q_axis
 from histscore.plans.oracle_ctes import with_roles
 from histscore.plans.registry import register
 from histscore.plans.sqlhash import mix_hash_sql
 from histscore.plans.sqlkit import auc_sql, dbl, weighted_sql
+from histscore.session import scratch_path
+from histscore.sources.sinks import read_in_file_order, write_compact_csv
 
 MODELS = B.PRED_MODELS
 # Stand-in blend weights for the four score columns (B1).
@@ -451,16 +455,24 @@ def q_check_rows(spark, sf_dir):
     with_roles(
         ["preds"],
         """SELECT count(*) AS positions, count_if(o.id IS DISTINCT FROM s.id) AS mismatched
-           FROM (SELECT id AS ord, id FROM twide) o
-           FULL OUTER JOIN (SELECT id AS ord, id FROM target_dense WHERE ((id % 10) + 10) % 10 <> 0) s
-           ON o.ord = s.ord""",
+           FROM (SELECT id FROM twide) o
+           FULL OUTER JOIN (SELECT id FROM target_dense WHERE ((id % 10) + 10) % 10 <> 0) s
+           ON o.id = s.id""",
         [RANKS_CTE, TWIDE],
     ),
 )
 def q_check_order(spark, sf_dir):
-    out = wide(spark, sf_dir, "test").select(F.col("id").alias("ord"), "id")
-    sample = B.target_dense(spark, sf_dir).where(fold("id") != 0).select(F.col("id").alias("ord"), "id")
-    return C.order_report(out, sample, "id", "ord")
+    """C5 on the written file: predictions are joined to a sample in hash
+    order, written and read back; positions come from the file."""
+    sample = global_row_number(
+        B.target_dense(spark, sf_dir).where(fold("id") != 0).select("id", mix_hash("id", seed=5).alias("_h")),
+        ["_h", "id"],
+        name="ord",
+    ).select("id", "ord")
+    blended = BL.blend(wide(spark, sf_dir, "test"), BLEND_WEIGHTS, "flag").select("id", "flag")
+    path = scratch_path(spark, f"order/{uuid.uuid4().hex}")
+    write_compact_csv(sample.join(blended, "id"), "id", "flag", "ord", path)
+    return C.order_report(read_in_file_order(spark, path, "id long, flag string"), sample, "id", "ord")
 
 
 @register(

@@ -225,9 +225,15 @@ def _freq_sql(column: str, values, prefix: str) -> str:
         parts.append(
             f"count_if({column} = {lit}) / count(*) AS {prefix}__freq_{H._safe(v)}"
         )
+    parts.append(f"count_if({_other_sql(column, values)}) / count(*) AS {prefix}__freq_other")
     return ", ".join(parts)
 
 
+def _other_sql(column: str, values) -> str:
+    listed = ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values)
+    return f"coalesce({column} NOT IN ({listed}), true)"
+
+
 @register(
     "h_category_freq",
     with_roles(
@@ -353,6 +359,8 @@ def q_h_since_overdue(spark, sf_dir):
             f"CAST(sum(CASE WHEN type = '{v}' THEN overdue ELSE 0 END) AS BIGINT) AS overdue__sum_{H._safe(v)}"
             for v in PRIORITIES
         )
+        + f", avg(CASE WHEN {_other_sql('type', PRIORITIES)} THEN util END) AS util__mean_other, "
+        + f"CAST(sum(CASE WHEN {_other_sql('type', PRIORITIES)} THEN overdue ELSE 0 END) AS BIGINT) AS overdue__sum_other"
         + " FROM history_b GROUP BY id",
     ),
 )
@@ -379,6 +387,9 @@ def _wide_sql() -> str:
         plain.append(f"avg(CASE WHEN type = '{v}' THEN util END) AS util__mean_{H._safe(v)}")
     for s in STATES:
         plain.append(f"count_if(state = {s}) / count(*) AS state__freq_{s}")
+    for column, values in (("type", PRIORITIES), ("state", STATES)):
+        plain.append(f"count_if({_other_sql(column, values)}) / count(*) AS {column}__freq_other")
+    plain.append(f"avg(CASE WHEN {_other_sql('type', PRIORITIES)} THEN util END) AS util__mean_other")
     plain.append("count(*) - max(CASE WHEN overdue > 0 THEN rn END) AS since_overdue")
     plain += [
         f"count_if(state__prev = {a} AND state = {b}) AS state__t{a}{b}"

@@ -139,8 +139,7 @@ _POOL_SQL = ", ".join(
     ),
 )
 def q_masked_pool(spark, sf_dir):
-    p = packed(spark, sf_dir, labels=False)
-    return p.select("id", *S.masked_pool("seq", "len", len(FIELDS), FIELDS))
+    return S.pooled_rows(B.history_b_coded(spark, sf_dir), FIELDS, MAX_LEN)
 
 
 @register(
@@ -222,9 +221,7 @@ def q_mask_answers(spark, sf_dir):
     ),
 )
 def q_multi_hot(spark, sf_dir):
-    cells = S.explode_cells(packed(spark, sf_dir, labels=False), FIELDS)
-    offsets = S.field_offsets(cards(spark, sf_dir))
-    hot = S.multi_hot(cells, offsets, len(FIELDS))
+    hot = S.multi_hot(packed(spark, sf_dir, labels=False), S.field_offsets(cards(spark, sf_dir)))
     return hot.select(
         "id", F.col("pos").cast("int").alias("pos"), F.array_join("indices", ",").alias("idx_text"), "scale"
     )
@@ -306,16 +303,17 @@ def q_prepare_sequences(spark, sf_dir):
     """Q2: packed sequences for the labelled (train) and unlabelled (test)
     split, written to a path keyed by the parameters (K14), plus the
     metadata row (feature names, cardinalities, max_len, parts) as JSON."""
-    import hashlib
     import json
 
     from histscore.session import scratch_path
     from histscore.sources.sinks import stage_done, write_json_row, write_sequences
+    from histscore.sources.tables import input_key
 
     h = B.history_b_coded(spark, sf_dir)
-    # The path names the input and every parameter, so a committed stage is
-    # reused only for the same input and settings.
-    source = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
+    # The path names the input files (place, size, time) and every parameter,
+    # so a committed stage is reused only for the same data and settings
+    # (S5, K14).
+    source = input_key(spark, sf_dir, ["orders", "lineitem", "customer"])
     root = scratch_path(
         spark, f"sequences/source={source}/max_len={MAX_LEN}/fields={'-'.join(FIELDS)}"
     )

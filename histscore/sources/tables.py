@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterable, Sequence
 
@@ -57,3 +58,17 @@ def union_splits(parts: dict[str, DataFrame], split_col: str = "split") -> DataF
     for df in frames[1:]:
         out = out.unionByName(df, allowMissingColumns=True)
     return out
+
+
+def input_key(spark: SparkSession, sf_dir: str, names: Iterable[str]) -> str:
+    """A short name of the tables' current files: place, size and time of
+    each, from the file listing (no data is read)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    seen = []
+    for name in names:
+        for file in spark.read.parquet(table_path(sf_dir, name)).inputFiles():
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+            status = path.getFileSystem(conf).getFileStatus(path)
+            seen.append(f"{file} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(seen)).encode()).hexdigest()[:12]
