@@ -112,7 +112,8 @@ def _tuples(items: Column) -> Column:
 
 
 def signature(text: Column, k: int = K) -> Column:
-    """The fingerprint as an array of ints, ascending by bin."""
+    """The fingerprint as an array of ints, one per filled bin, in the order
+    of the signed hashes."""
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     return let(words, lambda w: let(_kmers(w, k), lambda m: let(_numbered(m), _tuples)))
 
