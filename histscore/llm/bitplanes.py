@@ -161,7 +161,7 @@ def write_token_files(
         writer = sink = None
         tokens = 0
         name = f"part-{part:06d}-{uuid.uuid4().hex[:12]}.hpl"
-        for _, (ids, texts) in slices(batches, "doc_id", "text"):
+        for _, (ids, texts) in slices(batches, "doc_id", "text", rows=1024):
             if writer is None:
                 store, base = open_store(folder)
                 store.create_dir(base, recursive=True)

@@ -5,13 +5,13 @@ from __future__ import annotations
 import os
 import posixpath
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histscore.session import checkpoint_dir, checkpointed  # noqa: F401
+from histscore.session import checkpoint_dir
 
 #: A word: a run of code points other than the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,11 +31,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """The words as UTF-8. ``bytes.split`` cuts at the six blanks, no others."""
-    return text.encode().split() if text else []
-
-
 def join_checked(big: DataFrame, small: DataFrame, on: Column, how: str, name_bytes: Column) -> DataFrame:
     """Join with a table that is usually small: broadcast after its rows and
     bytes have been counted, an ordinary shuffled join beyond the bound."""
@@ -45,11 +40,11 @@ def join_checked(big: DataFrame, small: DataFrame, on: Column, how: str, name_by
     return big.join(small, on, how)
 
 
-def slices(batches, *columns: str) -> Iterator[tuple[pa.RecordBatch, list[list]]]:
-    """Pieces of at most ``SLICE`` rows with the named columns as lists."""
+def slices(batches, *columns: str, rows: int = SLICE) -> Iterator[tuple[pa.RecordBatch, list[list]]]:
+    """Pieces of at most ``rows`` rows with the named columns as lists."""
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            part = batch.slice(at, SLICE)
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
             yield part, [part.column(part.schema.get_field_index(c)).to_pylist() for c in columns]
 
 
@@ -65,12 +60,3 @@ def open_store(path: str):
     if "://" in path or path.startswith("file:"):
         return fs.FileSystem.from_uri(path if "://" in path else "file://" + path[len("file:"):])
     return fs.LocalFileSystem(), os.path.abspath(path)
-
-
-def checkpointed_once(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in ``spark.checkpoint.dir``."""
-    return checkpointed(df)
-
-
-def columns_except(df: DataFrame, names: Sequence[str]) -> list[str]:
-    return [c for c in df.columns if c not in names]

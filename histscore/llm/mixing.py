@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from histscore.llm.common import checkpointed_once, join_checked, word_count
+from histscore.llm.common import join_checked, word_count
+from histscore.session import checkpointed
 
 WEIGHTS = (1, 2, 3)
 MAX_RATE = 3
@@ -53,12 +54,11 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], max_rate: int) -> D
     schema = T.StructType([*sizes.schema.fields, T.StructField("weight", T.LongType())])
     ordered = sizes.orderBy(F.col("source").asc_nulls_last()).rdd.zipWithIndex()
     turn = tuple(weights)
-    table = checkpointed_once(
+    table = checkpointed(
         spark.createDataFrame(ordered.map(lambda x: (*x[0], turn[x[1] % len(turn)])), schema)
     )
     cap = F.col("source_size") * max_rate
     total = table.agg(F.sum("source_size")).first()[0] or 0
-    share = F.lit(None)
     level, held = None, -1
     while True:
         above = F.lit(False) if level is None else F.lit(level) * F.col("weight") > cap
@@ -96,7 +96,7 @@ def mixing_plan(
     off = F.struct(F.abs(F.col("taken") - F.col("target")).alias("off"), F.col("try").alias("seed"))
     near = tried.groupBy(F.col("source").alias("__near_source")).agg(F.min(off)["seed"].alias("seed"))
     best = targets.join(near, F.col("source").eqNullSafe(F.col("__near_source"))).drop("__near_source")
-    return checkpointed_once(best)
+    return checkpointed(best)
 
 
 def _with_plan(df: DataFrame, plan: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def _with_plan(df: DataFrame, plan: DataFrame) -> DataFrame:
 
 def sized_documents(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, key, written once: later passes leave the texts."""
-    return checkpointed_once(
+    return checkpointed(
         docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), draw_key().alias("key"))
     )
 

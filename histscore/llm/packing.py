@@ -140,7 +140,7 @@ def pack_documents(
         packer = Packer(TaskContext.get().partitionId() << 33, length, pool)
         as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
         rows, held = [], 0
-        for _, (ids, texts) in slices(batches, "doc_id", "text"):
+        for _, (ids, texts) in slices(batches, "doc_id", "text", rows=1024):
             for doc, got in zip(ids, ids_of(texts)):
                 for row in packer.add(doc, got + end):
                     rows.append(row)

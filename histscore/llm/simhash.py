@@ -38,7 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from histscore.llm.common import checkpointed_once, join_checked, slices
+from histscore.llm.common import join_checked, slices
+from histscore.session import checkpointed
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 BUCKET = 2048
@@ -230,7 +231,7 @@ def _in_buckets(fps: DataFrame, limit: int, bucket: int) -> DataFrame:
                       for b, (o, w) in enumerate(blocks)])
         ).alias("k"),
     ).select("fp", "k.*")
-    big = checkpointed_once(first.groupBy("b", "v").count().filter(F.col("count") > bucket))
+    big = checkpointed(first.groupBy("b", "v").count().filter(F.col("count") > bucket))
     plain = [none.alias("b2"), none.alias("v2"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "fp"]
     if big.isEmpty():
         return first.select("b", "v", *plain)
@@ -307,7 +308,7 @@ def fingerprint_stars(fps: DataFrame, limit: int = MAX_BITS, bucket: int = BUCKE
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): every node of an edge with the smallest node reachable.
     Alternating large-star and small-star until the edges stand still."""
-    edges = checkpointed_once(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct())
+    edges = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct())
     mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = mark(edges)
     for _ in range(max_rounds):
@@ -318,7 +319,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
-        edges = checkpointed_once(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        edges = checkpointed(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = mark(edges)
         if now == seen:
             break
@@ -331,8 +332,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, limit: int = MAX_BITS, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fp, component_id and group_fp (the group's own fingerprint,
     its name where ids are null or repeated) for every row."""
-    rows = checkpointed_once(fingerprints(docs, shingle))
-    per_fp = checkpointed_once(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    rows = checkpointed(fingerprints(docs, shingle))
+    per_fp = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(fingerprint_stars(per_fp.select("fp"), limit, bucket))
     rooted = per_fp.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
@@ -348,7 +349,7 @@ def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, limit: int = MAX_B
     few enough to broadcast; beyond that it is a join on doc_id.
 
     If ids are null or repeated, rows are told apart by (id, fingerprint)."""
-    groups = checkpointed_once(near_groups(docs, shingle, limit, bucket))
+    groups = checkpointed(near_groups(docs, shingle, limit, bucket))
     rows, ids = groups.agg(F.count("*"), F.count("doc_id")).first()
     gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone_id"))
     doubled = rows != ids or not groups.groupBy("doc_id").count().filter("count > 1").isEmpty()

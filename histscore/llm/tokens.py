@@ -1,16 +1,16 @@
-"""Token ids of whole texts, encoding each distinct piece once.
+"""Token ids of whole texts, encoding each distinct run once.
 
 A text is cut where the tokenizer's own pre-tokenization always cuts, so the
-ids of the pieces, joined, are the ids of the whole text:
+ids of the parts, joined, are the ids of the whole text:
 
-- ``words``: at the six ASCII blanks, for vocabularies that drop white space;
-- ``spaced``: ``" ?\\S+"`` and runs of white space, the outer shape of the
-  byte-level pattern, for vocabularies that keep it.
+- ``words``: the pattern of vocabularies that lower-case and drop white
+  space, on the lower-cased text;
+- ``spaced``: the byte-level pattern of vocabularies that keep it.
 
-Pieces of plain letters (ASCII and the Latin-1 letters, which no
-normalisation changes but lower-casing) are cut once more into the pattern's
-own runs; others are encoded as they are. Pieces and runs are remembered per
-worker process up to a bound, then forgotten and learnt again.
+This holds for plain texts: ASCII and the Latin-1 letters, which no
+normalisation changes but lower-casing. Other texts are first cut at white
+space, and only their parts with other characters are encoded whole.
+Runs are remembered per worker process up to a bound, then learnt again.
 
 Ids are little-endian unsigned 32-bit bytes; joining ids is joining bytes.
 """
@@ -21,21 +21,24 @@ import os
 import re
 import sys
 import types
-
-import numpy as np
+from array import array
 
 #: White_Space of Unicode, as the tokenizers' patterns read ``\\s``.
-_WS = r"\t-\r \x85\xa0  -     　"
-_SPACED = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+_WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACED = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+").findall
+_WORDS = re.compile(r"[^\t-\r ]+").findall
 _LETTERS = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
-_PLAIN = re.compile(rf"[ -~{_LETTERS}]+").fullmatch
-#: The vocabularies' own patterns, on plain pieces.
+_PLAIN = re.compile(rf"[\t-\r -~{_LETTERS}]*").fullmatch
+#: The vocabularies' own patterns, on plain text.
 _RUNS = {
-    "words": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^ {_LETTERS}0-9]+").findall,
-    "spaced": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^ {_LETTERS}0-9]+| +").findall,
+    "words": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\t-\r {_LETTERS}0-9]+").findall,
+    "spaced": re.compile(
+        rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\t-\r {_LETTERS}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+    ).findall,
 }
-#: Distinct pieces and runs remembered per worker; the longest remembered.
-PIECES, RUNS, LONGEST = 250_000, 800_000, 64
+#: Distinct runs remembered per worker; the longest remembered; characters
+#: of text cut and looked up together.
+RUNS, LONGEST, TOGETHER = 1_000_000, 64, 4_000_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -60,47 +63,46 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words = cut == "words"
-        self.cut, self.runs = (None if self.words else _SPACED.findall), _RUNS[cut]
-        self.memo: dict = {}
-        self.run_memo: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), 4096):
-            got = self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)
-            out += [np.array(g.ids, dtype="<u4").tobytes() for g in got]
-        return out
-
-    def _learn(self, missing: list) -> dict:
-        """The ids of new pieces."""
-        text = [p.decode() for p in missing] if self.words else missing
-        parts = [
-            self.runs(t.lower() if self.words else t) if _PLAIN(t) and len(t) <= LONGEST else None for t in text
-        ]
-        runs = set().union(*[p for p in parts if p])
-        new = [r for r in runs if r not in self.run_memo]
-        if len(self.run_memo) + len(new) > RUNS:
-            self.run_memo, new = {}, list(runs)
-        self.run_memo.update(zip(new, self._library(new)))
-        whole = [t for t, p in zip(text, parts) if p is None]
-        other = iter(self._library(whole))
-        find = self.run_memo.__getitem__
-        return {m: b"".join(map(find, p)) if p is not None else next(other) for m, p in zip(missing, parts)}
+        self.lower = cut == "words"
+        self.parts, self.runs = (_WORDS if self.lower else _SPACED), _RUNS[cut]
+        self.learnt: dict[str, bytes] = {}
+
+    def _cut(self, text: str) -> list[str]:
+        if _PLAIN(text):
+            return self.runs(text.lower() if self.lower else text)
+        return [r for p in self.parts(text) for r in (self._cut(p) if _PLAIN(p) else [p])]
+
+    def _library(self, runs: list[str]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)
+        ids = [array("I", g.ids) for g in got]
+        if sys.byteorder == "big":
+            for a in ids:
+                a.byteswap()
+        return [a.tobytes() for a in ids]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; none for null."""
-        if self.words:
-            cut = [t.encode().split() if t else [] for t in texts]
-        else:
-            cut = [self.cut(t) if t else [] for t in texts]
+        out, some, size = [], [], 0
+        for t in texts:
+            some.append(t)
+            size += len(t or "")
+            if size >= TOGETHER:
+                out += self._encode(some)
+                some, size = [], 0
+        return out + self._encode(some)
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
+        cut = [self._cut(t) if t else [] for t in texts]
         wanted = set().union(*cut)
-        new = self._learn([p for p in wanted if p not in self.memo])
-        if len(self.memo) + len(new) > PIECES:
-            self.memo = {p: self.memo[p] for p in wanted if p in self.memo}
-        find = self.memo
-        long = {p: ids for p, ids in new.items() if len(p) > LONGEST}
-        self.memo.update((p, ids) for p, ids in new.items() if len(p) <= LONGEST)
-        if not long:
-            return [b"".join(map(find.__getitem__, c)) for c in cut]
-        return [b"".join([find[p] if p in find else long[p] for p in c]) for c in cut]
+        new = [r for r in wanted if r not in self.learnt]
+        if len(self.learnt) + len(new) > RUNS:
+            self.learnt, new = {}, list(wanted)
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            self.learnt.update(zip(some, self._library(some)))
+        find = self.learnt.__getitem__
+        out = [b"".join(map(find, c)) for c in cut]
+        for r in new:
+            if len(r) > LONGEST:
+                del self.learnt[r]
+        return out
