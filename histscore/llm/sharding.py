@@ -23,10 +23,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from histscore.llm.common import checkpointed_once
+from histscore.session import checkpointed
 
 LIMIT_BYTES = 1 << 20
-KEY_BITS, ROW_BITS, BAND = 40, 20, 8
+KEY_BITS, ROW_BITS, BAND = 40, 20, 3
 BITS = KEY_BITS + ROW_BITS
 
 
@@ -49,7 +49,7 @@ def _coded(docs: DataFrame, carry: Sequence[str]) -> DataFrame:
 def assign_shards(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, bytes, shard (its hash prefix as bits), depth, shard_bytes,
     shard_docs, over_limit; with ``carry`` a struct of those columns."""
-    rest = checkpointed_once(_coded(docs, carry))  # pins the row bits
+    rest = checkpointed(_coded(docs, carry))  # pins the row bits
     done = None
     for lo in range(0, BITS + 1, BAND + 1):
         hi = min(lo + BAND, BITS)
@@ -74,7 +74,7 @@ def assign_shards(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, carry: Sequen
             .groupBy("cell")
             .agg(F.min(F.struct("depth", "prefix", "shard_bytes", "shard_docs")).alias("at"))
         )
-        joined = checkpointed_once(
+        joined = checkpointed(
             rest.withColumn("cell", _prefix(F.col("code"), hi)).join(directory, "cell", "left").drop("cell")
         )
         found = joined.filter(F.col("at").isNotNull()).select(
