@@ -62,12 +62,18 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(a.normalized or a.lstrip or a.rstrip or a.single_word for a in added):
+            raise ValueError("added tokens must be matched as they stand")
+        self.added = sorted((a.content for a in added), key=len, reverse=True)
+        self.at_added = re.compile(f"({'|'.join(map(re.escape, self.added))})").split
         self.lower = cut == "words"
         self.parts, self.runs = (_WORDS if self.lower else _SPACED), _RUNS[cut]
         self.learnt: dict[str, bytes] = {}
 
     def _cut(self, text: str) -> list[str]:
+        if any(a in text for a in self.added):
+            return [r for k, p in enumerate(self.at_added(text)) for r in ([p] if k % 2 else self._cut(p))]
         if _PLAIN(text):
             return self.runs(text.lower() if self.lower else text)
         return [r for p in self.parts(text) for r in (self._cut(p) if _PLAIN(p) else [p])]
