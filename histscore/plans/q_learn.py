@@ -1,7 +1,10 @@
 """Train and score queries: T1-T6, H8, H15.
 
-A fitted model is no SQL, so these queries return what SQL can fix: the rows
-and ids scored, their order, and whether scores and metrics are valid."""
+A fitted model is no SQL, so the queries with SQL return what SQL can fix: the
+rows and ids scored, their order, and whether scores and metrics are valid.
+The learners' own results (AUCs, importances, submission texts) are returned by
+``gbt_metrics``, ``feature_importances``, ``pooled_lr_auc``, ``ab_models_auc``
+and ``submission_text``, which have no SQL."""
 
 from __future__ import annotations
 
@@ -66,20 +69,30 @@ _SCORED = """SELECT t.id, t.flag, ((t.id % 10) + 10) % 10 = 0 AS is_valid FROM t
     ),
 )
 def q_gbt_fit_score(spark, sf_dir):
-    """GBT on the engineered table, early stopping on fold 0; exact
-    AUC on fold 0 and on the temporal rows (which include training rows,
-    K22)."""
-    model, table, feats = fitted(spark, sf_dir)
+    """The rows of ``gbt_metrics`` that SQL can fix."""
+    return q_gbt_metrics(spark, sf_dir).select(
+        "tag", "rows", "n_pos", _auc_valid(), (F.col("n_trees") > 0).alias("has_trees")
+    )
+
+
+def tagged_scores(model, table):
     scored = L.positive_probability(model.transform(table)).select("id", "flag", "score", "is_valid")
     temporal, _ = SP.temporal_fold(scored, 0.9)
-    tagged = scored.where("is_valid").withColumn("tag", F.lit("random")).unionByName(
+    return scored.where("is_valid").withColumn("tag", F.lit("random")).unionByName(
         temporal.withColumn("tag", F.lit("temporal"))
     )
-    aucs = M.auc(tagged, "score", "flag", by=["tag"], counts=True)
-    n_trees = len(model.stages[-1].trees)
+
+
+@register("gbt_metrics")
+def q_gbt_metrics(spark, sf_dir):
+    """GBT on the engineered table, early stopping on fold 0; exact
+    AUC on fold 0 and on the temporal rows (which include training rows,
+    K22)."""
+    model, table, feats = fitted(spark, sf_dir)
+    aucs = M.auc(tagged_scores(model, table), "score", "flag", by=["tag"], counts=True)
     return aucs.select(
-        "tag", (F.col("n_pos") + F.col("n_neg")).alias("rows"), "n_pos", _auc_valid(),
-        F.lit(n_trees > 0).alias("has_trees"),
+        "tag", (F.col("n_pos") + F.col("n_neg")).alias("rows"), "n_pos", "auc",
+        F.lit(len(model.stages[-1].trees)).alias("n_trees"), F.lit(len(feats)).alias("feature_count"),
     )
 
 
@@ -123,6 +136,12 @@ _UNIT_TEXT = r"^(0|1|\.[0-9]{1,18})$"
     ),
 )
 def q_submission(spark, sf_dir):
+    """The rows of ``submission_text`` with the text's form in its place."""
+    return q_submission_text(spark, sf_dir).select("ord", "id", F.col("flag").rlike(_UNIT_TEXT).alias("flag_valid"))
+
+
+@register("submission_text")
+def q_submission_text(spark, sf_dir):
     """Fit without one fold, score that fold, left-join
     the predictions onto a sample whose order is not the id's, require a
     prediction for every id, write the compact CSV and read it back: the rows
@@ -142,8 +161,7 @@ def q_submission(spark, sf_dir):
         raise ValueError(f"{missing} sample ids without a prediction")
     path = scratch_path(spark, f"submission/{uuid.uuid4().hex}")
     write_compact_csv(joined, "id", "flag", "ord", path)
-    back = read_in_file_order(spark, path, "id long, flag string")
-    return back.select("ord", "id", F.col("flag").rlike(_UNIT_TEXT).alias("flag_valid"))
+    return read_in_file_order(spark, path, "id long, flag string").select("ord", "id", "flag")
 
 
 @register(
@@ -163,6 +181,14 @@ def q_feature_select(spark, sf_dir):
     return spark.createDataFrame(rows, "rank int, known boolean, ordered boolean")
 
 
+@register("feature_importances")
+def q_feature_importances(spark, sf_dir):
+    """H8: every feature with its GBT importance, largest first."""
+    model, _, _ = fitted(spark, sf_dir)
+    rows = [(k + 1, n, float(v)) for k, (n, v) in enumerate(L.importances(model))]
+    return spark.createDataFrame(rows, "rank int, feature string, importance double")
+
+
 @register(
     "pooled_lr",
     with_roles(
@@ -173,6 +199,12 @@ def q_feature_select(spark, sf_dir):
     ),
 )
 def q_pooled_lr(spark, sf_dir):
+    """The rows of ``pooled_lr_auc`` that SQL can fix."""
+    return q_pooled_lr_auc(spark, sf_dir).select("rows", "n_pos", _auc_valid())
+
+
+@register("pooled_lr_auc")
+def q_pooled_lr_auc(spark, sf_dir):
     """Logistic regression on pooled sequence features, fold-0 AUC."""
     p = q_seq.packed(spark, sf_dir)
     pooled = p.select("id", "y", *S.masked_pool("seq", "len", len(q_seq.FIELDS), q_seq.FIELDS))
@@ -181,7 +213,7 @@ def q_pooled_lr(spark, sf_dir):
     model = L.logistic_pipeline(feats).fit(table.where(fold("id") != 0))
     scored = L.positive_probability(model.transform(table.where(fold("id") == 0)))
     out = M.auc(scored, "score", "flag", counts=True)
-    return out.select((F.col("n_pos") + F.col("n_neg")).alias("rows"), "n_pos", _auc_valid())
+    return out.select((F.col("n_pos") + F.col("n_neg")).alias("rows"), "n_pos", "auc")
 
 
 # ---------------------------------------------------------------- T5
@@ -252,6 +284,12 @@ AB_ITER = 10
     ),
 )
 def q_ab_models(spark, sf_dir):
+    """The rows of ``ab_models_auc`` that SQL can fix."""
+    return q_ab_models_auc(spark, sf_dir).select("part", "variant", "rows", "n_pos", _auc_valid())
+
+
+@register("ab_models_auc")
+def q_ab_models_auc(spark, sf_dir):
     """H15 with trained models: feature set A (the A5 aggregates) against
     set B (the H14 wide table), the same learner and folds, exact AUC of
     each on every part of the validation fold (the whole table, not one
@@ -278,4 +316,4 @@ def q_ab_models(spark, sf_dir):
     # Validation ids are multiples of 10; their parts come from id / 10.
     scored = scored.withColumn("part", F.pmod(F.floor(F.col("id") / 10), F.lit(AB_PARTS)).cast("int"))
     aucs = M.auc(scored, "score", "flag", by=["part", "variant"], counts=True)
-    return aucs.select("part", "variant", (F.col("n_pos") + F.col("n_neg")).alias("rows"), "n_pos", _auc_valid())
+    return aucs.select("part", "variant", (F.col("n_pos") + F.col("n_neg")).alias("rows"), "n_pos", "auc")
