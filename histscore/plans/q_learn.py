@@ -35,9 +35,10 @@ TOP_K = 10
 
 
 def labelled_features(spark, sf_dir):
+    """Every labelled id; one without a history has missing features."""
     wide = q_history.q_h_wide(spark, sf_dir)
     feats = [c for c in wide.columns if c != "id"]
-    table = wide.join(B.target_dense(spark, sf_dir), "id").withColumn("is_valid", fold("id") == 0)
+    table = B.target_dense(spark, sf_dir).join(wide, "id", "left").withColumn("is_valid", fold("id") == 0)
     return L.prepare_features(table, feats), feats
 
 
@@ -151,7 +152,7 @@ def q_submission_text(spark, sf_dir):
     model = L.gbt_pipeline(feats, max_iter=GBT_ITER).fit(table.where(~outside))
     queries = table.where(outside)
     predicted = L.positive_probability(model.transform(queries)).select("id", F.col("score").alias("flag"))
-    wanted = B.target_dense(spark, sf_dir).where(outside).join(B.history_b(spark, sf_dir).select("id").distinct(), "id")
+    wanted = B.target_dense(spark, sf_dir).where(outside)
     sample = global_row_number(
         wanted.select("id").withColumn("_h", mix_hash("id", seed=SAMPLE_SEED)), ["_h", "id"], name="ord"
     ).select("id", "ord")
@@ -261,12 +262,13 @@ def q_batch_score(spark, sf_dir):
 def q_complete_check_submission(spark, sf_dir):
     """C2 + A11 on the scored sample: ids without a prediction (null count)."""
     model, table, _ = fitted(spark, sf_dir)
+    sample = B.target_dense(spark, sf_dir).where(fold("id") != 0).select("id")
     queries = table.where(~F.col("is_valid"))
     predicted = L.positive_probability(model.transform(queries)).select("id", "score")
-    joined = queries.select("id").join(predicted, "id", "left")
+    joined = sample.join(predicted, "id", "left")
     return joined.agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col("score").isNull()).alias("null_predictions")
-    ).withColumn("missing_ids", F.lit(missing_keys(queries, predicted, ["id"]).count()).cast("long"))
+    ).withColumn("missing_ids", F.lit(missing_keys(sample, predicted, ["id"]).count()).cast("long"))
 
 
 AB_PARTS = 4
@@ -306,7 +308,7 @@ def q_ab_models_auc(spark, sf_dir):
     for tag, feats_df in sets.items():
         feats = [c for c in feats_df.columns if c != "id"]
         table = L.prepare_features(
-            feats_df.join(target, "id").withColumn("is_valid", fold("id") == 0), feats
+            target.join(feats_df, "id", "left").withColumn("is_valid", fold("id") == 0), feats
         )
         model = L.gbt_pipeline(feats, max_iter=AB_ITER).fit(table)
         part = L.positive_probability(model.transform(table.where("is_valid"))).select(
