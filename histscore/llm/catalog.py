@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from histscore.llm import bitplanes, chat, mixing, orderhash, packing, quality, sharding, simhash, substring, warc
+from histscore.llm import bitplanes, chat, divergence, mixing, orderhash, packing, quality, sharding, simhash, spelling, substring, tokencount, warc
 from histscore.llm.common import table
 from histscore.llm.registry import ORACLE, QUERIES, register
 
@@ -143,6 +143,50 @@ def op10(spark, sf_dir):
     return warc.read_bundles(warc.write_bundles(warc.decide_records(pages)))
 
 
+@register("op11_spelling_variants")
+def op11(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register("op12_token_counts")
+def op12(spark, sf_dir):
+    return tokencount.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+AUDIT_SQL = r"""
+with d as (select coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    row_number() over () as doc from documents),
+t as (select lang, source, doc, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term from d),
+c as (select lang, source, term, count(*) as n, count(distinct doc) as docs from t group by all),
+k as (select lang, term, sum(n)::hugeint as n from c group by all having sum(docs) >= 30),
+g as (select distinct lang, source from d),
+v as (select lang, count(term) as v from (select distinct lang from g) left join k using (lang) group by lang),
+s as (select g.lang, g.source, coalesce(sum(c.n) filter (k.term is not null), 0)::hugeint as size
+  from g left join c on g.lang = c.lang and g.source = c.source left join k on c.lang = k.lang and c.term = k.term group by all),
+p as (select s.lang, s.source, k.term, coalesce(c.n, 0) as n,
+    1 + 1000000000::hugeint * (coalesce(c.n, 0) + 5) // (s.size + 5 * v.v) as p
+  from s join k using (lang) join v using (lang) left join c on c.lang = s.lang and c.source = s.source and c.term = k.term),
+q as (select lang, k.term, 1 + 1000000000::hugeint * (k.n + 5) // (sum(k.n) over (partition by lang) + 5 * v.v) as q
+  from k join v using (lang)),
+pairs as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+  union all select a.lang, a.source, b.source, 0
+  from g a join g b on a.lang = b.lang and a.source <> b.source join v on a.lang = v.lang where v.v = 0),
+terms as (select p.lang, p.source, p.term as item, p.p - q.q as value
+  from p join q on p.lang = q.lang and p.term = q.term where p.n > 0 and p.p > q.q),
+r as (select 'pair' as part, * from pairs union all select 'term' as part, * from terms)
+select lang, source, part, item, value::bigint as value,
+  (row_number() over (partition by lang, source, part order by value desc, item))::int as rank
+from r qualify part = 'pair' or rank <= 50
+"""
+
+
+@register("op13_source_divergence", AUDIT_SQL)
+def op13(spark, sf_dir):
+    return divergence.audit_sources(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 def llm_queries() -> dict:
     return dict(QUERIES)
 

@@ -17,7 +17,7 @@ def test_matches_oracle(spark, name):
 
 def test_all_registered():
     names = E.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([q for q in names if q.startswith(f"op{n}_")]) == 1
     assert "pipeline" in names
 
