@@ -8,10 +8,11 @@ lengths, so any block can be read alone.
 
     magic | block planes ... | footer (zstandard) | footer length, magic
 
-Documents are range-partitioned by id; each task streams its range into one
-file in the shared folder under a name of its own attempt, and a committed
-manifest lists the files of the tasks that succeeded. Files of lost attempts
-are not in it and never read.
+Documents are range-partitioned by id and text hash, so an id that many rows
+share is cut like any other range; each task streams its range into files of
+about ``FILE_IDS`` ids in the shared folder under names of its own attempt,
+and a committed manifest lists the files of the tasks that succeeded. Files of
+lost attempts are not in it and never read.
 
 Defined cases: null and empty texts have only the end id; null ids come
 first, equal ids in the order of their text's hash; an empty table writes no
@@ -32,11 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from histscore.llm.common import open_store, out_dir, slices
+from histscore.llm.common import open_store, out_dir, slices, whole_texts
 from histscore.llm.tokens import encoder, tokenizer_path
 
 MAGIC = b"HPLANES1"
 BLOCK, END, LEVEL = 1 << 16, 1, 3
+#: Ids, and documents, after which a task begins another file.
+FILE_IDS, FILE_DOCS = 1 << 24, 1 << 18
 
 
 def shuffle_block(ids: np.ndarray, planes: str) -> list[bytes]:
@@ -64,7 +67,7 @@ class PlaneWriter:
         self.sink, self.planes, self.block = sink, planes, block
         self.pack = zstandard.ZstdCompressor(level=LEVEL).compress
         self.index, self.docs, self.sizes = [], [], []
-        self.held, self.n, self.at = [], 0, len(MAGIC)
+        self.held, self.n, self.at, self.total = [], 0, len(MAGIC), 0
         sink.write(MAGIC)
 
     def add(self, doc, ids: bytes) -> None:
@@ -72,6 +75,7 @@ class PlaneWriter:
         self.sizes.append(len(ids) // 4)
         self.held.append(ids)
         self.n += len(ids) // 4
+        self.total += len(ids) // 4
         if self.n >= self.block:
             flat = np.frombuffer(b"".join(self.held), dtype="<u4")
             whole = len(flat) // self.block * self.block
@@ -142,11 +146,17 @@ class PlaneReader:
             start += size
 
 
-MANIFEST = "part long, path string, docs long, tokens long, size long"
+MANIFEST = "part long, file long, path string, docs long, tokens long, size long"
 
 
 def write_token_files(
-    docs: DataFrame, path: str | None = None, cut: str = "words", end_id: int = END, planes: str = "byte", folder: str | None = None
+    docs: DataFrame,
+    path: str | None = None,
+    cut: str = "words",
+    end_id: int = END,
+    planes: str = "byte",
+    folder: str | None = None,
+    file_ids: int = FILE_IDS,
 ) -> DataFrame:
     """Writes the files and returns the manifest, one row per file."""
     spark = docs.sparkSession
@@ -154,27 +164,32 @@ def write_token_files(
     folder = folder or out_dir(spark, "token-planes")
     end = np.array([end_id], dtype="<u4").tobytes()
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    laid = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(order[0]).sortWithinPartitions(*order)
+    laid = whole_texts(docs).select(F.col("doc_id").cast("long"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches):
-        part = TaskContext.get().partitionId()
-        writer = sink = None
-        tokens = 0
-        name = f"part-{part:06d}-{uuid.uuid4().hex[:12]}.hpl"
-        for _, (ids, texts) in slices(batches, "doc_id", "text", rows=1024):
-            if writer is None:
-                store, base = open_store(folder)
-                store.create_dir(base, recursive=True)
-                sink = store.open_output_stream(f"{base}/{name}", compression=None)
-                writer, ids_of = PlaneWriter(sink, planes), encoder(path, cut).encode
+        part, file, writer = TaskContext.get().partitionId(), 0, None
+        store, base = open_store(folder)
+        store.create_dir(base, recursive=True)
+        ids_of = encoder(path, cut).encode
+
+        def closed():
+            writer.close()
+            writer.sink.close()
+            size = store.get_file_info(f"{base}/{name}").size
+            row = {"part": part, "file": file, "path": f"{folder}/{name}", "docs": len(writer.docs), "tokens": sum(writer.sizes), "size": size}
+            return pa.RecordBatch.from_pylist([row])
+
+        for _, (ids, texts) in slices(batches, "doc_id", "text"):
             for doc, got in zip(ids, ids_of(texts)):
+                if writer is None:
+                    name = f"part-{part:06d}-{file:04d}-{uuid.uuid4().hex[:12]}.hpl"
+                    writer = PlaneWriter(store.open_output_stream(f"{base}/{name}", compression=None), planes)
                 writer.add(doc, got + end)
-                tokens += len(got) // 4 + 1
+                if writer.total >= file_ids or len(writer.docs) >= FILE_DOCS:
+                    yield closed()
+                    writer, file = None, file + 1
         if writer is not None:
-            writer.close()
-            sink.close()
-            size = store.get_file_info(f"{base}/{name}").size
-            yield pa.RecordBatch.from_pylist([{"part": part, "path": f"{folder}/{name}", "docs": len(writer.docs), "tokens": tokens, "size": size}])
+            yield closed()
 
     laid.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
@@ -183,7 +198,7 @@ def write_token_files(
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32,
     all decoded from the files."""
-    before = F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("tokens").over(Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = manifest.withColumn("before", before)  # one row per file
     files = placed.repartition(max(1, manifest.count()))
 

@@ -20,6 +20,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 SMALL_ROWS, SMALL_BYTES = 100_000, 16 << 20
 #: Texts taken out of an Arrow batch at a time.
 SLICE = 256
+#: Rows of an Arrow batch that holds whole texts.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +42,18 @@ def join_checked(big: DataFrame, small: DataFrame, on: Column, how: str, name_by
     return big.join(small, on, how)
 
 
+def whole_texts(df: DataFrame) -> DataFrame:
+    """The same table; Arrow batches of this session have at most
+    ``BATCH_ROWS`` rows from here on, as a row holds a whole text and a batch
+    is held by the JVM and by its worker."""
+    conf = df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(conf.get(name))
+    if rows <= 0 or rows > BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def slices(batches, *columns: str, rows: int = SLICE) -> Iterator[tuple[pa.RecordBatch, list[list]]]:
     """Pieces of at most ``rows`` rows with the named columns as lists."""
     for batch in batches:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histscore.llm.common import slices
+from histscore.llm.common import slices, whole_texts
 from histscore.llm.tokens import encoder, tokenizer_path
 
 LENGTH, END = 1024, 0
@@ -140,7 +140,7 @@ def pack_documents(
         packer = Packer(TaskContext.get().partitionId() << 33, length, pool)
         as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
         rows, held = [], 0
-        for _, (ids, texts) in slices(batches, "doc_id", "text", rows=1024):
+        for _, (ids, texts) in slices(batches, "doc_id", "text"):
             for doc, got in zip(ids, ids_of(texts)):
                 for row in packer.add(doc, got + end):
                     rows.append(row)
@@ -152,7 +152,7 @@ def pack_documents(
         if rows:
             yield as_batch(rows)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return whole_texts(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
 
 
 def packed_digest(pieces: DataFrame) -> DataFrame:

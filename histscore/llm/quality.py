@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histscore.llm.common import BLANKS, slices
+from histscore.llm.common import BLANKS, slices, whole_texts
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -199,26 +199,31 @@ def fit(
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS):
-    """(features, quality) of at most ``rows`` labelled documents, those of
-    smallest id hash. The ids are bounded by ``rows``, so they broadcast."""
+    """(features, quality) of at most ``rows`` labelled documents: the labelled
+    ids of smallest hash, then their rows of smallest hash of id and text. An
+    id with several labels takes the smallest; ids and rows are both bounded
+    by ``rows``, whatever ids repeat."""
     ids = (
         labels.filter("quality is not null and doc_id is not null")
-        .select(F.col("doc_id").alias("__label_id"), F.col("quality").cast("double").alias("__quality"))
-        .orderBy(F.xxhash64("__label_id"), "__label_id", "__quality")
+        .groupBy(F.col("doc_id").alias("__label_id"))
+        .agg(F.min("quality").cast("double").alias("__quality"))
+        .orderBy(F.xxhash64("__label_id"), "__label_id")
         .limit(rows)
     )
-    wanted = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("__label_id")).select("doc_id", "text", "__quality")
+    wanted = whole_texts(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("__label_id"))
+    wanted = wanted.select("doc_id", "text", "__quality", F.xxhash64("doc_id", "text").alias("__hash"))
 
     def measure(batches):
         for part, (texts, quality) in slices(batches, "text", "__quality"):
             x = [document_stats(t)[1] for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(x, pa.list_(pa.float64())), pa.array(quality, pa.float64())],
-                names=["doc_id", "x", "y"],
+                [part.column(0), pa.array(x, pa.list_(pa.float64())), pa.array(quality, pa.float64()), part.column(3)],
+                names=["doc_id", "x", "y", "h"],
             )
 
-    got = wanted.mapInArrow(measure, "doc_id long, x array<double>, y double").toPandas()
-    got = got.sort_values(["doc_id", "y"], kind="stable").head(rows)
+    measured = wanted.mapInArrow(measure, "doc_id long, x array<double>, y double, h long")
+    got = measured.orderBy("h", "doc_id", "x").limit(rows).toPandas()
+    got = got.sort_values(["doc_id", "y"], kind="stable")
     x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), len(FEATURES))
     return x, got["y"].to_numpy(dtype=float)
 
@@ -250,7 +255,7 @@ def score_documents(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD)
             )
 
     schema = "doc_id long, " + ", ".join(f"{s} long" for s in STATS) + ", base_failed boolean, kept boolean, score double"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return whole_texts(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def keep_documents(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> DataFrame:
@@ -261,4 +266,4 @@ def keep_documents(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD)
         for part, (texts,) in slices(batches, "text"):
             yield part.filter(pa.array(_measured(part, texts, shared.value, threshold)[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return whole_texts(docs).mapInArrow(run, docs.schema)

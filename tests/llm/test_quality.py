@@ -81,3 +81,12 @@ def test_labels_with_nulls_or_none(spark):
     real = spark.read.parquet(f"{SF}/documents.parquet")
     found = Q.score_documents(real, Q.fit_quality(real, spark.read.parquet(f"{SF}/labels.parquet")))
     assert 0 < found.filter("kept").count() < found.count()
+
+
+def test_sample_is_bounded_when_a_labelled_id_repeats(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(k, "other") for k in range(2, 9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), *[(k, k % 2) for k in range(2, 9)]], "doc_id long, quality int")
+    x, y = Q.labelled_sample(docs, labels, rows=5)
+    assert len(x) == len(y) == 5
+    x, y = Q.labelled_sample(docs, labels, rows=100)
+    assert len(y) == 57 and sum(y) == 3  # the smallest label of id 1

@@ -116,3 +116,20 @@ def test_packing_odd_rows(spark):
     assert all(r.length > 0 and r.ids_crc32 >= 0 for r in digest)
     assert sum(len(p.ids) // 4 for p in pieces) == sum(len(whole(r[1])) + 1 for r in odd_rows())
     assert K.pack_documents(no_docs(spark)).count() == 0
+
+
+def test_files_roll_and_hot_ids_are_cut(spark):
+    hot = [(7, f"word{k % 50} here") for k in range(3000)]
+    rows = hot + [(k, f"text {k}") for k in range(6000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions stay apart
+    manifest = B.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), file_ids=500)
+    files = manifest.collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert max(f.tokens for f in files) < 520 and sum(f.docs for f in files) == len(rows)
+    by_part: dict = {}
+    for f in files:
+        by_part[f.part] = by_part.get(f.part, 0) + f.docs
+    assert max(by_part.values()) < len(rows) / 4
+    got = B.read_token_files(manifest).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted(r[0] for r in rows)
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
