@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from histscore.functions.scalar import weighted_sum
@@ -79,11 +79,10 @@ def two_model_grid(
 
 
 def mark_best(grid: DataFrame, metric: str = "auc", key: str = "weight") -> DataFrame:
-    """Flag the first best row (highest metric, smallest key)."""
-    best = grid.agg(F.min_by(key, F.struct(-F.col(metric), F.col(key))).alias("_best"))
-    return grid.join(best, F.col(key) == F.col("_best"), "left").select(
-        *grid.columns, F.col("_best").isNotNull().alias("is_best")
-    )
+    """Flag the first best row (highest metric, smallest key). One window
+    over the grid, whose rows are a parameter; the search runs once."""
+    best = F.min_by(key, F.struct(-F.col(metric), F.col(key))).over(Window.partitionBy(F.lit(0)))
+    return grid.select("*", F.coalesce(F.col(key) == best, F.lit(False)).alias("is_best"))
 
 
 def ratio_mixes(

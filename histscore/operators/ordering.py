@@ -1,7 +1,8 @@
 """Running totals in a global order, without funnelling rows into one task.
 
 A window ``orderBy`` with no ``partitionBy`` sends every row to one task.
-Here the order is cut into ranges instead, in three JVM-only steps:
+Here the order is cut into ranges instead. The input is evaluated once, into
+a table in the shared folder; the JVM-only steps read that table:
 
 1. a few hundred boundaries, the quantiles of the keys of smallest hash (a
    deterministic sample of bounded size), become literals; a row's range is
@@ -18,12 +19,15 @@ sampling), and ``number_within`` numbers rows inside entities.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from histscore.session import scratch_path
+
 # Broadcast bound of ``join_small``, in rows.
 MAX_BROADCAST_ROWS = 200_000
 # Ranges at most, and sampled keys per range.
@@ -47,6 +51,16 @@ def join_small(
     return big.join(small, on=on, how=how)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: whatever made them runs once,
+    and its readers survive lost executors. Select the columns needed first."""
+    if any(isinstance(f.dataType, T.NullType) for f in df.schema.fields):
+        return df
+    path = scratch_path(df.sparkSession, f"ordered/{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _sum_type(dtype: T.DataType) -> T.DataType:
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
         return T.LongType()
@@ -98,6 +112,7 @@ def running_totals(
     a total order inside each group; null keys and null groups are ordinary
     (first) values. With ``totals_prefix`` the group totals are added."""
     order_cols, values, group_cols = list(order_cols), list(values), list(group_cols)
+    df = stored(df)
     types = {v: _sum_type(df.schema[v].dataType) for v in values}
     keys = group_cols + order_cols
     if ranges is None:
@@ -210,6 +225,7 @@ def block_running_totals(
     a total order.
     """
     order_cols, values = list(order_cols), list(values)
+    df = stored(df)
     types = {v: _sum_type(df.schema[v].dataType) for v in values}
     keyed = df.withColumn(BLOCK, F.floor(F.col(pos_col) / F.lit(block_size)).cast("long"))
     inside = Window.partitionBy(BLOCK).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)

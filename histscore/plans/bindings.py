@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from histscore.functions.scalar import fold
-from histscore.operators.ordering import global_row_number, join_small, number_within
+from histscore.operators.ordering import global_row_number, number_within
 from histscore.sources.tables import read_table
 
 # Values a code column may have.
@@ -44,12 +44,19 @@ def category_codes(df: DataFrame, column: str, code_name: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(v, k) for k, v in enumerate(found)], schema)
 
 
+def with_code(df: DataFrame, codes: DataFrame, column: str) -> DataFrame:
+    """The codes joined null-safely: a null category has a code like any
+    other, and no row is lost. ``category_codes`` bounds the codes."""
+    key = F.col(column).alias("_category")
+    return df.join(F.broadcast(codes.select(key, *[c for c in codes.columns if c != column])), F.col(column).eqNullSafe(F.col("_category")), "left").drop("_category")
+
+
 def history_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_table(
         spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"]
     )
     codes = category_codes(events, "event_type", "f_type")
-    coded = number_within(join_small(events, codes, on="event_type"), "user_id", ["ts", "event_id"])
+    coded = number_within(with_code(events, codes, "event_type"), "user_id", ["ts", "event_id"])
     return coded.select(
         F.col("user_id").alias("id"),
         "rn",
@@ -129,8 +136,12 @@ def query_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id"]).select(
         F.col("doc_id").alias("id")
     )
-    unlabelled = docs.join(target_sparse(spark, sf_dir), "id", "left_anti")
-    return global_row_number(unlabelled, ["id"], name="ord")
+    return docs.join(target_sparse(spark, sf_dir), "id", "left_anti")
+
+
+def sample_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query ids with their position in the sample (the rank of the id)."""
+    return global_row_number(query_ids(spark, sf_dir), ["id"], name="ord")
 
 
 def customer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,4 +184,4 @@ def history_b_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("type")
     )
     codes = category_codes(priorities, "type", "type_code")
-    return join_small(h, codes, on="type")
+    return with_code(h, codes, "type")

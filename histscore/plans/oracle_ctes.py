@@ -4,7 +4,7 @@ from __future__ import annotations
 
 CTES: dict[str, str] = {
     "event_codes": """
-        SELECT event_type, CAST(row_number() OVER (ORDER BY event_type) - 1 AS SMALLINT) AS f_type
+        SELECT event_type, CAST(row_number() OVER (ORDER BY event_type NULLS FIRST) - 1 AS SMALLINT) AS f_type
         FROM (SELECT DISTINCT event_type FROM events)""",
     "history_a": """
         SELECT e.user_id AS id,
@@ -13,7 +13,7 @@ CTES: dict[str, str] = {
                CAST(CAST(json_extract_string(e.props, '$.k') AS INTEGER) AS SMALLINT) AS f_k,
                CAST(hour(e.ts) AS SMALLINT) AS f_hour,
                CAST(floor(e.value / 25) AS SMALLINT) AS f_val
-        FROM events e JOIN event_codes c USING (event_type)""",
+        FROM events e JOIN event_codes c ON e.event_type IS NOT DISTINCT FROM c.event_type""",
     "history_b": """
         SELECT o.o_custkey AS id,
                CAST(row_number() OVER (PARTITION BY o.o_custkey ORDER BY o.o_orderdate, l.l_orderkey,
@@ -26,10 +26,10 @@ CTES: dict[str, str] = {
                l.l_quantity AS x
         FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey""",
     "type_codes": """
-        SELECT type, CAST(row_number() OVER (ORDER BY type) - 1 AS SMALLINT) AS type_code
+        SELECT type, CAST(row_number() OVER (ORDER BY type NULLS FIRST) - 1 AS SMALLINT) AS type_code
         FROM (SELECT DISTINCT o_orderpriority AS type FROM orders)""",
     "history_b_coded": """
-        SELECT h.*, c.type_code FROM history_b h JOIN type_codes c USING (type)""",
+        SELECT h.*, c.type_code FROM history_b h JOIN type_codes c ON h.type IS NOT DISTINCT FROM c.type""",
     "target_dense": """
         SELECT c_custkey AS id, CAST(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS SMALLINT) AS flag
         FROM customer""",

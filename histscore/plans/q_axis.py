@@ -198,7 +198,7 @@ def q_bins_pooled(spark, sf_dir):
 def q_sample_left_join(spark, sf_dir):
     """Predictions (test priors) joined onto the sample ids in sample
     order; a missing prediction stays null for the completeness check."""
-    sample = B.query_ids(spark, sf_dir)
+    sample = B.sample_ids(spark, sf_dir)
     priors = X.centred_prior(B.target_sparse(spark, sf_dir), sample, HALF_WIDTH, PRIOR_SMOOTHING)
     return sample.join(priors.select("id", "prior"), "id", "left").select("id", "ord", "prior")
 
@@ -209,19 +209,19 @@ CUSTOMER_VALID = ("customer_valid", f"SELECT id, flag FROM target_dense WHERE {F
 LAYER_WIDTH = 8
 
 
-def customer_layers(spark, sf_dir):
-    """Prior and centre-bin rate for the validation customers, labels of
-    the other folds only (K8)."""
+def customer_layers(spark, sf_dir, split="valid"):
+    """Prior and centre-bin rate: of the validation customers with the labels
+    of the other folds only (K8), of the test customers with all labels."""
     t = B.target_dense(spark, sf_dir)
-    train = t.where(fold("id") != 0)
-    valid = t.where(fold("id") == 0)
+    train = t.where(fold("id") != 0) if split == "valid" else t
+    valid = t.where((fold("id") == 0) if split == "valid" else (fold("id") != 0))
     prior = X.centred_prior(train, valid, HALF_WIDTH, PRIOR_SMOOTHING).select("id", "prior")
     bins = X.multi_scale_bins(train, valid, (LAYER_WIDTH,), 0, BIN_SMOOTHING)
     centre = bins.where(F.col("bin") == 0).select("id", F.col("rate_c").alias("centre"))
     return valid.join(prior, "id").join(centre, "id")
 
 
-LAYERS_SQL = f"""
+_LAYERS_SQL = f"""
     SELECT v.id, v.flag,
            (coalesce(sum(l.flag), 0) + CAST({PRIOR_SMOOTHING} AS DOUBLE) * (SELECT avg(flag) FROM customer_train))
            / (count(l.id) + CAST({PRIOR_SMOOTHING} AS DOUBLE)) AS prior,
@@ -231,3 +231,9 @@ LAYERS_SQL = f"""
             WHERE c.id >= v.id - {LAYER_WIDTH // 2} AND c.id < v.id - {LAYER_WIDTH // 2} + {LAYER_WIDTH}) AS centre
     FROM customer_valid v LEFT JOIN customer_train l ON l.id BETWEEN v.id - {HALF_WIDTH} AND v.id + {HALF_WIDTH}
     GROUP BY v.id, v.flag"""
+
+LAYERS_SQL = {
+    "valid": _LAYERS_SQL,
+    "test": _LAYERS_SQL.replace("customer_train", "target_dense").replace("customer_valid", "customer_test"),
+}
+CUSTOMER_TEST = ("customer_test", f"SELECT id, flag FROM target_dense WHERE {FOLD_SQL} <> 0")

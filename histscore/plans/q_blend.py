@@ -12,7 +12,7 @@ from histscore.operators import checks as C
 from histscore.operators import metrics as M
 from histscore.operators import sequences as S
 from histscore.operators.history import history_aggregate
-from histscore.operators.ordering import global_row_number, rank_percentile
+from histscore.operators.ordering import global_row_number, rank_percentile, stored
 from histscore.plans import bindings as B
 from histscore.plans import q_axis
 from histscore.plans.oracle_ctes import with_roles
@@ -198,25 +198,27 @@ def q_mix_ratios(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- B7
-SIMPLEX_COLS = ["discount", "overdue_rate", "n_lines"]
-_SIMPLEX_SRC = """(SELECT a.k0 AS w_discount, b.k1 AS w_overdue_rate, 10 - a.k0 - b.k1 AS w_n_lines, v.target,
-                          (CAST(a.k0 AS DOUBLE) / 10) * v.discount + (CAST(b.k1 AS DOUBLE) / 10) * v.overdue_rate
-                          + (CAST(10 - a.k0 - b.k1 AS DOUBLE) / 10) * v.n_lines AS s
-                   FROM vwide v, range(11) a(k0), range(11) b(k1) WHERE a.k0 + b.k1 <= 10)"""
+SIMPLEX_STEPS = 10
+_W = [f"w_{m}" for m in MODELS]
+_SIMPLEX_SRC = f"""(SELECT {", ".join(f"k{i} AS {w}" for i, w in enumerate(_W))}, v.target,
+                          {" + ".join(f"(CAST(k{i} AS DOUBLE) / {SIMPLEX_STEPS}) * v.{m}" for i, m in enumerate(MODELS))} AS s
+                   FROM vwide v, (SELECT *, {SIMPLEX_STEPS} - {" - ".join(f"k{i}" for i in range(len(MODELS) - 1))} AS k{len(MODELS) - 1}
+                                  FROM {", ".join(f"range({SIMPLEX_STEPS + 1}) r{i}(k{i})" for i in range(len(MODELS) - 1))}) w
+                   WHERE k{len(MODELS) - 1} >= 0)"""
 
 
 @register(
     "weights_simplex",
     with_roles(
         ["preds"],
-        f"""SELECT CAST(w_discount AS INTEGER) AS w_discount, CAST(w_overdue_rate AS INTEGER) AS w_overdue_rate,
-                   CAST(w_n_lines AS INTEGER) AS w_n_lines, auc
-            FROM ({auc_sql(_SIMPLEX_SRC, 's', 'target', ['w_discount', 'w_overdue_rate', 'w_n_lines'])})""",
+        f"""SELECT {", ".join(f"CAST({w} AS INTEGER) AS {w}" for w in _W)}, auc
+            FROM ({auc_sql(_SIMPLEX_SRC, "s", "target", _W)})""",
         [RANKS_CTE, VWIDE],
     ),
 )
 def q_weights_simplex(spark, sf_dir):
-    return BL.simplex_search(wide(spark, sf_dir, models=SIMPLEX_COLS), SIMPLEX_COLS, 10)
+    """B7 over all models."""
+    return BL.simplex_search(wide(spark, sf_dir), MODELS, SIMPLEX_STEPS)
 
 
 # ---------------------------------------------------------------- M3-M6, P14
@@ -262,10 +264,10 @@ _PAIR_SQL = f"""SELECT p.model, p.batch, avg(greatest(n.m - p.m, 0) + ln(1 + exp
 
 
 def _batched_valid_ranks(spark, sf_dir):
-    r = _valid_ranks(spark, sf_dir)
-    ids = B.preds(spark, sf_dir).where(F.col("split") == "valid").select("id").distinct()
-    plan = S.batch_plan(ids, 1, 1, LOSS_BATCH, LOSS_SEED, drop_partial=False)
-    return r.join(plan.select("id", "batch"), "id")
+    """Model, batch, target and margin, ranked and dealt into batches once."""
+    r = stored(_valid_ranks(spark, sf_dir).select("model", "id", "target", "margin"))
+    plan = S.batch_plan(r.select("id").distinct(), 1, 1, LOSS_BATCH, LOSS_SEED, drop_partial=False)
+    return stored(r.join(plan.select("id", "batch"), "id").select("model", "batch", "target", "margin"))
 
 
 @register(
@@ -505,25 +507,45 @@ def _layer_terms():
     ]
 
 
-@register(
-    "blend_layers",
-    with_roles(
-        ["preds"],
-        f"""SELECT w.id, w.target, {weighted_sql(_layer_terms())} AS layered
-            FROM (SELECT *, {BLEND_SQL} AS blend FROM vwide) w
+def _layers_sql(wide: str) -> str:
+    return f"""SELECT w.id, w.target, {weighted_sql(_layer_terms())} AS layered
+            FROM (SELECT *, {BLEND_SQL} AS blend FROM {wide}) w
             JOIN (SELECT id,
                          (row_number() OVER (ORDER BY prior, id) - 1) / greatest(count(*) OVER () - 1, 1) AS prior_rank,
                          (row_number() OVER (ORDER BY centre, id) - 1) / greatest(count(*) OVER () - 1, 1) AS centre_rank
-                  FROM layers) r USING (id)""",
-        [RANKS_CTE, VWIDE, q_axis.CUSTOMER_TRAIN, q_axis.CUSTOMER_VALID, ("layers", q_axis.LAYERS_SQL)],
-    ),
-)
-def q_blend_layers(spark, sf_dir):
+                  FROM layers) r USING (id)"""
+
+
+def layered(spark, sf_dir, split):
     """Main * (1 - sum of layer weights) + prior + bin model + seeds,
-    every component as a rank over the validation ids."""
-    layers = q_axis.customer_layers(spark, sf_dir)
+    every component as a rank over the split's ids."""
+    layers = q_axis.customer_layers(spark, sf_dir, split)
     ranked = rank_percentile(rank_percentile(layers, "prior", "id", name="prior_rank"), "centre", "id", name="centre_rank")
-    w = BL.blend(wide(spark, sf_dir), BLEND_WEIGHTS, "blend").join(
+    w = BL.blend(wide(spark, sf_dir, split), BLEND_WEIGHTS, "blend").join(
         ranked.select("id", "prior_rank", "centre_rank"), "id"
     )
     return w.select("id", "target", weighted_sum(_layer_terms()).alias("layered"))
+
+
+@register(
+    "blend_layers",
+    with_roles(
+        ["preds"],
+        _layers_sql("vwide"),
+        [RANKS_CTE, VWIDE, q_axis.CUSTOMER_TRAIN, q_axis.CUSTOMER_VALID, ("layers", q_axis.LAYERS_SQL["valid"])],
+    ),
+)
+def q_blend_layers(spark, sf_dir):
+    return layered(spark, sf_dir, "valid")
+
+
+@register(
+    "blend_layers_test",
+    with_roles(
+        ["preds"],
+        _layers_sql("twide"),
+        [RANKS_CTE, TWIDE, q_axis.CUSTOMER_TEST, ("layers", q_axis.LAYERS_SQL["test"])],
+    ),
+)
+def q_blend_layers_test(spark, sf_dir):
+    return layered(spark, sf_dir, "test")

@@ -51,7 +51,7 @@ def test_embedding_width(spark):
 def test_centred_prior(spark):
     labels = spark.createDataFrame(list(zip([0, 1, 3, 4, 7], [1, 0, 1, 0, 0])), "id long, flag int")
     queries = spark.createDataFrame([(2,), (3,), (9,)], "id long")
-    out = X.centred_prior(labels, queries, half_width=2, smoothing=20.0, ranges=2).orderBy("id")
+    out = X.centred_prior(labels, queries, half_width=2, smoothing=20.0).orderBy("id")
     got = [r.prior for r in out.collect()]
     assert got == [0.4166666666666667, 0.391304347826087, 0.38095238095238093]
 

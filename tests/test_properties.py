@@ -105,25 +105,35 @@ def test_shuffle_partitions_do_not_change_results(spark):
     assert before == after
 
 
-def test_axis_block_and_range_forms_agree(spark):
+def test_axis_block_sizes_agree(spark):
     labels = B.target_sparse(spark, SF_CHECK)
     queries = B.query_ids(spark, SF_CHECK)
-    forms = [
-        dict(block_size=7),
-        dict(block_size=1 << 15),
-        dict(ranges=5),
-    ]
-    priors = [sorted(X.centred_prior(labels, queries, 50, 20.0, **f).collect()) for f in forms]
+    sizes = [7, 333, 1 << 15]
+    priors = [sorted(X.centred_prior(labels, queries, 50, 20.0, block_size=b).collect()) for b in sizes]
     assert priors[0] == priors[1] == priors[2]
-    bins = [
-        sorted(X.multi_scale_bins(labels, queries, (4, 16), 3, **f).drop("density").collect())
-        for f in forms
-    ]
+    bins = [sorted(X.multi_scale_bins(labels, queries, (4, 16, 300), 3, block_size=b).drop("density").collect()) for b in sizes]
     assert bins[0] == bins[1] == bins[2]
-    prefixes = [sorted(X.prefix_table(labels, **f).collect()) for f in forms]
+    prefixes = [sorted(X.prefix_table(labels, **f).collect()) for f in (dict(block_size=7), dict(block_size=1 << 15), dict(ranges=5))]
     assert prefixes[0] == prefixes[1] == prefixes[2]
 
 
+def test_window_sums_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    ids = sorted({int(x) for x in rng.integers(-500, 3000, 700)} | {10**12})
+    flags = {i: int(rng.integers(0, 2)) for i in ids}
+    asked = [*ids[::5], -10_000, 2999, 10**12 - 3, 10**15]
+    labels = spark.createDataFrame([(i, f) for i, f in flags.items()] + [(None, 1)], "id long, flag int")
+    queries = spark.createDataFrame([(q,) for q in asked] * 2 + [(None,)], "id long")
+    for size in (16, 4096):
+        got = X.bin_arrays(labels, queries, (3, 64), 4, own_targets=labels, block_size=size).collect()
+        assert len(got) == 2 * len(asked)
+        for r in got:
+            for k, (total, n) in enumerate(zip(r.sums, r.counts)):
+                lo = r.id + (k - 4) * r.width - r.width // 2
+                inside = [flags[i] for i in ids if lo <= i < lo + r.width and not (k == 4 and i == r.id)]
+                assert (total, n) == (sum(inside), len(inside)), (r.id, r.width, k)
+
+
 def test_running_totals_match_a_sorted_cumsum_per_model(spark):
     preds = B.preds(spark, SF_CHECK)
     got = sorted(
