@@ -74,19 +74,84 @@ def weighted_sum(terms: Sequence[tuple[float, str | Column]]) -> Column:
     return total
 
 
+_BITS, _LIMBS, _BILLION = 30, 4, 1_000_000_000
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _limbs(part: Column) -> Column:
+    """A double in [0, 1) as ``_LIMBS`` digits of base 2^30, highest first.
+    Scaling by 2^30 and taking off the floor are exact."""
+    first = F.struct(part.alias("rest"), F.array().cast("array<long>").alias("limbs"))
+
+    def next_limb(acc, _):
+        scaled = acc["rest"] * F.lit(float(1 << _BITS))
+        whole = F.floor(scaled).cast("long")
+        return F.struct((scaled - whole).alias("rest"), F.array_append(acc["limbs"], whole).alias("limbs"))
+
+    return F.aggregate(F.array(*[F.lit(k) for k in range(_LIMBS)]), first, next_limb, lambda acc: acc["limbs"])
+
+
+def _times_billion(limbs: Column) -> Column:
+    """(digits, limbs): the whole part of a billion times the fraction, and
+    the fraction that is left."""
+    first = F.struct(F.lit(0).cast("long").alias("digits"), F.array().cast("array<long>").alias("limbs"))
+
+    def step(acc, limb):
+        product = limb * F.lit(_BILLION) + acc["digits"]
+        low = product.bitwiseAND(F.lit((1 << _BITS) - 1).cast("long"))
+        return F.struct(F.shiftright(product, _BITS).alias("digits"), F.array_append(acc["limbs"], low).alias("limbs"))
+
+    done = F.aggregate(F.reverse(limbs), first, step)
+    return _let(done, lambda d: F.struct(d["digits"].alias("digits"), F.reverse(d["limbs"]).alias("limbs")))
+
+
+def _eighteen_places(part: Column) -> Column:
+    """A double in [0, 1) times 10^18 as a long, its exact binary value rounded
+    half to even. Limbs reach 2^-120; what lies below them belongs to numbers
+    that round to zero."""
+
+    def rounded(high, low):
+        number = high["digits"] * F.lit(_BILLION) + low["digits"]
+        top, half = low["limbs"][0], 1 << (_BITS - 1)
+        more = F.exists(F.slice(low["limbs"], 2, _LIMBS - 1), lambda v: v > 0)
+        up = (top > half) | ((top == half) & (more | (number % 2 == 1)))
+        return number + up.cast("long")
+
+    return _let(
+        _times_billion(_limbs(part)), lambda high: _let(_times_billion(high["limbs"]), lambda low: rounded(high, low))
+    )
+
+
 def compact_decimal_text(value: str | Column) -> Column:
-    """The number at 18 decimal places without trailing zeros, a
-    trailing dot, or the leading zero of ``0.``/``-0.``.
-
-    Spark renders the double as its shortest decimal cut at 18 places, so
-    0.1 prints as ``.1`` where Python's ``%.18f`` prints the binary
-    expansion ``.100000000000000006``; both parse back to the same double.
-    """
-    text = F.format_string("%s", col(value).cast("decimal(38,18)").cast("string"))
-    text = F.regexp_replace(text, r"(\.\d*?)0+$", "$1")
-    text = F.regexp_replace(text, r"\.$", "")
-    text = F.regexp_replace(text, r"^(-?)0\.", "$1.")
-    return F.when(text == "-0", F.lit("0")).otherwise(text)
+    """The number at 18 decimal places (its exact binary value rounded
+    half to even, so 0.1 is ``.100000000000000006``) without trailing zeros, a
+    trailing dot, or the leading zero of ``0.``/``-0.``. Null, NaN and numbers
+    from 2^63 on have no text."""
+
+    def text_of(x):
+        size = F.abs(x)
+        whole = F.floor(size).cast("long")
+
+        def joined(places):
+            over = (places >= 10**18).cast("long")
+            text = F.concat(
+                F.when(x < 0, F.lit("-")).otherwise(F.lit("")),
+                (whole + over).cast("string"),
+                F.lit("."),
+                F.lpad((places - over * 10**18).cast("string"), 18, "0"),
+            )
+            text = F.regexp_replace(text, r"\.?0+$", "")
+            text = F.regexp_replace(text, r"^(-?)0\.", "$1.")
+            return F.when(text == "-0", F.lit("0")).otherwise(text)
+
+        return F.when(size < F.lit(float(1 << 63)), _let(_eighteen_places(size - whole), joined))
+
+    x = col(value).cast("double")
+    return F.when(~F.isnan(x), _let(x, text_of))
 
 
 def mix_hash(*columns: str | Column, seed: int = 0) -> Column:

@@ -150,3 +150,14 @@ def epoch_loss(batches: DataFrame, loss: str, weight: str, epoch: str = "epoch")
     return batches.groupBy(epoch).agg(
         (F.sum(F.col(loss) * F.col(weight)) / F.sum(weight)).alias("epoch_loss")
     )
+
+
+def running_loss(
+    batches: DataFrame, loss: str, weight: str, order_cols: Sequence[str], epoch: str = "epoch", name: str = "running_loss"
+) -> DataFrame:
+    """A16, running form: at each batch the example-weighted mean loss of its
+    epoch so far, in ``order_cols`` order (a total order in an epoch)."""
+    parts = batches.withColumn("_lw", F.col(loss).cast("double") * F.col(weight))
+    before = running_totals(parts, order_cols, ["_lw", weight], [epoch])
+    ratio = (F.col("before__lw") + F.col("_lw")) / (F.col(f"before_{weight}") + F.col(weight))
+    return before.select(*batches.columns, ratio.alias(name))

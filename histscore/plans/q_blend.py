@@ -342,9 +342,7 @@ def q_sigmoid_score(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- S12
-_TEXT_SQL = """regexp_replace(regexp_replace(regexp_replace(
-                   CAST(CAST(round(v, 6) AS DECIMAL(38, 6)) AS VARCHAR),
-                   '(\\.\\d*?)0+$', '\\1'), '\\.$', ''), '^(-?)0\\.', '\\1.')"""
+_TEXT_SQL = r"regexp_replace(regexp_replace(printf('%.18f', v), '\.?0+$', ''), '^(-?)0\.', '\1.')"
 
 
 @register(
@@ -359,7 +357,7 @@ _TEXT_SQL = """regexp_replace(regexp_replace(regexp_replace(
 )
 def q_compact_text(spark, sf_dir):
     test = BL.blend(wide(spark, sf_dir, "test"), BLEND_WEIGHTS, "v")
-    return test.select("id", F.col("id").alias("ord"), compact_decimal_text(F.round("v", 6)).alias("flag"))
+    return test.select("id", F.col("id").alias("ord"), compact_decimal_text("v").alias("flag"))
 
 
 # ---------------------------------------------------------------- C1-C7

@@ -17,6 +17,7 @@ from histscore.plans.oracle_ctes import with_roles
 from histscore.plans.registry import register
 from histscore.session import scratch_path
 from histscore.sources import sinks, tables
+from histscore.sources.stages import stage
 
 REQUIRED = ["orders", "lineitem", "customer"]
 UTIL_CAP = (1, 6)
@@ -83,15 +84,28 @@ def q_prediction_store(spark, sf_dir):
 
 @register(
     "stored_fold",
-    with_roles(["target_dense"], "SELECT id, flag FROM target_dense WHERE ((id % 10) + 10) % 10 = 3"),
+    with_roles(["target_dense"], "SELECT id, flag, CAST(((id % 10) + 10) % 10 AS INTEGER) AS fold FROM target_dense"),
 )
 def q_stored_fold(spark, sf_dir):
     """The fold stored as a column and a folder, so a filter on it
     prunes folders; a committed stage is reused for the same input."""
-    path = scratch_path(spark, f"folds/{tables.input_key(spark, sf_dir, ['customer'])}")
-    if not sinks.stage_done(spark, path):
-        SP.with_fold(B.target_dense(spark, sf_dir)).write.mode("overwrite").partitionBy("fold").parquet(path)
-    return spark.read.parquet(path).where("fold = 3").select("id", "flag")
+
+    def build(path):
+        SP.with_fold(B.target_dense(spark, sf_dir)).write.partitionBy("fold").parquet(path)
+
+    path = stage(spark, "folds", {"input": tables.input_key(spark, sf_dir, ["customer"])}, build)
+    return spark.read.parquet(path).select("id", "flag", "fold")
+
+
+@register("bom_csv", with_roles(["target_dense"], "SELECT id, flag FROM target_dense"))
+def q_bom_csv(spark, sf_dir):
+    """CSV files that begin with a byte-order mark keep their first
+    column's name and type."""
+    path = _fresh(spark, "bom")
+    marked = B.target_dense(spark, sf_dir).select(F.col("id").alias("\ufeffid"), "flag")
+    marked.write.option("header", True).csv(path)
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("flag", T.ShortType())])
+    return tables.read_csv_typed(spark, path, schema)
 
 
 @register(

@@ -1,17 +1,17 @@
 """Train and score queries: T1-T6, H8, H15.
 
-A fitted model is no SQL, so the queries with SQL return what SQL can fix: the
-rows and ids scored, their order, and whether scores and metrics are valid.
-The learners' own results (AUCs, importances, submission texts) are returned by
-``gbt_metrics``, ``feature_importances``, ``pooled_lr_auc``, ``ab_models_auc``
-and ``submission_text``, which have no SQL."""
+A fitted model is no SQL. Queries with SQL return what SQL can compute whole
+(rows and ids scored and their order, sequence and bin scores, missing
+scores); the learners' own results (AUCs, best iteration, importances, scores,
+submission texts) have no SQL and are tested against brute force on the scored
+rows. Feature table and fits are durable stages (S5): a fit is made once for
+all queries and sessions with the same input and code."""
 
 from __future__ import annotations
 
 import uuid
 
 import numpy as np
-from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from histscore.functions.scalar import fold, mix_hash
@@ -21,6 +21,7 @@ from histscore.operators import metrics as M
 from histscore.operators import sequences as S
 from histscore.operators import split as SP
 from histscore.operators.checks import missing_keys
+from histscore.operators.history import history_aggregate
 from histscore.operators.ordering import global_row_number
 from histscore.plans import bindings as B
 from histscore.plans import q_axis, q_history, q_seq
@@ -28,94 +29,137 @@ from histscore.plans.oracle_ctes import with_roles
 from histscore.plans.registry import register
 from histscore.plans.sqlhash import mix_hash_sql
 from histscore.session import scratch_path
-from histscore.sources.sinks import read_in_file_order, write_compact_csv
+from histscore.sources.sinks import read_in_file_order, write_compact_csv, write_json_row
+from histscore.sources.stages import stage
+from histscore.sources.tables import input_key
 
 GBT_ITER = 20
 TOP_K = 10
+CROSS_FOLDS = 3
+SOURCES = ["orders", "lineitem", "customer"]
 
 
-def labelled_features(spark, sf_dir):
-    """Every labelled id; one without a history has missing features."""
-    wide = q_history.q_h_wide(spark, sf_dir)
-    feats = [c for c in wide.columns if c != "id"]
-    table = B.target_dense(spark, sf_dir).join(wide, "id", "left").withColumn("is_valid", fold("id") == 0)
-    return L.prepare_features(table, feats), feats
+def _stored(spark, sf_dir, name, build, **params):
+    """The path of a stage keyed by the input tables and the parameters."""
+    return stage(spark, name, {"input": input_key(spark, sf_dir, SOURCES), **params}, build)
 
 
-def fitted(spark, sf_dir):
-    table, feats = labelled_features(spark, sf_dir)
-    model = L.gbt_pipeline(feats, max_iter=GBT_ITER).fit(table)
-    return model, table, feats
+def labelled_features(spark, sf_dir, variant="wide"):
+    """Every labelled id with features ``wide`` (H14) or ``base`` (A5); one
+    without a history has missing features."""
+
+    def build(path):
+        if variant == "wide":
+            feats = q_history.q_h_wide(spark, sf_dir)
+        else:
+            feats = history_aggregate(B.history_b(spark, sf_dir), B.HISTORY_B_NUMERIC)
+        names = [c for c in feats.columns if c != "id"]
+        table = B.target_dense(spark, sf_dir).join(feats, "id", "left").withColumn("is_valid", fold("id") == 0)
+        L.prepare_features(table, names).write.parquet(path)
+
+    table = spark.read.parquet(_stored(spark, sf_dir, "labelled", build, variant=variant))
+    return table, [c for c in table.columns if c not in ("id", "flag", "is_valid")]
 
 
-def _auc_valid():
-    return F.coalesce(F.col("auc").between(0.0, 1.0), F.lit(False)).alias("auc_valid")
+def fitted(spark, sf_dir, variant="wide", max_iter=GBT_ITER, sliced=None):
+    """(booster, table, features): fit outside fold 0, stopped and cut by the
+    AUC on fold 0."""
+    table, feats = labelled_features(spark, sf_dir, variant)
 
+    def build(path):
+        L.boost(table.where(~F.col("is_valid")), table.where("is_valid"), feats, max_iter, sliced=sliced).save(spark, path)
 
-_SCORED = """SELECT t.id, t.flag, ((t.id % 10) + 10) % 10 = 0 AS is_valid FROM target_dense t
-             WHERE t.id IN (SELECT id FROM history_b)"""
+    path = _stored(spark, sf_dir, "boosted", build, variant=variant, max_iter=max_iter, sliced=sliced)
+    return L.Booster.load(spark, path), table, feats
+
+
+def tagged_scores(booster, table):
+    scored = booster.score(table).select("id", "flag", "score", "is_valid")
+    temporal, _ = SP.temporal_fold(scored, 0.9)
+    return scored.where("is_valid").withColumn("tag", F.lit("random")).unionByName(
+        temporal.withColumn("tag", F.lit("temporal"))
+    )
 
 
 @register(
     "gbt_fit_score",
     with_roles(
-        ["history_b", "target_dense"],
-        """SELECT tag, count(*) AS rows, CAST(sum(flag) AS BIGINT) AS n_pos,
-                  sum(flag) > 0 AND sum(flag) < count(*) AS auc_valid, true AS has_trees
-           FROM (SELECT 'random' AS tag, flag FROM scored WHERE is_valid
-                 UNION ALL SELECT 'temporal', flag FROM scored
-                 WHERE id >= (SELECT quantile_cont(id, 0.9) FROM scored))
+        ["target_dense"],
+        """SELECT tag, count(*) AS rows, CAST(sum(flag) AS BIGINT) AS n_pos
+           FROM (SELECT 'random' AS tag, flag FROM target_dense WHERE ((id % 10) + 10) % 10 = 0
+                 UNION ALL SELECT 'temporal', flag FROM target_dense
+                 WHERE id >= (SELECT quantile_cont(id, 0.9) FROM target_dense))
            GROUP BY tag""",
-        [("scored", _SCORED)],
     ),
 )
 def q_gbt_fit_score(spark, sf_dir):
-    """The rows of ``gbt_metrics`` that SQL can fix."""
-    return q_gbt_metrics(spark, sf_dir).select(
-        "tag", "rows", "n_pos", _auc_valid(), (F.col("n_trees") > 0).alias("has_trees")
-    )
-
-
-def tagged_scores(model, table):
-    scored = L.positive_probability(model.transform(table)).select("id", "flag", "score", "is_valid")
-    temporal, _ = SP.temporal_fold(scored, 0.9)
-    return scored.where("is_valid").withColumn("tag", F.lit("random")).unionByName(
-        temporal.withColumn("tag", F.lit("temporal"))
-    )
+    """The rows scored for ``gbt_metrics``: every labelled id of the fold, with
+    a history or without."""
+    return q_gbt_metrics(spark, sf_dir).select("tag", "rows", "n_pos")
 
 
 @register("gbt_metrics")
 def q_gbt_metrics(spark, sf_dir):
-    """GBT on the engineered table, early stopping on fold 0; exact
-    AUC on fold 0 and on the temporal rows (which include training rows,
-    K22)."""
-    model, table, feats = fitted(spark, sf_dir)
-    aucs = M.auc(tagged_scores(model, table), "score", "flag", by=["tag"], counts=True)
+    """Boosted trees on the engineered table, stopped and cut by
+    the AUC on fold 0; exact AUC on fold 0 and on the temporal rows (which
+    include training rows, K22)."""
+    booster, table, feats = fitted(spark, sf_dir)
+    aucs = M.auc(tagged_scores(booster, table), "score", "flag", by=["tag"], counts=True)
     return aucs.select(
         "tag", (F.col("n_pos") + F.col("n_neg")).alias("rows"), "n_pos", "auc",
-        F.lit(len(model.stages[-1].trees)).alias("n_trees"), F.lit(len(feats)).alias("feature_count"),
+        F.lit(booster.best).alias("best_iteration"), F.lit(len(booster.curve)).alias("iterations"),
+        F.lit(len(feats)).alias("feature_count"),
     )
 
 
+@register("gbt_curve")
+def q_gbt_curve(spark, sf_dir):
+    """The validation AUC after every iteration, from the margins."""
+    booster, table, _ = fitted(spark, sf_dir)
+    margins = booster.staged(table.where("is_valid"), ["id", "flag"])
+    curve = M.auc(margins, "margin", "flag", by=["iteration"])
+    return curve.select("iteration", "auc", (F.col("iteration") == booster.best).alias("is_best"))
+
+
+@register("gbt_run_summary")
+def q_gbt_run_summary(spark, sf_dir):
+    """The metrics file of the boosted model, written as JSON and
+    read back."""
+    booster, table, feats = fitted(spark, sf_dir)
+    aucs = M.auc(tagged_scores(booster, table), "score", "flag", by=["tag"], counts=True)
+    tag = lambda t, c: F.max(F.when(F.col("tag") == t, F.col(c)))
+    rows = F.col("n_pos") + F.col("n_neg")
+    train = table.where(~F.col("is_valid")).agg(F.count(F.lit(1)).alias("n")).scalar()
+    summary = aucs.withColumn("rows", rows).agg(
+        tag("random", "auc").alias("random_auc"), tag("temporal", "auc").alias("temporal_auc"),
+        tag("random", "rows").alias("random_valid_rows"), tag("temporal", "rows").alias("temporal_valid_rows"),
+    ).select(
+        "*", train.alias("train_rows"), F.lit(booster.best).alias("best_iteration"), F.lit(len(feats)).alias("feature_count")
+    )
+    path = scratch_path(spark, f"metrics/{uuid.uuid4().hex}")
+    write_json_row(summary, path)
+    return spark.read.schema(summary.schema).json(path)
+
+
 @register(
     "model_roundtrip",
     with_roles(
-        ["history_b", "target_dense"],
+        ["target_dense"],
         """SELECT count(*) AS rows, CAST(0.0 AS DOUBLE) AS max_abs_diff, true AS same_feature_order
-           FROM target_dense WHERE ((id % 10) + 10) % 10 = 0 AND id IN (SELECT id FROM history_b)""",
+           FROM target_dense WHERE ((id % 10) + 10) % 10 = 0""",
     ),
 )
 def q_model_roundtrip(spark, sf_dir):
     """Save, load, and score again; predictions and the feature order
     must survive."""
-    model, table, feats = fitted(spark, sf_dir)
+    booster, table, feats = fitted(spark, sf_dir)
     path = scratch_path(spark, f"models/gbt/{uuid.uuid4().hex}")
-    model.write().overwrite().save(path)
-    loaded = PipelineModel.load(path)
+    booster.save(spark, path)
+    loaded = L.Booster.load(spark, path)
     valid = table.where("is_valid")
-    a = L.positive_probability(model.transform(valid)).select("id", F.col("score").alias("a"))
-    b = L.positive_probability(loaded.transform(valid)).select("id", F.col("score").alias("b"))
-    same_order = L.model_feature_names(loaded) == feats
+    a = booster.score(valid).select("id", F.col("score").alias("a"))
+    b = loaded.score(valid).select("id", F.col("score").alias("b"))
+    same_order = L.model_feature_names(loaded.model) == feats
     return a.join(b, "id").agg(
         F.count(F.lit(1)).alias("rows"),
         F.max(F.abs(F.col("a") - F.col("b"))).alias("max_abs_diff"),
@@ -123,85 +167,177 @@ def q_model_roundtrip(spark, sf_dir):
     )
 
 
+# ---------------------------------------------------------------- T4, J2, J4
 SAMPLE_SEED = 23
-SUBMIT_FOLD = 9
-_UNIT_TEXT = r"^(0|1|\.[0-9]{1,18})$"
+
+
+def cross_fitted(spark, sf_dir):
+    """Every labelled id with the score of the model that did not see it. A
+    fold's model is stopped by the AUC on the next fold, which it does not
+    learn from either."""
+    table, feats = labelled_features(spark, sf_dir)
+    folded = table.withColumn("part", F.pmod(F.floor(F.col("id") / 10), F.lit(CROSS_FOLDS)).cast("int"))
+
+    def fit(k, rows):
+        def build(path):
+            watched = F.col("part") == (k + 1) % CROSS_FOLDS
+            L.boost(rows.where(~watched), rows.where(watched), feats, GBT_ITER).save(spark, path)
+
+        path = _stored(spark, sf_dir, "crossed", build, fold=k, folds=CROSS_FOLDS, max_iter=GBT_ITER)
+        return L.Booster.load(spark, path)
+
+    return L.cross_scores(folded, "part", CROSS_FOLDS, fit).select("id", "flag", "part", "score")
+
+
+def sample_file(spark, sf_dir):
+    """The sample: a CSV of all ids in an order of its own, read back with the
+    position in the file."""
+    path = scratch_path(spark, f"sample/{uuid.uuid4().hex}")
+    ids = B.target_dense(spark, sf_dir).select("id")
+    ids.orderBy(mix_hash("id", seed=SAMPLE_SEED), "id").write.option("header", True).csv(path)
+    return read_in_file_order(spark, path, "id long")
+
+
+def submitted(spark, sample, predicted):
+    """Predictions (id, flag) joined onto the sample, all there or an error,
+    written as compact CSV in sample order, and read back in file order."""
+    joined = sample.join(predicted, "id", "left")
+    missing = joined.where(F.col("flag").isNull()).count()
+    if missing:
+        raise ValueError(f"{missing} sample ids without a prediction")
+    path = scratch_path(spark, f"submission/{uuid.uuid4().hex}")
+    write_compact_csv(joined, "id", "flag", "ord", path)
+    return read_in_file_order(spark, path, "id long, flag string").select("ord", "id", "flag")
 
 
 @register(
     "submission",
     with_roles(
-        ["history_b", "target_dense"],
-        f"""SELECT row_number() OVER (ORDER BY {mix_hash_sql('id', seed=SAMPLE_SEED)}, id) AS ord, id, true AS flag_valid
-            FROM target_dense WHERE ((id % 10) + 10) % 10 = {SUBMIT_FOLD} AND id IN (SELECT id FROM history_b)""",
+        ["target_dense"],
+        f"""SELECT row_number() OVER (ORDER BY {mix_hash_sql('id', seed=SAMPLE_SEED)}, id) AS ord, id FROM target_dense""",
     ),
 )
 def q_submission(spark, sf_dir):
-    """The rows of ``submission_text`` with the text's form in its place."""
-    return q_submission_text(spark, sf_dir).select("ord", "id", F.col("flag").rlike(_UNIT_TEXT).alias("flag_valid"))
+    """The ids of ``submission_text`` at their place in the written file."""
+    return q_submission_text(spark, sf_dir).select("ord", "id")
 
 
 @register("submission_text")
 def q_submission_text(spark, sf_dir):
-    """Fit without one fold, score that fold, left-join
-    the predictions onto a sample whose order is not the id's, require a
-    prediction for every id, write the compact CSV and read it back: the rows
-    in file order with the position they stand at."""
-    table, feats = labelled_features(spark, sf_dir)
-    outside = fold("id") == SUBMIT_FOLD
-    model = L.gbt_pipeline(feats, max_iter=GBT_ITER).fit(table.where(~outside))
-    queries = table.where(outside)
-    predicted = L.positive_probability(model.transform(queries)).select("id", F.col("score").alias("flag"))
-    wanted = B.target_dense(spark, sf_dir).where(outside)
-    sample = global_row_number(
-        wanted.select("id").withColumn("_h", mix_hash("id", seed=SAMPLE_SEED)), ["_h", "id"], name="ord"
-    ).select("id", "ord")
-    joined = sample.join(predicted, "id", "left")
-    missing = joined.where(F.col("flag").isNull()).count()
-    if missing:
-        raise ValueError(f"{missing} sample ids without a prediction")
-    path = scratch_path(spark, f"submission/{uuid.uuid4().hex}")
-    write_compact_csv(joined, "id", "flag", "ord", path)
-    return read_in_file_order(spark, path, "id long, flag string").select("ord", "id", "flag")
+    """Every id scored by the model that did not see it,
+    in the order of the sample file, as the compact texts read back."""
+    predicted = cross_fitted(spark, sf_dir).select("id", F.col("score").alias("flag"))
+    return submitted(spark, sample_file(spark, sf_dir), predicted)
+
+
+@register("cross_fit_auc")
+def q_cross_fit_auc(spark, sf_dir):
+    """The AUC of the cross-fitted scores, per fold: no id is scored by a
+    model that learnt from it."""
+    return M.auc(cross_fitted(spark, sf_dir), "score", "flag", by=["part"], counts=True)
 
 
 @register(
-    "feature_select",
-    f"SELECT CAST(i + 1 AS INTEGER) AS rank, true AS known, true AS ordered FROM range({TOP_K}) t(i)",
+    "complete_check_submission",
+    with_roles(
+        ["history_b", "target_dense"],
+        """SELECT count(*) AS rows, count(*) - count(h.id) AS null_predictions, count(*) - count(h.id) AS missing_ids
+           FROM target_dense t LEFT JOIN (SELECT DISTINCT id FROM history_b) h ON t.id = h.id""",
+    ),
 )
+def q_complete_check_submission(spark, sf_dir):
+    """The sample file against scores that only ids with a history
+    have: what is missing, by the join and by the keys."""
+    sample = sample_file(spark, sf_dir)
+    scores = B.customer_scores(spark, sf_dir).select("id", F.col("discount").alias("score"))
+    joined = sample.join(scores, "id", "left").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("score").isNull()).alias("null_predictions")
+    )
+    missing = missing_keys(sample, scores, ["id"]).agg(F.count(F.lit(1)).alias("n")).scalar()
+    return joined.withColumn("missing_ids", missing)
+
+
+# ---------------------------------------------------------------- H8
+@register("feature_select")
 def q_feature_select(spark, sf_dir):
-    """H8: the ranks of the top features by GBT importance, whether each is a
-    feature named once, and whether importances never rise."""
-    model, _, feats = fitted(spark, sf_dir)
-    ranked = L.importances(model)[:TOP_K]
+    """H8 applied: the features of largest gain, and the fold-0 AUC of the
+    model on all features and of one refitted on these alone."""
+    whole, table, feats = fitted(spark, sf_dir)
+    ranked = L.importances(whole.model)[:TOP_K]
     names = [n for n, _ in ranked]
-    rows = [
-        (i + 1, n in feats and names.count(n) == 1, 0.0 <= float(v) <= 1.0 and (i == 0 or v <= ranked[i - 1][1]))
-        for i, (n, v) in enumerate(ranked)
-    ]
-    return spark.createDataFrame(rows, "rank int, known boolean, ordered boolean")
+    small, _, _ = fitted(spark, sf_dir, sliced=names)
+    valid = table.where("is_valid")
+    scores = whole.score(valid).select("flag", "score", F.lit("all").alias("of")).unionByName(
+        small.score(valid).select("flag", "score", F.lit("top").alias("of"))
+    )
+    aucs = M.auc(scores, "score", "flag", by=["of"]).agg(
+        F.max(F.when(F.col("of") == "all", F.col("auc"))).alias("auc_all"),
+        F.max(F.when(F.col("of") == "top", F.col("auc"))).alias("auc_top"),
+    ).first()
+    rows = [(k + 1, n, float(v), aucs["auc_all"], aucs["auc_top"]) for k, (n, v) in enumerate(ranked)]
+    return spark.createDataFrame(rows, "rank int, feature string, importance double, auc_all double, auc_top double")
 
 
 @register("feature_importances")
 def q_feature_importances(spark, sf_dir):
     """H8: every feature with its GBT importance, largest first."""
-    model, _, _ = fitted(spark, sf_dir)
-    rows = [(k + 1, n, float(v)) for k, (n, v) in enumerate(L.importances(model))]
+    booster, _, _ = fitted(spark, sf_dir)
+    rows = [(k + 1, n, float(v)) for k, (n, v) in enumerate(L.importances(booster.model))]
     return spark.createDataFrame(rows, "rank int, feature string, importance double")
 
 
-@register(
-    "pooled_lr",
-    with_roles(
-        ["history_b", "target_dense"],
-        """SELECT count(*) AS rows, CAST(sum(flag) AS BIGINT) AS n_pos,
-                  sum(flag) > 0 AND sum(flag) < count(*) AS auc_valid
-           FROM target_dense WHERE ((id % 10) + 10) % 10 = 0 AND id IN (SELECT id FROM history_b)""",
-    ),
+# ---------------------------------------------------------------- T6
+_VALID_ROWS = with_roles(
+    ["history_b", "target_dense"],
+    """SELECT count(*) AS rows, CAST(sum(flag) AS BIGINT) AS n_pos
+       FROM target_dense WHERE ((id % 10) + 10) % 10 = 0 AND id IN (SELECT id FROM history_b)""",
 )
+BIN_SIDE = 8
+
+
+def learner_scores(spark, sf_dir):
+    """(features, id, flag, score) on fold 0 of three learners: pooled
+    sequences (Q4), sparse multi-hot codes (Q9), pooled bins (W8). Sequences
+    exist for ids with a history; the bins, of every id, are of labels outside
+    the fold, without the id's own."""
+    p = q_seq.packed(spark, sf_dir)
+    pooled = p.select("id", F.col("y").alias("flag"), *S.masked_pool("seq", "len", len(q_seq.FIELDS), q_seq.FIELDS))
+    offsets = S.field_offsets(q_seq.cards(spark, sf_dir))
+    size = offsets.agg(F.max(F.col("offset") + F.col("cardinality"))).first()[0]
+    hot = S.multi_hot(p, offsets).groupBy("id").agg(F.flatten(F.collect_list("indices")).cast("array<string>").alias("tokens"))
+    hot = hot.join(B.target_dense(spark, sf_dir), "id")
+    target = B.target_dense(spark, sf_dir)
+    train = target.where(fold("id") != 0)
+    bins = X.pooled_bins(X.multi_scale_bins(train, target, q_axis.BIN_WIDTHS, BIN_SIDE, q_axis.BIN_SMOOTHING, own_targets=train))
+    parts = ["rate_c_centre", "rate_c_mean", "rate_c_max"]
+    bins = bins.groupBy("id").pivot("width", list(q_axis.BIN_WIDTHS)).agg(*[F.first(c).alias(c) for c in parts])
+    bins = bins.join(target, "id")
+    out = None
+    for name, table in (("pooled", pooled), ("multi_hot", hot), ("bins", bins)):
+        feats = [c for c in table.columns if c not in ("id", "flag")]
+        if name == "multi_hot":
+            learner = L.sparse_pipeline(range(int(size)))
+        else:
+            learner, table = L.logistic_pipeline(feats), L.prepare_features(table, feats, missing=0.0)
+        table = table.withColumn("flag", F.col("flag").cast("double"))
+        model = learner.fit(table.where(fold("id") != 0))
+        scored = L.positive_probability(model.transform(table.where(fold("id") == 0)))
+        scored = scored.select(F.lit(name).alias("features"), "id", F.col("flag").cast("int").alias("flag"), "score")
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
+@register("learners_auc")
+def q_learners_auc(spark, sf_dir):
+    """A learner per feature set, fold-0 AUC of each."""
+    out = M.auc(learner_scores(spark, sf_dir), "score", "flag", by=["features"], counts=True)
+    return out.select("features", (F.col("n_pos") + F.col("n_neg")).alias("rows"), "n_pos", "auc")
+
+
+@register("pooled_lr", _VALID_ROWS)
 def q_pooled_lr(spark, sf_dir):
-    """The rows of ``pooled_lr_auc`` that SQL can fix."""
-    return q_pooled_lr_auc(spark, sf_dir).select("rows", "n_pos", _auc_valid())
+    """The rows scored for ``pooled_lr_auc``."""
+    return q_pooled_lr_auc(spark, sf_dir).select("rows", "n_pos")
 
 
 @register("pooled_lr_auc")
@@ -251,24 +387,38 @@ def q_batch_score(spark, sf_dir):
     return scored.select("id", F.round("score", 6).alias("score"))
 
 
+SEQ_WIDTH, SEQ_BIAS = 3, 0.1
+_SEQ_W = "(((f * 31 + code * 17 + d * 7) % 11) - 5) / 10.0"
+_SEQ_HEAD = "(d + 1) / 4.0"
+
+
+def _sequence_params(codes):
+    """Embedding tables (one per field) and a head that SQL can say."""
+    f, code, d = np.ogrid[: len(q_seq.FIELDS), :codes, :SEQ_WIDTH]
+    tables = (((f * 31 + code * 17 + d * 7) % 11) - 5) / 10.0
+    return {"tables": list(tables), "head": (np.arange(SEQ_WIDTH) + 1) / 4.0, "bias": SEQ_BIAS}
+
+
 @register(
-    "complete_check_submission",
+    "sequence_score",
     with_roles(
-        ["history_b", "target_dense"],
-        """SELECT count(*) AS rows, CAST(0 AS BIGINT) AS null_predictions, CAST(0 AS BIGINT) AS missing_ids
-           FROM target_dense WHERE ((id % 10) + 10) % 10 <> 0 AND id IN (SELECT id FROM history_b)""",
+        ["history_b_coded"],
+        f"""SELECT id, round(1 / (1 + exp(-(sum(v) + {SEQ_BIAS}))), 6) AS score
+            FROM (SELECT id, d, avg(e) * {_SEQ_HEAD} AS v
+                  FROM (SELECT id, pos, d, sum({_SEQ_W}) AS e
+                        FROM (SELECT id, pos, field AS f, CAST(value AS INTEGER) AS code, unnest(range({SEQ_WIDTH})) AS d FROM cells)
+                        GROUP BY id, pos, d)
+                  GROUP BY id, d)
+            GROUP BY id""",
+        [q_seq.KEPT, q_seq.CELLS],
     ),
 )
-def q_complete_check_submission(spark, sf_dir):
-    """C2 + A11 on the scored sample: ids without a prediction (null count)."""
-    model, table, _ = fitted(spark, sf_dir)
-    sample = B.target_dense(spark, sf_dir).where(fold("id") != 0).select("id")
-    queries = table.where(~F.col("is_valid"))
-    predicted = L.positive_probability(model.transform(queries)).select("id", "score")
-    joined = sample.join(predicted, "id", "left")
-    return joined.agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("score").isNull()).alias("null_predictions")
-    ).withColumn("missing_ids", F.lit(missing_keys(sample, predicted, ["id"]).count()).cast("long"))
+def q_sequence_score(spark, sf_dir):
+    """T5 over packed sequences: embedding sum and masked mean in numpy."""
+    codes = int(q_seq.cards(spark, sf_dir).agg(F.max("cardinality")).first()[0])
+    packed = q_seq.packed(spark, sf_dir, labels=False)
+    scored = L.score_sequences(packed, L.embedding_forward, _sequence_params(codes))
+    return scored.select("id", F.round("score", 6).alias("score"))
 
 
 AB_PARTS = 4
@@ -278,44 +428,33 @@ AB_ITER = 10
 @register(
     "ab_models",
     with_roles(
-        ["history_b", "target_dense"],
+        ["target_dense"],
         f"""SELECT CAST(floor(id / 10) % {AB_PARTS} AS INTEGER) AS part, v.variant, count(*) AS rows,
-                   CAST(sum(flag) AS BIGINT) AS n_pos, sum(flag) > 0 AND sum(flag) < count(*) AS auc_valid
+                   CAST(sum(flag) AS BIGINT) AS n_pos
             FROM target_dense, (SELECT unnest(['a', 'b']) AS variant) v
-            WHERE ((id % 10) + 10) % 10 = 0 AND id IN (SELECT id FROM history_b) GROUP BY 1, 2""",
+            WHERE ((id % 10) + 10) % 10 = 0 GROUP BY 1, 2""",
     ),
 )
 def q_ab_models(spark, sf_dir):
-    """The rows of ``ab_models_auc`` that SQL can fix."""
-    return q_ab_models_auc(spark, sf_dir).select("part", "variant", "rows", "n_pos", _auc_valid())
+    """The rows compared in ``ab_models_auc``."""
+    return q_ab_models_auc(spark, sf_dir).select("part", "variant", "rows", "n_pos")
 
 
-@register("ab_models_auc")
-def q_ab_models_auc(spark, sf_dir):
-    """H15 with trained models: feature set A (the A5 aggregates) against
-    set B (the H14 wide table), the same learner and folds, exact AUC of
-    each on every part of the validation fold (the whole table, not one
-    part)."""
-    from histscore.operators.history import history_aggregate
-
-    h = B.history_b(spark, sf_dir)
-    target = B.target_dense(spark, sf_dir)
-    sets = {
-        "a": history_aggregate(h, B.HISTORY_B_NUMERIC),
-        "b": q_history.q_h_wide(spark, sf_dir),
-    }
+def ab_scores(spark, sf_dir):
+    """(variant, part, id, flag, score) on fold 0: feature set A (the A5
+    aggregates) and set B (the H14 wide table), the same learner and folds."""
     scored = None
-    for tag, feats_df in sets.items():
-        feats = [c for c in feats_df.columns if c != "id"]
-        table = L.prepare_features(
-            target.join(feats_df, "id", "left").withColumn("is_valid", fold("id") == 0), feats
-        )
-        model = L.gbt_pipeline(feats, max_iter=AB_ITER).fit(table)
-        part = L.positive_probability(model.transform(table.where("is_valid"))).select(
-            "id", "flag", "score", F.lit(tag).alias("variant")
-        )
+    for tag, variant in (("a", "base"), ("b", "wide")):
+        booster, table, _ = fitted(spark, sf_dir, variant, AB_ITER)
+        part = booster.score(table.where("is_valid")).select("id", "flag", "score", F.lit(tag).alias("variant"))
         scored = part if scored is None else scored.unionByName(part)
     # Validation ids are multiples of 10; their parts come from id / 10.
-    scored = scored.withColumn("part", F.pmod(F.floor(F.col("id") / 10), F.lit(AB_PARTS)).cast("int"))
-    aucs = M.auc(scored, "score", "flag", by=["part", "variant"], counts=True)
+    return scored.withColumn("part", F.pmod(F.floor(F.col("id") / 10), F.lit(AB_PARTS)).cast("int"))
+
+
+@register("ab_models_auc")
+def q_ab_models_auc(spark, sf_dir):
+    """H15 with trained models: exact AUC of both on every part of the
+    validation fold (the whole table, not one part)."""
+    aucs = M.auc(ab_scores(spark, sf_dir), "score", "flag", by=["part", "variant"], counts=True)
     return aucs.select("part", "variant", (F.col("n_pos") + F.col("n_neg")).alias("rows"), "n_pos", "auc")

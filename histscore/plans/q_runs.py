@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from histscore.functions.scalar import fold
+from histscore.functions.scalar import fold, softplus
 from histscore.operators import history as H
 from histscore.operators import metrics as M
 from histscore.operators import split as SP
+from histscore.operators.ordering import stored
 from histscore.plans import bindings as B
 from histscore.plans import q_seq
 from histscore.plans.oracle_ctes import with_roles
@@ -109,7 +110,7 @@ _SCORED_SQL = """(SELECT a.id, a.score, t.flag FROM (SELECT id, avg(state) AS sc
 )
 def q_run_summary(spark, sf_dir):
     """The reference's metrics file as a one-row query (also written as
-    JSON, S11). The temporal rows include training rows (K22)."""
+    JSON and read back, S11). The temporal rows include training rows (K22)."""
     feats = H.history_aggregate(B.history_b(spark, sf_dir), B.HISTORY_B_NUMERIC)
     scored = feats.join(B.target_dense(spark, sf_dir), "id").select(
         "id", F.col("state__mean").alias("score"), "flag"
@@ -131,8 +132,9 @@ def q_run_summary(spark, sf_dir):
         F.max(F.when(F.col("tag") == "temporal", F.col("rows"))).alias("temporal_valid_rows"),
         F.lit(len(feats.columns) - 1).alias("feature_count"),
     )
-    write_json_row(summary, scratch_path(spark, f"metrics/{uuid.uuid4().hex}"))
-    return summary
+    path = scratch_path(spark, f"metrics/{uuid.uuid4().hex}")
+    write_json_row(summary, path)
+    return spark.read.schema(summary.schema).json(path)
 
 
 # ---------------------------------------------------------------- A14, A15
@@ -214,15 +216,46 @@ _MARGIN_SQL = "((s.discount - 5.0) / 2.0)"
     ),
 )
 def q_epoch_loss(spark, sf_dir):
-    plan = q_seq.plan(spark, sf_dir)
-    scores = B.customer_scores(spark, sf_dir).select("id", ((F.col("discount") - 5.0) / 2.0).alias("margin"))
-    rows = plan.join(scores, "id").join(B.target_dense(spark, sf_dir), "id")
-    per_batch = M.weighted_bce(rows, "margin", "flag", 4.0, by=["epoch", "shard", "batch_key"], name="loss")
-    sizes = rows.groupBy("epoch", "shard", "batch_key").agg(F.count(F.lit(1)).alias("n"))
-    out = M.epoch_loss(per_batch.join(sizes, ["epoch", "shard", "batch_key"]), "loss", "n")
+    out = M.epoch_loss(batch_losses(spark, sf_dir), "loss", "n")
     return out.select(F.col("epoch").cast("long").alias("epoch"), F.round("epoch_loss", 6).alias("epoch_loss"))
 
 
+def batch_losses(spark, sf_dir):
+    """epoch, shard, batch_key, loss, n of every batch of the plan."""
+    scores = B.customer_scores(spark, sf_dir).select("id", ((F.col("discount") - 5.0) / 2.0).alias("margin"))
+    rows = q_seq.plan(spark, sf_dir).join(scores, "id").join(B.target_dense(spark, sf_dir), "id")
+    y = F.col("flag").cast("double")
+    loss = 4.0 * y * softplus(-F.col("margin")) + (1 - y) * softplus("margin")
+    return rows.groupBy("epoch", "shard", "batch_key").agg(F.avg(loss).alias("loss"), F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "epoch_loss_running",
+    with_roles(
+        ["history_b", "target_dense", "customer_scores"],
+        f"""SELECT epoch, shard, batch_key, round(sum(loss * n) OVER w / sum(n) OVER w, 6) AS running_loss,
+                   round(sum(loss * n) OVER (PARTITION BY epoch) / sum(n) OVER (PARTITION BY epoch), 6) AS final_loss
+            FROM (SELECT p.epoch, p.shard, p.batch_key, count(*) AS n,
+                         avg(4.0 * t.flag * (greatest(-{_MARGIN_SQL}, 0) + ln(1 + exp(-abs({_MARGIN_SQL}))))
+                             + (1 - t.flag) * (greatest({_MARGIN_SQL}, 0) + ln(1 + exp(-abs({_MARGIN_SQL})))))
+                             AS loss
+                  FROM plan p JOIN customer_scores s USING (id) JOIN target_dense t USING (id)
+                  GROUP BY p.epoch, p.shard, p.batch_key)
+            WINDOW w AS (PARTITION BY epoch ORDER BY shard, batch_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+        [q_seq.TRAIN_IDS, ("plan", q_seq._PLAN_SQL)],
+    ),
+)
+def q_epoch_loss_running(spark, sf_dir):
+    """The loss as it runs through each epoch, and where it ends."""
+    batches = stored(batch_losses(spark, sf_dir))
+    final = M.epoch_loss(batches, "loss", "n").select("epoch", F.round("epoch_loss", 6).alias("final_loss"))
+    out = M.running_loss(batches, "loss", "n", ["shard", "batch_key"]).join(final, "epoch")
+    return out.select(
+        F.col("epoch").cast("long").alias("epoch"), F.col("shard").cast("long").alias("shard"), "batch_key",
+        F.round("running_loss", 6).alias("running_loss"), "final_loss",
+    )
+
+
 # ---------------------------------------------------------------- H15
 AB_PARTS = 4
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from histscore.functions.scalar import fold
@@ -10,6 +12,10 @@ from histscore.plans import bindings as B
 from histscore.plans.oracle_ctes import with_roles
 from histscore.plans.registry import register
 from histscore.plans.sqlhash import hash_unit_sql, mix_hash_sql
+from histscore.session import scratch_path
+from histscore.sources.sinks import write_json_row, write_sequences
+from histscore.sources.stages import stage
+from histscore.sources.tables import input_key
 
 FIELDS = B.SEQ_FIELDS_B
 MAX_LEN = 32
@@ -303,38 +309,39 @@ def q_prepare_sequences(spark, sf_dir):
     """Q2: packed sequences for the labelled (train) and unlabelled (test)
     split, written to a path keyed by the parameters (K14), plus the
     metadata row (feature names, cardinalities, max_len, parts) as JSON."""
-    import json
-
-    from histscore.session import scratch_path
-    from histscore.sources.sinks import stage_done, write_json_row, write_sequences
-    from histscore.sources.tables import input_key
-
-    h = B.history_b_coded(spark, sf_dir)
-    # The path names the input files (place, size, time) and every parameter,
-    # so a committed stage is reused only for the same data and settings
-    # (S5, K14).
-    source = input_key(spark, sf_dir, ["orders", "lineitem", "customer"])
-    root = scratch_path(
-        spark, f"sequences/source={source}/max_len={MAX_LEN}/fields={'-'.join(FIELDS)}"
-    )
-    labels = B.target_dense(spark, sf_dir)
-    for split, rows, lab in (
-        ("train", h.where(fold("id") != 0), labels.where(fold("id") != 0)),
-        ("test", h.where(fold("id") == 0), None),
-    ):
-        path = f"{root}/table/split={split}"
-        if not stage_done(spark, path):
-            write_sequences(S.pack_sequences(rows, FIELDS, MAX_LEN, lab), path)
-    card = cards(spark, sf_dir).orderBy("field_index").collect()
-    meta = {
-        "feature_names": [r.field for r in card],
-        "cardinalities": [int(r.cardinality) for r in card],
-        "max_len": MAX_LEN,
-        "partitions": spark.read.parquet(f"{root}/table/split=train").rdd.getNumPartitions(),
-    }
-    write_json_row(spark.read.json(spark.sparkContext.parallelize([json.dumps(meta)])), f"{root}/metadata")
+    # The stage names the input files and every parameter, so it is reused
+    # only for the same data and settings.
+    key = {"input": input_key(spark, sf_dir, ["orders", "lineitem", "customer"]), "max_len": MAX_LEN, "fields": FIELDS}
+
+    def build(path):
+        h = B.history_b_coded(spark, sf_dir)
+        labels = B.target_dense(spark, sf_dir)
+        write_sequences(S.pack_sequences(h.where(fold("id") != 0), FIELDS, MAX_LEN, labels.where(fold("id") != 0)), f"{path}/table/split=train")
+        write_sequences(S.pack_sequences(h.where(fold("id") == 0), FIELDS, MAX_LEN, None), f"{path}/table/split=test")
+        fields = cards(spark, sf_dir).orderBy("field_index").agg(
+            F.collect_list("field").alias("feature_names"), F.collect_list("cardinality").alias("cardinalities")
+        )
+        write_json_row(fields.withColumn("max_len", F.lit(MAX_LEN)), f"{path}/metadata")
+
+    root = stage(spark, "sequences", key, build)
+    meta = spark.read.json(f"{root}/metadata").first()
+    if meta["feature_names"] != FIELDS or meta["max_len"] != MAX_LEN:
+        raise ValueError("the stored sequences have other fields or another length")
     stored = spark.read.option("mergeSchema", "true").parquet(f"{root}/table")
     return stored.groupBy("split").agg(
         F.count(F.lit(1)).alias("sequences"), F.sum("len").cast("long").alias("events"),
         F.count("y").alias("labelled"),
     )
+
+
+@register(
+    "sequence_metadata",
+    with_roles(["history_b_coded"], f"SELECT field, CAST(cardinality AS BIGINT) AS cardinality, {MAX_LEN} AS max_len FROM ({_CARD_SQL})"),
+)
+def q_sequence_metadata(spark, sf_dir):
+    """The metadata row written as JSON and read back."""
+    path = scratch_path(spark, f"metadata/{uuid.uuid4().hex}")
+    fields = cards(spark, sf_dir).agg(F.sort_array(F.collect_list(F.struct("field_index", "field", "cardinality"))).alias("fields"))
+    write_json_row(fields.withColumn("max_len", F.lit(MAX_LEN)), path)
+    back = spark.read.json(path)
+    return back.select(F.inline("fields"), F.col("max_len").cast("int").alias("max_len")).select("field", "cardinality", "max_len")
