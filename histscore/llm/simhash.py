@@ -43,6 +43,9 @@ from histscore.session import checkpointed
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 BUCKET = 2048
+#: Tasks a hot key of a join is spread over; a fingerprint is hot with more
+#: rows than this share of all.
+SALTS, HOT_SHARE = 8, 500
 FANOUT = 16
 #: Pairs of (query, node) looked at together.
 FRONTIER = 1 << 21
@@ -305,6 +308,14 @@ def fingerprint_stars(fps: DataFrame, limit: int = MAX_BITS, bucket: int = BUCKE
     return dealt.select(*group, "side", "fp").mapInArrow(run, "u long, v long")
 
 
+def _meet(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
+    """An equi join with a side that has one row per key: the rows of a hot
+    key are spread over ``SALTS`` tasks, and the other side is sent to each."""
+    salted = left.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    every = right.withColumn("__salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    return salted.join(every, [key, "__salt"]).drop("__salt")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): every node of an edge with the smallest node reachable.
     Alternating large-star and small-star until the edges stand still."""
@@ -316,9 +327,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _meet(both, low, "u", "v").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+        small = _meet(large, low, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         edges = checkpointed(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = mark(edges)
         if now == seen:
@@ -333,14 +344,31 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, limit: int = MAX_BITS,
     """doc_id, fp, component_id and group_fp (the group's own fingerprint,
     its name where ids are null or repeated) for every row."""
     rows = checkpointed(fingerprints(docs, shingle))
-    per_fp = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    per_fp = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     roots = components(fingerprint_stars(per_fp.select("fp"), limit, bucket))
-    rooted = per_fp.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())  # a root is of its group
+    linked = per_fp.join(roots, F.col("fp") == F.col("node")).select("fp", "first_id", "root")
+    smallest = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
+    grouped = _meet(linked, smallest, "root", "fp").select(F.col("fp").alias("__fp"), "root", "least_id")
+    of_fp = checkpointed(
+        per_fp.join(grouped, F.col("fp") == F.col("__fp"), "left").select(
+            "fp",
+            "n",
+            # a linked group without any id has no least id
+            F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("least_id")).alias("component_id"),
+            F.coalesce("root", "fp").alias("group_fp"),
+        )
     )
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_fp = rooted.join(smallest, "root").select("fp", "component_id", F.col("root").alias("group_fp"))
-    return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id", "group_fp")
+    # Fingerprints of more than a 500th of all rows, fewer than 500, are
+    # broadcast, so their rows are found where they are.
+    most = (per_fp.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE
+    hot = of_fp.filter(F.col("n") > most).select(F.col("fp").alias("__hot"), F.col("component_id").alias("c"), F.col("group_fp").alias("g"))
+    if most == 0:  # no more rows than HOT_SHARE: nothing is hot
+        return rows.join(of_fp.drop("n"), "fp").select("doc_id", "fp", "component_id", "group_fp")
+    found = rows.join(F.broadcast(hot), F.col("fp") == F.col("__hot"), "left")
+    met = found.filter("__hot is not null").select("doc_id", "fp", F.col("c").alias("component_id"), F.col("g").alias("group_fp"))
+    rest = found.filter("__hot is null").select("doc_id", "fp").join(of_fp.filter(F.col("n") <= most).drop("n"), "fp")
+    return met.unionByName(rest.select("doc_id", "fp", "component_id", "group_fp"))
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, limit: int = MAX_BITS, bucket: int = BUCKET) -> DataFrame:

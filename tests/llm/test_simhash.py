@@ -112,3 +112,38 @@ def test_long_chain_is_one_component(spark):
     fps = sorted({c - (1 << 64) if c >= 1 << 63 else c for c in chain})
     got = S.components(S.fingerprint_stars(spark.createDataFrame([(f,) for f in fps], "fp long"))).collect()
     assert {r.root for r in got} == {min(fps)} and len(words(1, 1))
+
+
+def test_hot_fingerprints_and_centres(spark):
+    """A third of all rows are copies of one text, and a star of near texts."""
+    import random
+
+    r = random.Random(6)
+    base = words(300, 1).split()
+    rows = [(k, " ".join(base)) for k in range(500, 800)]
+    for k in range(60):
+        near = list(base)
+        near[r.randrange(300)] = f"z{k}"
+        rows.append((k, " ".join(near)))
+    rows += [(1000 + k, words(40, 100 + k)) for k in range(640)]
+    got = S.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows)
+    fps = {}
+    for g in got:
+        fps.setdefault(g.fp % 2**64, []).append(g.doc_id)
+    group = {f: f for f in fps}
+
+    def root(f):
+        while group[f] != f:
+            f = group[f]
+        return f
+
+    each = sorted(fps)
+    for k, a in enumerate(each):
+        for b in each[k + 1 :]:
+            if bin(a ^ b).count("1") <= 4:
+                group[root(a)] = root(b)
+    least = {}
+    for f, ids in fps.items():
+        least[root(f)] = min([least.get(root(f), 10**9), *ids])
+    assert {g.doc_id: g.component_id for g in got} == {i: least[root(f)] for f, ids in fps.items() for i in ids}
