@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import posixpath
 import uuid
@@ -54,12 +55,26 @@ def whole_texts(df: DataFrame) -> DataFrame:
     return df
 
 
+def release_memory() -> None:
+    """Hands freed memory back to the system: workers are reused, and what an
+    idle one keeps is missing elsewhere on its executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no glibc
+        pass
+
+
 def slices(batches, *columns: str, rows: int = SLICE) -> Iterator[tuple[pa.RecordBatch, list[list]]]:
-    """Pieces of at most ``rows`` rows with the named columns as lists."""
+    """Pieces of at most ``rows`` rows with the named columns as lists; freed
+    memory is released before the first and after the last."""
+    release_memory()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
             yield part, [part.column(part.schema.get_field_index(c)).to_pylist() for c in columns]
+    batch = part = None
+    release_memory()
 
 
 def out_dir(spark: SparkSession, name: str) -> str:
