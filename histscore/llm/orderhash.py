@@ -36,6 +36,8 @@ _PLACE = (1 << PLACE_BITS) - 1
 _HASH = ~_PLACE
 #: Rows aimed at per order bucket; most buckets; literal bounds.
 BUCKET_ROWS, MOST_BUCKETS, BOUNDS = 2048, 200_000, 256
+#: Above the parts of any bound: a bucket is bound * MOST_PARTS + part.
+MOST_PARTS = 1 << 32
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -129,36 +131,61 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(filled == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / filled)
 
 
-def _place_in(bounds: list[int], sub: int) -> Column:
-    """The order bucket of doc_id: a balanced tree of literal comparisons,
-    then an even cut between two bounds. Ascending with doc_id; null is -1."""
+def _part(parts: int) -> Column:
+    """One of ``parts`` equal ranges of the tie's hash, ascending."""
+    share = (F.col("tie").cast("double") / F.lit(float(1 << 64)) + 0.5) * parts
+    return F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor(share))).cast("long")
+
+
+def _place_in(found: list[int], sub: int, null_parts: int) -> Column:
+    """The order bucket, ascending with (doc_id, tie), null ids first: a
+    balanced tree of comparisons with the quantiles ``found``, then ``sub``
+    even cuts between two of them. An id that fills several quantiles, and
+    the null id, are cut by the tie, so no id is one bucket."""
     x = F.col("doc_id")
+    bounds = sorted(set(found))
+
+    def at(base: int, part: Column) -> Column:
+        return F.lit(base * MOST_PARTS).cast("long") + part
+
+    def leaf(k: int) -> Column:
+        low, high = bounds[k], bounds[min(k + 1, len(bounds) - 1)]
+        share = (x.cast("double") - F.lit(float(low))) / F.lit(float(max(high - low, 1))) * sub
+        between = at(2 * k + 1, F.greatest(F.lit(0), F.least(F.lit(sub - 1), F.floor(share))).cast("long"))
+        filled = found.count(low)
+        if filled < 2:
+            return between
+        hot = at(2 * k, _part((filled + 1) * sub))
+        return F.when(x == low, hot).when(x < low, at(2 * k - 1, F.lit(0).cast("long"))).otherwise(between)
 
     def tree(lo: int, hi: int) -> Column:
         if hi - lo == 1:
-            low, high = bounds[lo], bounds[hi]
-            share = (x.cast("double") - F.lit(float(low))) / F.lit(float(max(high - low, 1))) * sub
-            inside = F.greatest(F.lit(0), F.least(F.lit(sub - 1), F.floor(share)))
-            return F.lit(lo * sub).cast("long") + inside
+            return leaf(lo)
         mid = (lo + hi) // 2
         return F.when(x < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid, hi))
 
-    return F.when(x.isNull(), F.lit(-1).cast("long")).otherwise(tree(0, len(bounds) - 1)) if len(bounds) > 1 else F.when(x.isNull(), F.lit(-1).cast("long")).otherwise(F.lit(0).cast("long"))
+    placed = F.when(x.isNull(), at(-2, _part(null_parts)))
+    return placed.otherwise(tree(0, len(bounds))) if bounds else placed
+
+
+def order_bucket(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> Column:
+    """The order bucket of the rows of a table with doc_id and tie, of about
+    ``bucket_rows`` rows each."""
+    n, nulls = rows.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    wanted = max(1, min(math.ceil(n / bucket_rows), MOST_BUCKETS))
+    cuts = min(wanted, BOUNDS)
+    found = rows.agg(F.percentile_approx("doc_id", [i / cuts for i in range(cuts + 1)], 10_000)).first()[0]
+    return _place_in(found or [], math.ceil(wanted / cuts), max(1, min(math.ceil(nulls / bucket_rows), MOST_BUCKETS)))
 
 
 def with_next(rows: DataFrame, values: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``next_<v>`` for each value: that of the next row by descending
     (doc_id, tie); after the last row comes the first.
 
-    Ids are cut into buckets by literal bounds; the first row of a bucket is
-    sent along to the bucket before it, so no row needs a second shuffle and
+    Rows are cut into buckets by literal bounds of the id, and of the tie
+    where one id has many rows; the first row of a bucket is sent along to the bucket before it, so no row needs a second shuffle and
     no window spans more than a bucket."""
-    n = rows.count()
-    wanted = max(1, min(math.ceil(n / bucket_rows), MOST_BUCKETS))
-    cuts = min(wanted, BOUNDS)
-    found = rows.agg(F.percentile_approx("doc_id", [i / cuts for i in range(cuts + 1)], 10_000)).first()[0]
-    bounds = sorted(set(found or []))
-    placed = rows.withColumn("__bucket", _place_in(bounds, math.ceil(wanted / cuts)))
+    placed = rows.withColumn("__bucket", order_bucket(rows, bucket_rows))
     heads = placed.select("__bucket", "doc_id", "tie").groupBy("__bucket").agg(
         F.max(F.struct(F.col("doc_id").alias("id"), F.col("tie").alias("t"))).alias("__head")
     )

@@ -100,6 +100,23 @@ def test_odd_rows(spark):
     assert O.fingerprint_edits(no_docs(spark)).count() == 0
 
 
+def test_hot_and_null_ids_are_split(spark):
+    """One id holds a third of the rows, the null id another fifth: buckets
+    stay small, and each row's neighbour is that of the whole order."""
+    ids = [7] * 100 + [None] * 60 + [-3] * 30 + [500 + 3 * k for k in range(110)]
+    for extra in ([], [1000] * 90, [-9] * 90):
+        rows = [(i, words(12, 1000 + k)) for k, i in enumerate(ids + extra)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        tied = docs.withColumn("tie", F.xxhash64("text"))
+        largest = tied.groupBy(O.order_bucket(tied, 10)).count().agg(F.max("count")).first()[0]
+        assert largest <= len(rows) / 10
+        order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -spark_hash(r[1])))
+        after = {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)}
+        for bucket_rows in (10, 50, 5000):
+            got = O.with_next(tied, ["text"], bucket_rows).collect()
+            assert len(got) == len(rows) and all(r.next_text == after[r.text] for r in got)
+
+
 def test_no_python_in_the_plan(spark):
     plan = O.fingerprint_edits(odd_docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct"))
