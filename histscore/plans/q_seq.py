@@ -58,7 +58,7 @@ CELLS = (
 
 def packed(spark, sf_dir, labels=True):
     lab = B.target_dense(spark, sf_dir) if labels else None
-    return S.pack_sequences(B.history_b_coded(spark, sf_dir), FIELDS, MAX_LEN, lab)
+    return S.pack_sequences(B.history_b_coded(spark, sf_dir, ordered=True), FIELDS, MAX_LEN, lab)
 
 
 def cards(spark, sf_dir):
