@@ -165,20 +165,35 @@ def multi_hot(packed: DataFrame, offsets: DataFrame, seq: str = "seq", length: s
     """Q9 (with P9): per event the vocabulary indices of its non-zero codes
     and the 1/sqrt(F) scale of each. The offsets (one row per field) become
     literals; every event is one row and nothing is shuffled."""
-    shift = [int(r["offset"]) for r in offsets.orderBy("field_index").select("offset").collect()]
-    literal = F.array(*[F.lit(k).cast("long") for k in shift])
+    shift = _shift(offsets)
     events = packed.select("id", F.posexplode(F.slice(seq, 1, F.col(length))).alias("_p", "_row"))
-    indices = F.filter(
-        F.transform("_row", lambda v, i: F.when(v != 0, v.cast("long") + F.get(literal, i))), lambda x: x.isNotNull()
-    )
     return events.select(
         "id",
         (F.col("_p") + 1).alias("pos"),
-        F.sort_array(indices).alias("indices"),
+        F.sort_array(_indices(F.col("_row"), shift)).alias("indices"),
         F.lit(1.0 / len(shift) ** 0.5).alias("scale"),
     ).where(F.size("indices") > 0)
 
 
+def _shift(offsets: DataFrame) -> list[int]:
+    return [int(r["offset"]) for r in offsets.orderBy("field_index").select("offset").collect()]
+
+
+def _indices(row: F.Column, shift: Sequence[int]) -> F.Column:
+    """The vocabulary indices of an event's non-zero codes."""
+    literal = F.array(*[F.lit(k).cast("long") for k in shift])
+    return F.filter(
+        F.transform(row, lambda v, i: F.when(v != 0, v.cast("long") + F.get(literal, i))), lambda x: x.isNotNull()
+    )
+
+
+def sequence_indices(offsets: DataFrame, seq: str = "seq", length: str = "len") -> F.Column:
+    """Q9 of a whole sequence: the indices of all its events (``multi_hot``
+    without one row per event), made in the row, so nothing is shuffled."""
+    shift = _shift(offsets)
+    return F.flatten(F.transform(F.slice(seq, 1, F.col(length)), lambda row: _indices(row, shift)))
+
+
 def pooled_rows(df: DataFrame, fields: Sequence[str], max_len: int, id_col: str = "id") -> DataFrame:
     """Q4 without packing: mean, max and last of the shifted codes over the
     kept rows, as one aggregate."""
