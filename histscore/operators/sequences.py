@@ -41,14 +41,22 @@ def pack_sequences(
         F.concat(seq, F.array_repeat(zero_row, F.lit(max_len) - F.size("_rows"))).alias("seq"),
     )
     if labels is not None:
-        # A missing label fails the job when the row is produced (no
-        # extra pass to look for it first).
-        joined = out.join(labels.select(id_col, F.col("flag").alias("_y")), id_col, "left")
-        y = F.when(F.col("_y").isNull(), F.raise_error(F.lit("id without a target in the sequence table")))
-        out = joined.select(*out.columns, y.otherwise(F.col("_y")).cast("short").alias("y"))
+        out = required_labels(with_labels(out, labels, id_col))
     return out
 
 
+def with_labels(packed: DataFrame, labels: DataFrame, id_col: str = "id") -> DataFrame:
+    """Packed sequences with their label as ``_y``, null where there is none."""
+    return packed.join(labels.select(id_col, F.col("flag").alias("_y")), id_col, "left")
+
+
+def required_labels(joined: DataFrame) -> DataFrame:
+    """A missing label fails the job when the row is produced (no extra
+    pass to look for it first); a row filtered out before is not looked at."""
+    y = F.when(F.col("_y").isNull(), F.raise_error(F.lit("id without a target in the sequence table")))
+    return joined.select(*[c for c in joined.columns if c != "_y"], y.otherwise(F.col("_y")).cast("short").alias("y"))
+
+
 def sequence_text(seq: str = "seq") -> F.Column:
     """Serialised form: fields joined by ',', positions by ';'."""
     return F.array_join(F.transform(seq, lambda r: F.array_join(r, ",")), ";")

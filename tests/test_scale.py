@@ -141,3 +141,20 @@ def test_complete_check_scores_with_the_model(spark, monkeypatch):
     calls = counted(monkeypatch, L.Booster, "score")
     (r,) = Q.q_complete_check_submission(spark, SF_SMALL).collect()
     assert calls and r.rows == B.target_dense(spark, SF_SMALL).count()
+
+
+def test_a_null_id_is_in_no_fold(spark, tmp_path, fresh_stages):
+    """A null customer has no label; it is in no fold and fails no learner."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import pyarrow.parquet as pq
+
+    for name in ("lineitem", "customer"):
+        pq.write_table(pq.read_table(f"{SF_SMALL}/{name}.parquet"), tmp_path / f"{name}.parquet")
+    orders = pq.read_table(f"{SF_SMALL}/orders.parquet")
+    at = orders.schema.get_field_index("o_custkey")
+    keys = orders["o_custkey"]
+    some = pc.if_else(pa.array([k % 50 == 0 for k in range(len(keys))]), pa.scalar(None, keys.type), keys.combine_chunks())
+    pq.write_table(orders.set_column(at, "o_custkey", some), tmp_path / "orders.parquet")
+    (r,) = Q.q_pooled_lr_auc(spark, str(tmp_path)).collect()
+    assert r.rows > 0
